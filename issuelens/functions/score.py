@@ -17,27 +17,23 @@ from issuelens import config as C
 from issuelens.functions import text as T
 
 
-def text_stats(title, body) -> tuple[Column, Column]:
-    """(chars, words) of ``f"{title.strip()}\\n\\n{body.strip()}".strip()``.
+def text_stats(ts: Column, bs: Column) -> tuple[Column, Column]:
+    """(chars, words) of ``f"{ts}\\n\\n{bs}".strip()`` for already stripped parts.
 
-    Computed from the stripped parts, so the (possibly very long) joined text
-    is never materialised.
+    Computed from the parts, so the (possibly very long) joined text is
+    never materialised.
     """
-    ts = T.py_strip(F.coalesce(T.col_(title), F.lit("")))
-    bs = T.py_strip(F.coalesce(T.col_(body), F.lit("")))
     lt, lb = F.length(ts), F.length(bs)
     chars = (F.when(lt == 0, lb).when(lb == 0, lt).otherwise(lt + 2 + lb)).cast("bigint")
     words = T.py_word_count(ts) + T.py_word_count(bs)
     return chars, words
 
 
-def heuristic_points(title, body, labels) -> Column:
-    """Integer score S in [0, 20000]."""
-    norm = T.lower_labels(labels)
-    title_l = F.lower(T.py_strip(F.coalesce(T.col_(title), F.lit(""))))
-    chars, words = text_stats(title, body)
+def points_from_parts(ts: Column, bs: Column, norm: Column) -> Column:
+    """Integer score S in [0, 20000] from stripped title/body and lower-cased labels."""
+    chars, words = text_stats(ts, bs)
     security = T.any_label_in(norm, C.SECURITY_LABELS)
-    perf = T.any_label_in(norm, C.PERF_LABELS) | title_l.contains(C.PERF_TITLE_TOKEN)
+    perf = T.any_label_in(norm, C.PERF_LABELS) | F.lower(ts).contains(C.PERF_TITLE_TOKEN)
     bug = T.any_label_in(norm, C.BUG_LABELS)
     docs = T.any_label_in(norm, C.DOCS_LABELS)
     raw = (
@@ -51,6 +47,13 @@ def heuristic_points(title, body, labels) -> Column:
     return F.least(F.greatest(raw, F.lit(0)), F.lit(C.SCORE_SCALE)).cast("bigint")
 
 
+def heuristic_points(title, body, labels) -> Column:
+    """Integer score S in [0, 20000] (single expression form)."""
+    ts = T.py_strip(F.coalesce(T.col_(title), F.lit("")))
+    bs = T.py_strip(F.coalesce(T.col_(body), F.lit("")))
+    return points_from_parts(ts, bs, T.lowered_label_array(labels))
+
+
 def probabilities_from_points(points: Column) -> dict[str, Column]:
     half = C.SCORE_SCALE // 2
     simple_k = F.greatest(F.lit(half) - points, F.lit(0))
@@ -91,8 +94,20 @@ def heuristic_columns(title="title", body="body", labels="labels") -> dict[str,
 
 
 def with_heuristic(df, title="title", body="body", labels="labels", keep_points: bool = False):
-    """Add heuristic columns; the points are computed once and reused."""
-    out = df.withColumn("_pts", heuristic_points(title, body, labels))
+    """Add heuristic columns.
+
+    The stripped title/body and the lower-cased labels are staged in their
+    own projection so each is computed once per row, then the points once,
+    then the probabilities and class.
+    """
+    staged = df.select(
+        "*",
+        T.py_strip(F.coalesce(T.col_(title), F.lit(""))).alias("_ts"),
+        T.py_strip(F.coalesce(T.col_(body), F.lit(""))).alias("_bs"),
+        T.lowered_label_array(labels).alias("_lab"),
+    )
+    out = staged.withColumn("_pts", points_from_parts(F.col("_ts"), F.col("_bs"), F.col("_lab"))).drop(
+        "_ts", "_bs", "_lab")
     probs = probabilities_from_points(F.col("_pts"))
     out = out.select("*", *[v.alias(k) for k, v in probs.items()])
     cls = argmax_class(F.col("p_simple"), F.col("p_moderate"), F.col("p_complex"))

@@ -23,11 +23,21 @@ def recent(df: DataFrame, n: int | None, ts: str = "timestamp", tie: str = "issu
     return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(max(0, n))
 
 
+def mean_4dp(c: Column) -> Column:
+    """Exact mean of values rounded to 4 dp (probabilities always are).
+
+    Summed as integer ten-thousandths, then one division: the result does
+    not depend on summation order, so every engine and partitioning agrees.
+    """
+    k = F.round(c * 10000).cast("bigint")
+    return F.sum(k) / (F.count(c) * F.lit(10000.0))
+
+
 def kpi_columns(cls: Column = F.col("complexity"), conf: Column = F.col("confidence")) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(cls == "complex").alias("complex_count"),
-        F.round(F.avg(conf), 6).alias("avg_confidence"),
+        mean_4dp(conf).alias("avg_confidence"),
         F.count_if(conf > C.HIGH_CONFIDENCE).alias("high_confidence_count"),
     ]
 
@@ -55,7 +65,7 @@ def resource_advice(pred: DataFrame) -> DataFrame:
 def complexity_distribution(pred: DataFrame) -> DataFrame:
     """Count and share per predicted class (share over the 3-row aggregate only)."""
     agg = pred.groupBy("complexity").agg(F.count(F.lit(1)).alias("n"))
-    return agg.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    return agg.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def label_items(labels: Column, dtype) -> Column:
@@ -81,7 +91,7 @@ def high_priority(pred: DataFrame, k: int = C.HIGH_PRIORITY_ROWS) -> DataFrame:
 def complexity_trend(pred: DataFrame) -> DataFrame:
     """Per day and class: count and mean confidence (re-aim of the scatter)."""
     return pred.groupBy(F.date_trunc("day", F.col("timestamp")).alias("day"), "complexity").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+        F.count(F.lit(1)).alias("n"), mean_4dp(F.col("confidence")).alias("avg_confidence"))
 
 
 def period_kpis(pred: DataFrame, anchor=None) -> DataFrame:
@@ -102,7 +112,7 @@ def period_kpis(pred: DataFrame, anchor=None) -> DataFrame:
         cols += [
             F.count_if(inside).alias(f"{name}__total"),
             F.count_if(inside & (cls == "complex")).alias(f"{name}__complex_count"),
-            F.round(F.avg(F.when(inside, conf)), 6).alias(f"{name}__avg_confidence"),
+            mean_4dp(F.when(inside, conf)).alias(f"{name}__avg_confidence"),
             F.count_if(inside & (conf > C.HIGH_CONFIDENCE)).alias(f"{name}__high_confidence_count"),
         ]
     wide = pred.agg(*cols)

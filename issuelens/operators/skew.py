@@ -61,12 +61,13 @@ def prefix_aggregate(
     )
     local = sliced.select("*", *[_agg(kind, e).over(w_local).alias(f"_loc_{name}") for name, kind, e in aggs])
 
-    totals = sliced.groupBy(*keys, "_slice").agg(*[_agg(kind, e).alias(f"_tot_{name}") for name, kind, e in aggs])
+    totals = sliced.groupBy(*keys, "_slice").agg(
+        F.count(F.lit(1)).alias("_tot__n"), *[_agg(kind, e).alias(f"_tot_{name}") for name, kind, e in aggs])
     w_carry = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "_slice", *[_agg(kind, F.col(f"_tot_{name}")).over(w_carry).alias(f"_car_{name}")
-                           for name, kind, _ in aggs]
-    ).where(F.col(f"_car_{aggs[0][0]}").isNotNull())
+        *keys, "_slice", F.sum("_tot__n").over(w_carry).alias("_car__n"),
+        *[_agg(kind, F.col(f"_tot_{name}")).over(w_carry).alias(f"_car_{name}") for name, kind, _ in aggs]
+    ).where(F.col("_car__n").isNotNull()).drop("_car__n")  # only slices preceded by the same key
     # At most (slices - 1) rows by construction -> safe to broadcast.
     out = local.join(F.broadcast(carry), on=[*keys, "_slice"], how="left")
     for name, kind, _ in aggs:

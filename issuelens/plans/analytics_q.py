@@ -17,7 +17,7 @@ P = with_views("predictions")
 
 @query("dashboard_kpis", P + f"""
 SELECT count(*) AS total, count_if(complexity = 'complex') AS complex_count,
-       round(avg(confidence), 6) AS avg_confidence, count_if(confidence > {C.HIGH_CONFIDENCE}) AS high_confidence_count
+       sum(CAST(round(confidence * 10000) AS BIGINT)) / (count(confidence) * 10000.0) AS avg_confidence, count_if(confidence > {C.HIGH_CONFIDENCE}) AS high_confidence_count
 FROM predictions""")
 def q_dashboard_kpis(spark, sf_dir):
     return A.dashboard_kpis(FX.predictions(spark, sf_dir))
@@ -38,7 +38,7 @@ def q_resource_advice(spark, sf_dir):
 
 @query("complexity_distribution", P + """,
 a AS (SELECT complexity, count(*) AS n FROM predictions GROUP BY complexity)
-SELECT complexity, n, round(n / sum(n) OVER (), 6) AS share FROM a""")
+SELECT complexity, n, n / sum(n) OVER () AS share FROM a""")
 def q_complexity_distribution(spark, sf_dir):
     return A.complexity_distribution(FX.predictions(spark, sf_dir))
 
@@ -58,7 +58,7 @@ def q_high_priority_issues(spark, sf_dir):
 
 
 @query("complexity_trend", P + """
-SELECT date_trunc('day', "timestamp") AS day, complexity, count(*) AS n, round(avg(confidence), 6) AS avg_confidence
+SELECT date_trunc('day', "timestamp") AS day, complexity, count(*) AS n, sum(CAST(round(confidence * 10000) AS BIGINT)) / (count(confidence) * 10000.0) AS avg_confidence
 FROM predictions GROUP BY 1, 2""")
 def q_complexity_trend(spark, sf_dir):
     return A.complexity_trend(FX.predictions(spark, sf_dir))
@@ -68,7 +68,8 @@ def _period_sql(name: str, days: int | None) -> str:
     inside = "TRUE" if days is None else f"\"timestamp\" >= (SELECT max(\"timestamp\") FROM predictions) - INTERVAL {days} DAY"
     return f"""SELECT '{name}' AS period, count_if({inside}) AS total,
        count_if(({inside}) AND complexity = 'complex') AS complex_count,
-       round(avg(CASE WHEN {inside} THEN confidence END), 6) AS avg_confidence,
+       sum(CAST(round(CASE WHEN {inside} THEN confidence END * 10000) AS BIGINT))
+         / (count(CASE WHEN {inside} THEN confidence END) * 10000.0) AS avg_confidence,
        count_if(({inside}) AND confidence > {C.HIGH_CONFIDENCE}) AS high_confidence_count
 FROM predictions"""
 

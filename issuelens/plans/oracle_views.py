@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from issuelens import config as C
 from issuelens.functions.crypto import hmac_sql_duckdb
-from issuelens.functions.text import PY_NON_WS, STRIP_PATTERN
+from issuelens.functions.text import PY_NON_WS, PY_WS_STRING
 
 FENCE = "```"
 
 
+_WS_CHARS_SQL = " || ".join(f"chr({ord(ch)})" for ch in PY_WS_STRING)
+
+
 def py_strip(x: str) -> str:
-    return f"regexp_replace({x}, '{STRIP_PATTERN}', '', 'g')"
+    return f"trim({x}, {_WS_CHARS_SQL})"
 
 
 def py_words(x: str) -> str:
-    return f"CAST(coalesce(len(regexp_extract_all({x}, '{PY_NON_WS}')), 0) AS BIGINT)"
+    return f"CAST(coalesce(len(regexp_extract_all({x}, '{PY_NON_WS}+')), 0) AS BIGINT)"
 
 
 def sql_list(values: list[str]) -> str:

@@ -79,3 +79,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row text work over all cores.
+
+    Only when a scan yields fewer partitions than the cluster has cores (a
+    few large row groups); at scale the scan already has thousands of splits
+    and this is a no-op, so no shuffle is added there.  Call on scans only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from issuelens import config as C
 from issuelens.functions.crypto import hmac_sha256_hex
 from issuelens.functions.score import with_heuristic
-from issuelens.session import table
+from issuelens.session import spread, table
 
 BASE_TS = "2024-01-01 00:00:00"
 FEEDBACK_BASE_TS = "2024-03-01 00:00:00"
@@ -27,7 +27,7 @@ def _when_mod(col: Column, m: int, value) -> Column:
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     did = F.col("doc_id")
     first_line = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
     code_block = F.concat(F.lit(FENCE + "py"), F.lit("\n"), F.lit("x = 1"), F.lit("\n"), F.lit(FENCE))
@@ -105,7 +105,7 @@ def _json_str(c: Column) -> Column:
 
 def webhook_events(spark: SparkSession, sf_dir: str, secret: str = C.WEBHOOK_SECRET) -> DataFrame:
     """Landed webhook deliveries: envelope columns plus the raw JSON body and its signature."""
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"))
     et = F.col("event_type")
     k = F.get_json_object(F.col("props"), "$.k").cast("bigint")
     event = (
