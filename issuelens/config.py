@@ -139,3 +139,36 @@ GBT_EARLY_STOP = 50
 # ---------------------------------------------------------------------------
 WEBHOOK_SECRET = "topsecret"
 BAD_SIGNATURE = "sha256=deadbeef"
+
+# Advisor prompt template (fixed text; 8-space indentation and the in-template
+# comment after the body are part of the prompt).
+ADVISOR_PROMPT = (
+    "\n"
+    "        Act as a senior software engineer acting as a mentor. Analyze this GitHub issue strategy only.\n"
+    "        \n"
+    "        Issue Title: {title}\n"
+    "        Labels: {labels}\n"
+    "        \n"
+    "        Issue Body:\n"
+    "        {body}  # Truncate to avoid token limits if extremely long\n"
+    "        \n"
+    "        Provide a concise technical response in Markdown format:\n"
+    "        \n"
+    "        ### \U0001F50D Root Cause Analysis (Hypothetical)\n"
+    "        [Brief analysis of what might be wrong]\n"
+    "        \n"
+    "        ### \U0001F6E0 Suggested Fix Steps\n"
+    "        1. [Step 1]\n"
+    "        2. [Step 2]\n"
+    "        ...\n"
+    "        \n"
+    "        ### \U0001F4BB Code Hint\n"
+    "        ```python\n"
+    "        # Illustrative snippet (if applicable)\n"
+    "        ```\n"
+    "        \n"
+    "        ### ⚠️ Risks\n"
+    "        [Potential side effects or interactions]\n"
+    "        "
+)
+LOG_LINE = "[Notification] Issue #{number} in {repo} - Complexity: {complexity} ({pct}) - Assign to: {team}"

@@ -181,7 +181,9 @@ def upload_normalize(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         raise ValueError("Missing required columns: ['title']")
 
     def opt(c, default=None, t="string"):
-        return F.col(c).cast(t) if c in cols else F.lit(default).cast(t)
+        if c not in cols:
+            return F.lit(default).cast(t)
+        return F.col(c).cast(t) if t == "string" else F.col(c).cast("string").try_cast(t)
 
     out = df.select(
         opt("number", None, "bigint").alias("number"),
