@@ -33,7 +33,9 @@ def mean_4dp(c: Column) -> Column:
     return F.sum(k) / (F.count(c) * F.lit(10000.0))
 
 
-def kpi_columns(cls: Column = F.col("complexity"), conf: Column = F.col("confidence")) -> list[Column]:
+def kpi_columns(cls: Column | None = None, conf: Column | None = None) -> list[Column]:
+    cls = F.col("complexity") if cls is None else cls
+    conf = F.col("confidence") if conf is None else conf
     return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(cls == "complex").alias("complex_count"),
