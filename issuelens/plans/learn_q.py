@@ -1 +1,225 @@
-"""Registered queries (filled in below)."""
+"""Registered learning queries.
+
+Keys with deterministic results (split, softmax, balanced class counts,
+evaluation of the heuristic against comment-derived labels) carry a DuckDB
+oracle; model outputs are checked on rows and by pytest.  The fitted state
+is shared by the keys of one session and scale.  Registered queries use 20
+boosting rounds per class; the operator default is the reference's 500.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.sql import functions as F
+
+from issuelens import config as C
+from issuelens.functions.score import with_heuristic
+from issuelens.operators import learn as L
+from issuelens.operators.features import numeric_text_features, with_label
+from issuelens.plans.features_q import _feature_sql_cols
+from issuelens.plans.oracle_views import scored_cte, with_views
+from issuelens.plans.registry import query
+from issuelens.session import scratch_path
+from issuelens.sources import fixtures as FX
+
+QUERY_TREES = 20
+_STATE: dict = {}
+
+
+def learn_state(spark, sf_dir, n_trees: int = QUERY_TREES) -> dict:
+    key = (id(spark), sf_dir, n_trees)
+    if key in _STATE:
+        return _STATE[key]
+    frame = L.training_frame(FX.issues(spark, sf_dir))
+    split = L.stratified_split(frame).persist()
+    train = split.where(~F.col("is_test"))
+    text_model = L.text_pipeline().fit(train.select("text", "label"))
+    probs = L.text_probabilities(text_model, split)
+    stacked = L.stacking_features(train, probs).select(
+        "number", "label", "is_test", *L.STACK_COLS).persist()
+    balanced = L.smote_balance(stacked.where(~F.col("is_test")), L.STACK_COLS).persist()
+    models = L.fit_one_vs_rest(balanced, L.STACK_COLS, n_trees=n_trees)
+    pred = L.predict_one_vs_rest(models, stacked.where(F.col("is_test")), L.STACK_COLS).persist()
+    st = {"split": split, "text_model": text_model, "stacked": stacked, "balanced": balanced, "models": models,
+          "pred": pred, "n_trees": n_trees}
+    _STATE[key] = st
+    return st
+
+
+# ------------------------------------------------------------- split
+_DEDUP_LABELLED = with_views("issues") + """,
+dd AS (SELECT *, row_number() OVER (PARTITION BY title, body ORDER BY number DESC) AS _rn FROM issues),
+lab AS (SELECT *, CAST(CASE WHEN comments <= 1 THEN 0 WHEN comments <= 5 THEN 1 ELSE 2 END AS INTEGER) AS label
+        FROM dd WHERE _rn = 1),
+sp AS (
+  SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(number AS VARCHAR)), number) - 1)
+              < ceil(count(*) OVER (PARTITION BY label) * 0.2) AS is_test
+  FROM lab)"""
+
+
+@query("stratified_split", _DEDUP_LABELLED + "\nSELECT number, label, is_test FROM sp")
+def q_stratified_split(spark, sf_dir):
+    frame = with_label(L.dedup_keep_last(FX.issues(spark, sf_dir).select("number", "title", "body", "comments"),
+                                         ordinal="number"))
+    return L.stratified_split(frame.select("number", "label")).select("number", "label", "is_test")
+
+
+@query("smote_class_counts", _DEDUP_LABELLED + """,
+t AS (SELECT label, count(*) AS n FROM sp WHERE NOT is_test GROUP BY label)
+SELECT label, max(n) OVER () AS n FROM t""")
+def q_smote_class_counts(spark, sf_dir):
+    st = learn_state(spark, sf_dir)
+    return st["balanced"].groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------- softmax
+SOFTMAX_SQL = with_views("issues") + f""",
+f AS (SELECT number, {_feature_sql_cols()} FROM issues),
+lg AS (SELECT number, len_title / 100.0 AS l0, word_count / 1000.0 AS l1, (has_code + has_image + has_url) * 1.0 AS l2
+       FROM f),
+m AS (SELECT *, greatest(l0, l1, l2) AS mx FROM lg),
+e AS (SELECT number, exp(l0 - mx) AS e0, exp(l1 - mx) AS e1, exp(l2 - mx) AS e2 FROM m)
+SELECT number, round(e0 / (e0 + e1 + e2), 9) AS p_simple, round(e1 / (e0 + e1 + e2), 9) AS p_moderate,
+       round(e2 / (e0 + e1 + e2), 9) AS p_complex
+FROM e"""
+
+
+@query("softmax_probs", SOFTMAX_SQL)
+def q_softmax_probs(spark, sf_dir):
+    """Max-shifted softmax over three per-issue scores derived from the text features."""
+    f = numeric_text_features(FX.issues(spark, sf_dir))
+    logits = [F.col("len_title") / 100.0, F.col("word_count") / 1000.0,
+              (F.col("has_code") + F.col("has_image") + F.col("has_url")) * 1.0]
+    mx = F.greatest(*logits)
+    ex = [F.exp(lg - mx) for lg in logits]
+    total = ex[0] + ex[1] + ex[2]
+    return f.select("number", *[F.round(e / total, 9).alias(f"p_{c}") for e, c in zip(ex, C.CLASSES)])
+
+
+# ------------------------------------------------------------- evaluation
+_EVAL_PAIRS = with_views("issues") + """,
+""" + scored_cte("sc", "issues")[1:] + """,
+pairs AS (
+  SELECT CAST(CASE WHEN comments <= 1 THEN 0 WHEN comments <= 5 THEN 1 ELSE 2 END AS INTEGER) AS label,
+         CAST(CASE complexity WHEN 'simple' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END AS INTEGER) AS prediction
+  FROM sc),
+conf AS (SELECT label, prediction, count(*) AS n FROM pairs GROUP BY 1, 2),
+cls AS (SELECT label AS cls FROM conf UNION SELECT prediction FROM conf),
+pc AS (
+  SELECT c.cls,
+         CAST(coalesce((SELECT sum(n) FROM conf WHERE label = c.cls AND prediction = c.cls), 0) AS BIGINT) AS tp,
+         CAST(coalesce((SELECT sum(n) FROM conf WHERE label = c.cls), 0) AS BIGINT) AS support,
+         CAST(coalesce((SELECT sum(n) FROM conf WHERE prediction = c.cls), 0) AS BIGINT) AS predicted
+  FROM cls c),
+m AS (SELECT cls, tp, support,
+             CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+             CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM pc),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+      FROM m)"""
+
+
+def _heuristic_pairs(spark, sf_dir):
+    scored = with_label(with_heuristic(FX.issues(spark, sf_dir)))
+    return scored.select("label", L.class_id(F.col("complexity")).alias("prediction"))
+
+
+@query("eval_per_class", _EVAL_PAIRS + """
+SELECT cls, tp, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM f""")
+def q_eval_per_class(spark, sf_dir):
+    """Per-class report of the heuristic scorer against comment-derived labels."""
+    pc = L.per_class_metrics(L.confusion(_heuristic_pairs(spark, sf_dir)))
+    return pc.select("cls", "tp", *[F.round(m, 9).alias(m) for m in ["precision", "recall", "f1"]], "support")
+
+
+@query("eval_weighted", _EVAL_PAIRS + """
+SELECT round(sum(tp) / sum(support), 9) AS accuracy,
+       round(sum(precision * support) / sum(support), 9) AS precision,
+       round(sum(recall * support) / sum(support), 9) AS recall,
+       round(sum(f1 * support) / sum(support), 9) AS f1,
+       CAST(sum(support) AS BIGINT) AS n
+FROM f""")
+def q_eval_weighted(spark, sf_dir):
+    """Accuracy and weighted precision / recall / F1 of the heuristic against comment-derived labels."""
+    w = L.weighted_metrics(L.confusion(_heuristic_pairs(spark, sf_dir)))
+    return w.select(*[F.round(m, 9).alias(m) for m in ["accuracy", "precision", "recall", "f1"]], "n")
+
+
+# ------------------------------------------------------------- model keys (rows only)
+@query("text_probabilities")
+def q_text_probabilities(spark, sf_dir):
+    st = learn_state(spark, sf_dir)
+    return st["stacked"].select("number", "is_test", *L.PROB_COLS)
+
+
+@query("stacking_features")
+def q_stacking_features(spark, sf_dir):
+    return learn_state(spark, sf_dir)["stacked"]
+
+
+@query("smote_balance")
+def q_smote_balance(spark, sf_dir):
+    return learn_state(spark, sf_dir)["balanced"]
+
+
+@query("stacking_predict")
+def q_stacking_predict(spark, sf_dir):
+    st = learn_state(spark, sf_dir)
+    return st["pred"].select("number", "label", "p_simple", "p_moderate", "p_complex", "prediction")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    st = learn_state(spark, sf_dir)
+    names = ["BERT_Simple", "BERT_Moderate", "BERT_Complex"] + C.NUMERIC_FEATURES
+    ranked = L.feature_importance(st["models"], L.STACK_COLS)
+    lookup = dict(zip(L.STACK_COLS, names))
+    return spark.createDataFrame([(lookup[c], float(v)) for c, v in ranked], "feature string, importance double")
+
+
+def train_evaluate_metrics(spark, sf_dir, n_trees: int = QUERY_TREES):
+    """Validation metrics of the stacked model plus the majority-class baseline (one row).
+
+    Each part is a small aggregate; the dozen resulting numbers are assembled
+    on the driver into one row.
+    """
+    st = learn_state(spark, sf_dir, n_trees)
+    conf = L.confusion(st["pred"]).persist()
+    w = L.weighted_metrics(conf).first().asDict()
+    f1 = {r["cls"]: r["f1"] for r in L.per_class_metrics(conf).collect()}  # at most 3 rows
+    split = st["split"]
+    counts = split.agg(F.count_if(~F.col("is_test")).alias("tr"), F.count_if(F.col("is_test")).alias("va")).first()
+    majority = split.where(~F.col("is_test")).groupBy("label").count().orderBy(F.desc("count"), "label").first()[0]
+    base = st["pred"].agg(F.avg((F.col("label") == majority).cast("double")).alias("b")).first()["b"]
+    conf.unpersist()
+    row = (w["accuracy"], w["precision"], w["recall"], w["f1"], *[f1.get(i, 0.0) for i in range(3)], base,
+           int(counts["tr"]), int(counts["va"]), int(st["n_trees"]))
+    schema = ("accuracy double, precision double, recall double, f1 double, f1_simple double, f1_moderate double, "
+              "f1_complex double, majority_accuracy double, training_samples bigint, validation_samples bigint, "
+              "n_trees int")
+    return spark.createDataFrame([row], schema)
+
+
+@query("train_evaluate")
+def q_train_evaluate(spark, sf_dir):
+    return train_evaluate_metrics(spark, sf_dir)
+
+
+@query("eval_metrics_write")
+def q_eval_metrics_write(spark, sf_dir):
+    """Append the run's metrics (with run id, params, time) to a metrics table and read it back."""
+    m = train_evaluate_metrics(spark, sf_dir)
+    params = {"n_trees": QUERY_TREES, "max_depth": C.GBT_DEPTH, "learning_rate": C.GBT_STEP,
+              "subsample": C.GBT_SUBSAMPLE, "test_size": C.TEST_SIZE, "random_state": C.RANDOM_STATE}
+    metric_cols = [c for c in m.columns if c != "n_trees"]
+    rec = m.select(
+        F.lit(uuid.uuid4().hex).alias("run_id"),
+        F.lit(datetime.now(timezone.utc).isoformat()).alias("timestamp"),
+        F.lit(json.dumps(params)).alias("params"),
+        F.create_map(*[x for c in metric_cols for x in (F.lit(c), F.col(c).cast("double"))]).alias("metrics"),
+    )
+    path = scratch_path(spark, "metrics")
+    rec.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
