@@ -14,6 +14,7 @@ from issuelens import config as C
 from issuelens.functions.crypto import hmac_sha256_hex
 from issuelens.functions.score import with_heuristic
 from issuelens.operators.skew import prefix_aggregate
+from issuelens.session import observe_rows
 
 PAYLOAD_SCHEMA = T.StructType([
     T.StructField("action", T.StringType()),
@@ -121,7 +122,7 @@ def relabel(labels: Column, new_label: Column, replace: Column) -> Column:
 def triage(envelopes: DataFrame, secret: str | None = C.WEBHOOK_SECRET) -> DataFrame:
     """Verify -> parse -> route -> project -> score, one narrow stage per row."""
     t = project(route(parse(verify(envelope(envelopes), secret))))
-    scored = with_heuristic(t)
+    scored = observe_rows(with_heuristic(t), "triage")  # filters on status/prediction read computed columns
     processed = F.col("status") == "processed"
     out = scored.select(
         "*",

@@ -201,19 +201,27 @@ def confusion(pred: DataFrame, label: str = "label", prediction: str = "predicti
 
 
 def per_class_metrics(conf: DataFrame) -> DataFrame:
-    """precision, recall, f1, support per class (zero division -> 0), from the confusion table."""
-    tp = conf.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))
-    support = conf.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    predicted = conf.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    classes = support.select("cls").union(predicted.select("cls")).distinct()
-    m = classes.join(tp, "cls", "left").join(support, "cls", "left").join(predicted, "cls", "left").fillna(
-        0, ["tp", "support", "predicted"])
+    """precision, recall, f1, support per class (zero division -> 0), from the confusion table.
+
+    One aggregation pass: each confusion cell counts once towards its true
+    class (support, true positives) and once towards its predicted class.
+    """
+    roles = F.explode(F.array(
+        F.struct(F.col("label").alias("cls"), F.col("n").alias("support"),
+                 F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)).alias("tp"),
+                 F.lit(0).cast("bigint").alias("predicted")),
+        F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("bigint").alias("support"),
+                 F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("predicted")),
+    ))
+    m = conf.select(roles.alias("r")).groupBy(F.col("r.cls").alias("cls")).agg(
+        F.sum("r.tp").cast("bigint").alias("tp"), F.sum("r.support").cast("bigint").alias("support"),
+        F.sum("r.predicted").cast("bigint").alias("predicted"))
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     m = m.withColumn("precision", p).withColumn("recall", r)
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    return m.withColumn("f1", f1).select("cls", "tp", "precision", "recall", "f1", F.col("support").cast("bigint"))
+    return m.withColumn("f1", f1).select("cls", "tp", "precision", "recall", "f1", "support")
 
 
 def weighted_metrics(conf: DataFrame) -> DataFrame:

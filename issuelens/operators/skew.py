@@ -16,6 +16,7 @@ per-key work is never done by one task:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +50,16 @@ def prefix_aggregate(
     ``order`` must be a total order within a key (add a unique tie-breaker).
     """
     n = num_slices(df, slices)
-    sliced = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(
+    # Range partitioning samples its input in a job of its own; keep the
+    # input for the shuffle that follows instead of computing it twice.
+    source = df.persist(StorageLevel.MEMORY_AND_DISK)
+    sliced = source.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(
         "_slice", F.spark_partition_id()
     )
     # Fix the slice of every row once: both branches below must see the same
     # slices, also when a lost executor forces a recomputation.
     sliced = cut_lineage(sliced)
+    source.unpersist()
 
     w_local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

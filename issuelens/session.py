@@ -90,5 +90,20 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        # The observation point keeps downstream filters above the repartition,
+        # so the work they carry also runs on all cores.
+        return observe_rows(df.repartition(cores), "spread")
     return df
+
+
+def observe_rows(df: DataFrame, name: str) -> DataFrame:
+    """Observation point: counts rows (a metric) and fixes the plan boundary.
+
+    Catalyst pushes filters through projections by re-inlining their
+    expressions; it does not push them through an observation.  Placed after
+    an expensive projection, a later filter on its outputs reads the computed
+    columns instead of evaluating the expressions a second time.
+    """
+    from pyspark.sql import functions as F
+
+    return df.observe(f"{name}_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))

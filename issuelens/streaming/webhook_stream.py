@@ -38,7 +38,8 @@ def land_deliveries(envelopes: DataFrame, root: str, slices: int = 4, files_per_
     Slice bounds come from approximate quantiles of the receive time (a few
     numbers on the driver), so arrival order across micro-batches follows time.
     """
-    env = envelopes.select("delivery_id", F.col("ts").cast("timestamp").alias("ts"), "event", "signature", "raw")
+    env = envelopes.select("delivery_id", F.col("ts").cast("timestamp").alias("ts"), "event", "signature",
+                           "raw").persist()  # computed once, sliced several times
     secs = F.unix_micros("ts")
     qs = env.select(F.percentile_approx(secs, [i / slices for i in range(1, slices)], 10000).alias("q")).first()["q"]
     bounds = [None, *qs, None]
@@ -51,6 +52,7 @@ def land_deliveries(envelopes: DataFrame, root: str, slices: int = 4, files_per_
         if files_per_slice:
             part = part.coalesce(files_per_slice)
         part.write.mode("append").parquet(root)
+    env.unpersist()
     return root
 
 
@@ -94,7 +96,7 @@ def triage_sink(out_root: str, with_side_effects: bool = True):
 
 
 def stream_triage(spark: SparkSession, landing: str, out_root: str, secret: str | None = C.WEBHOOK_SECRET,
-                  files_per_trigger: int = 1) -> DataFrame:
+                  files_per_trigger: int | None = None) -> DataFrame:
     """Run the event triage as a stream; returns the result table written by the sink."""
     s = read_deliveries(spark, landing, files_per_trigger)
     run_available_now(E.triage(s, secret), "triage", triage_sink(out_root))
