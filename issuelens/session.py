@@ -90,9 +90,10 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        # The observation point keeps downstream filters above the repartition,
-        # so the work they carry also runs on all cores.
-        return observe_rows(df.repartition(cores), "spread")
+        # Cheap filters may still be pushed below the repartition (less to
+        # shuffle); operators whose filters carry expensive expressions place
+        # an observation point above their projection (see observe_rows).
+        return df.repartition(cores)
     return df
 
 
