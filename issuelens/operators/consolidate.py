@@ -74,7 +74,12 @@ def dedup_key() -> Column:
 
 
 def epoch_seconds(ts_text: Column) -> Column:
-    return F.unix_seconds(F.try_to_timestamp(ts_text))
+    """Seconds since 1970-01-01 of a naive ISO timestamp text (null if unparsable).
+
+    Parsed as TIMESTAMP_NTZ, so the result does not depend on the session time zone.
+    """
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            ts_text.try_cast("timestamp_ntz"))
 
 
 def preference_score() -> Column:
