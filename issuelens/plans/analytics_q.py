@@ -16,8 +16,8 @@ P = with_views("predictions")
 
 
 @query("dashboard_kpis", P + f"""
-SELECT count(*) AS total, count_if(complexity = 'complex') AS complex_count,
-       sum(CAST(round(confidence * 10000) AS BIGINT)) / (count(confidence) * 10000.0) AS avg_confidence, count_if(confidence > {C.HIGH_CONFIDENCE}) AS high_confidence_count
+SELECT count(*) AS total, CAST(count_if(complexity = 'complex') AS BIGINT) AS complex_count,
+       sum(CAST(round(confidence * 10000) AS BIGINT)) / (count(confidence) * 10000.0) AS avg_confidence, CAST(count_if(confidence > {C.HIGH_CONFIDENCE}) AS BIGINT) AS high_confidence_count
 FROM predictions""")
 def q_dashboard_kpis(spark, sf_dir):
     return A.dashboard_kpis(FX.predictions(spark, sf_dir))
@@ -29,7 +29,7 @@ _ADVICE = f"""CASE WHEN complex_count > total * {C.HIGH_VOLUME_SHARE} THEN '{C.A
 
 
 @query("resource_advice", P + f""",
-a AS (SELECT repo, count(*) AS total, count_if(complexity = 'complex') AS complex_count
+a AS (SELECT repo, count(*) AS total, CAST(count_if(complexity = 'complex') AS BIGINT) AS complex_count
       FROM predictions GROUP BY ROLLUP (repo))
 SELECT repo, total, complex_count, {_ADVICE} AS advice FROM a""")
 def q_resource_advice(spark, sf_dir):
@@ -66,11 +66,11 @@ def q_complexity_trend(spark, sf_dir):
 
 def _period_sql(name: str, days: int | None) -> str:
     inside = "TRUE" if days is None else f"\"timestamp\" >= (SELECT max(\"timestamp\") FROM predictions) - INTERVAL {days} DAY"
-    return f"""SELECT '{name}' AS period, count_if({inside}) AS total,
-       count_if(({inside}) AND complexity = 'complex') AS complex_count,
+    return f"""SELECT '{name}' AS period, CAST(count_if({inside}) AS BIGINT) AS total,
+       CAST(count_if(({inside}) AND complexity = 'complex') AS BIGINT) AS complex_count,
        sum(CAST(round(CASE WHEN {inside} THEN confidence END * 10000) AS BIGINT))
          / (count(CASE WHEN {inside} THEN confidence END) * 10000.0) AS avg_confidence,
-       count_if(({inside}) AND confidence > {C.HIGH_CONFIDENCE}) AS high_confidence_count
+       CAST(count_if(({inside}) AND confidence > {C.HIGH_CONFIDENCE}) AS BIGINT) AS high_confidence_count
 FROM predictions"""
 
 
@@ -89,9 +89,12 @@ def q_probability_breakdown(spark, sf_dir):
 
 
 @query("recent_predictions", P + f"""
-SELECT * FROM predictions ORDER BY "timestamp" DESC, issue_number DESC LIMIT {C.RECENT_LIMIT}""")
+SELECT "timestamp", repo, issue_number, title, array_to_string(labels, ',') AS labels, comments, complexity,
+       confidence, p_simple, p_moderate, p_complex
+FROM predictions ORDER BY "timestamp" DESC, issue_number DESC LIMIT {C.RECENT_LIMIT}""")
 def q_recent_predictions(spark, sf_dir):
-    return A.recent(FX.predictions(spark, sf_dir), C.RECENT_LIMIT)
+    recent = A.recent(FX.predictions(spark, sf_dir), C.RECENT_LIMIT)
+    return recent.withColumn("labels", F.array_join("labels", ","))
 
 
 # ------------------------------------------------------- prediction log I/O

@@ -160,8 +160,8 @@ def q_feedback_append(spark, sf_dir):
 
 @query("feedback_stats", with_views("feedback") + f"""
 SELECT count(*) AS feedback_records,
-       count_if(length({py_strip("coalesce(human_label, '')")}) > 0) AS labelled_records,
-       CASE WHEN count(*) > 0 THEN count_if(length({py_strip("coalesce(human_label, '')")}) > 0) / count(*) END
+       CAST(count_if(length({py_strip("coalesce(human_label, '')")}) > 0) AS BIGINT) AS labelled_records,
+       CASE WHEN count(*) > 0 THEN CAST(count_if(length({py_strip("coalesce(human_label, '')")}) > 0) AS BIGINT) / count(*) END
          AS labelled_share
 FROM feedback""")
 def q_feedback_stats(spark, sf_dir):
