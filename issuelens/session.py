@@ -37,7 +37,7 @@ def get_session(master: str | None = None, app: str = "issuelens", conf: dict |
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return spark
 
 
@@ -55,6 +55,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``issuelens`` importable on executors (``--py-files`` done programmatically).
+
+    Needed by the Python functions Spark runs on workers (the keyed label
+    state); done once per SparkContext.  The zip is handed to Spark, which
+    distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import issuelens
+
+    pkg_dir = os.path.dirname(os.path.abspath(issuelens.__file__))
+    out_dir = tempfile.mkdtemp(prefix="issuelens-pyfiles-")  # driver-side build artefact only
+    zpath = os.path.join(out_dir, "issuelens.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
+
+
+def prepare(spark: SparkSession) -> str:
+    """Everything a job needs before running: shared folder and the package on executors."""
+    ship_package(spark)
+    return ensure_checkpoint_dir(spark)
+
+
 def shared_root(spark: SparkSession) -> str:
     """Root of the shared folder (the configured checkpoint dir itself)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
