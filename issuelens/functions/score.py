@@ -81,18 +81,6 @@ def confidence_of(cls: Column, p_simple: Column, p_moderate: Column, p_complex:
     )
 
 
-def heuristic_columns(title="title", body="body", labels="labels") -> dict[str, Column]:
-    """complexity, confidence, p_simple, p_moderate, p_complex."""
-    pts = heuristic_points(title, body, labels)
-    probs = probabilities_from_points(pts)
-    cls = argmax_class(probs["p_simple"], probs["p_moderate"], probs["p_complex"])
-    return {
-        "complexity": cls,
-        "confidence": confidence_of(cls, probs["p_simple"], probs["p_moderate"], probs["p_complex"]),
-        **probs,
-    }
-
-
 def with_heuristic(df, title="title", body="body", labels="labels", keep_points: bool = False):
     """Add heuristic columns.
 

@@ -18,10 +18,8 @@ PY_WS_CHARS = (
     r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-PY_WS = f"[{PY_WS_CHARS}]"
 PY_NON_WS = f"[^{PY_WS_CHARS}]"
-STRIP_PATTERN = rf"\A{PY_WS}+|{PY_WS}+\z"
-# The same set as literal characters, for trim(str, chars): touches only the ends.
+# The same set as literal characters, for trim / translate.
 PY_WS_STRING = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
                                          *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
@@ -67,11 +65,6 @@ def has_url(c) -> Column:
     return has_pattern(c, HAS_URL_RE)
 
 
-def lower_labels(c) -> Column:
-    """Label list normalised to lower case; null list -> empty list."""
-    return F.transform(F.coalesce(col_(c), F.array().cast("array<string>")), lambda x: F.lower(x))
-
-
 LABEL_SEP = "\u0001"
 
 

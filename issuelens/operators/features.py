@@ -107,5 +107,3 @@ def feature_frame(iss: DataFrame) -> DataFrame:
     f = f.drop(*[c for c in ("title", "body", "text") if c in f.columns])
     return user_history(f)
 
-
-NUMERIC_FEATURES = C.NUMERIC_FEATURES

@@ -27,6 +27,7 @@ from issuelens.operators.features import (
     user_history,
     with_label,
 )
+from issuelens.operators.scoring import class_name_map
 from issuelens.operators.skew import running_count
 
 PROB_COLS = C.PROB_FEATURES
@@ -180,7 +181,7 @@ def predict_one_vs_rest(models: list, df: DataFrame, feature_cols: list[str]) ->
     out = out.select(*df.columns, *[(p / total).alias(f"p_{c}") for p, c in zip(pos, C.CLASSES)])
     pred = (F.when((F.col("p_simple") >= F.col("p_moderate")) & (F.col("p_simple") >= F.col("p_complex")), 0)
             .when(F.col("p_moderate") >= F.col("p_complex"), 1).otherwise(2))
-    return out.withColumn("prediction", pred)
+    return out.withColumn("prediction", pred).withColumn("complexity", class_name_map(F.col("prediction")))
 
 
 def feature_importance(models: list, feature_cols: list[str]) -> list[tuple[str, float]]:

@@ -167,7 +167,7 @@ def q_smote_balance(spark, sf_dir):
 @query("stacking_predict")
 def q_stacking_predict(spark, sf_dir):
     st = learn_state(spark, sf_dir)
-    return st["pred"].select("number", "label", "p_simple", "p_moderate", "p_complex", "prediction")
+    return st["pred"].select("number", "label", "p_simple", "p_moderate", "p_complex", "prediction", "complexity")
 
 
 @query("feature_importance")

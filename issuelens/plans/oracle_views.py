@@ -24,10 +24,6 @@ def py_words(x: str) -> str:
     return f"CAST(coalesce(len(regexp_extract_all({x}, '{PY_NON_WS}+')), 0) AS BIGINT)"
 
 
-def sql_list(values: list[str]) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
-
-
 def any_label_in(labels_sql: str, names: list[str]) -> str:
     inset = ", ".join(f"'{n}'" for n in names)
     return f"(len(list_filter({labels_sql}, lambda x: lower(x) IN ({inset}))) > 0)"
