@@ -90,6 +90,7 @@ def project(df: DataFrame) -> DataFrame:
     iss = F.col("payload.issue")
     return df.select(
         "*",
+        F.col("payload.action").alias("action"),
         iss["number"].alias("number"),
         F.col("payload.repository.full_name").alias("repo"),
         F.coalesce(iss["title"], F.lit("")).alias("title"),
@@ -139,7 +140,7 @@ def result_columns(t: DataFrame) -> DataFrame:
     return t.select(
         "delivery_id",
         F.col("event").alias("event_type"),
-        F.col("payload.action").alias("action"),
+        "action",
         "status",
         "reason",
         F.when(processed, F.col("number")).alias("issue_number"),

@@ -19,8 +19,12 @@ def _landing(spark, sf_dir, redeliver: bool = False) -> str:
         # Every 13th delivery arrives a second time, five minutes later.
         again = wh.where(F.col("delivery_id") % 13 == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 5 MINUTES"))
         wh = wh.unionByName(again)
-    # One file per time slice so that one micro-batch = one slice, in time order.
-    return S.land_deliveries(wh, scratch_path(spark, "landing"), files_per_slice=1)
+    # Every time slice lands as FILES files, so one micro-batch = one slice, in time order.
+    return S.land_deliveries(wh, scratch_path(spark, "landing"), files_per_slice=_files(spark))
+
+
+def _files(spark) -> int:
+    return max(1, spark.sparkContext.defaultParallelism)
 
 
 @query("stream_webhook_ingest", ROUTED + """
@@ -47,12 +51,14 @@ def q_stream_triage(spark, sf_dir):
 
 @query("stream_dedup", with_views("webhook_events") + "\nSELECT delivery_id, event, raw FROM webhook_events")
 def q_stream_dedup(spark, sf_dir):
-    return S.stream_dedup(spark, _landing(spark, sf_dir, redeliver=True), scratch_path(spark, "dedup-out"))
+    return S.stream_dedup(spark, _landing(spark, sf_dir, redeliver=True), scratch_path(spark, "dedup-out"),
+                          files_per_trigger=_files(spark))
 
 
 @query("stream_relabel", RELABEL_HISTORY_SQL)
 def q_stream_relabel(spark, sf_dir):
-    return S.stream_relabel(spark, _landing(spark, sf_dir), scratch_path(spark, "relabel-out"))
+    return S.stream_relabel(spark, _landing(spark, sf_dir), scratch_path(spark, "relabel-out"),
+                            files_per_trigger=_files(spark))
 
 
 @query("stream_trend", TRIAGED + f""",
@@ -63,4 +69,5 @@ FROM d
 WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM webhook_events) - INTERVAL {S.WATERMARK}
 GROUP BY day, complexity""")
 def q_stream_trend(spark, sf_dir):
-    return S.stream_trend(spark, _landing(spark, sf_dir), scratch_path(spark, "trend-out"))
+    return S.stream_trend(spark, _landing(spark, sf_dir), scratch_path(spark, "trend-out"),
+                          files_per_trigger=_files(spark))

@@ -37,9 +37,14 @@ def land_deliveries(envelopes: DataFrame, root: str, slices: int = 4, files_per_
 
     Slice bounds come from approximate quantiles of the receive time (a few
     numbers on the driver), so arrival order across micro-batches follows time.
+    With ``files_per_slice`` every slice lands as exactly that many files
+    (round-robin), so ``maxFilesPerTrigger = files_per_slice`` makes each
+    micro-batch one slice while it still runs on that many tasks.
     """
-    env = envelopes.select("delivery_id", F.col("ts").cast("timestamp").alias("ts"), "event", "signature",
-                           "raw").persist()  # computed once, sliced several times
+    staged = f"{root}-staged"
+    envelopes.select("delivery_id", F.col("ts").cast("timestamp").alias("ts"), "event", "signature", "raw") \
+        .write.mode("overwrite").parquet(staged)  # computed once, sliced several times
+    env = envelopes.sparkSession.read.parquet(staged)
     secs = F.unix_micros("ts")
     qs = env.select(F.percentile_approx(secs, [i / slices for i in range(1, slices)], 10000).alias("q")).first()["q"]
     bounds = [None, *qs, None]
@@ -50,9 +55,8 @@ def land_deliveries(envelopes: DataFrame, root: str, slices: int = 4, files_per_
         if hi is not None:
             part = part.where(secs <= F.lit(hi))
         if files_per_slice:
-            part = part.coalesce(files_per_slice)
+            part = part.repartition(files_per_slice)
         part.write.mode("append").parquet(root)
-    env.unpersist()
     return root
 
 
@@ -73,11 +77,16 @@ def run_available_now(stream: DataFrame, name: str, sink, output_mode: str = "ap
 
 
 # ------------------------------------------------------------------ triage
+SINK_COLUMNS = ["delivery_id", "event", "action", "status", "reason", "route", "number", "repo", "title", "labels",
+                "comments", "predicted", "confidence", "p_simple", "p_moderate", "p_complex", "comment_id"]
+
+
 def triage_sink(out_root: str, with_side_effects: bool = True):
     """foreachBatch writer: results + prediction log + feedback log + outbox, per batch id."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        # Keep only what the four writers need (no raw body, payload or texts).
+        batch = batch.select(*SINK_COLUMNS).persist()
         E.result_columns(batch).write.mode("overwrite").parquet(f"{out_root}/results/batch={batch_id}")
         if with_side_effects:
             done = batch.where(F.col("status") == "processed").select(
@@ -115,9 +124,10 @@ def stream_ingest(spark: SparkSession, landing: str, out: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def stream_dedup(spark: SparkSession, landing: str, out: str, delay: str = WATERMARK) -> DataFrame:
+def stream_dedup(spark: SparkSession, landing: str, out: str, delay: str = WATERMARK,
+                 files_per_trigger: int | None = 1) -> DataFrame:
     """Drop redelivered events (same delivery id) within the watermark."""
-    s = read_deliveries(spark, landing, 1).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["delivery_id"])
+    s = read_deliveries(spark, landing, files_per_trigger).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["delivery_id"])
     run_available_now(s.select("delivery_id", "event", "raw"), "dedup", out)
     return spark.read.parquet(out)
 
@@ -148,9 +158,10 @@ def _relabel_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
     })
 
 
-def stream_relabel(spark: SparkSession, landing: str, out: str, secret: str | None = C.WEBHOOK_SECRET) -> DataFrame:
+def stream_relabel(spark: SparkSession, landing: str, out: str, secret: str | None = C.WEBHOOK_SECRET,
+                   files_per_trigger: int | None = 1) -> DataFrame:
     """Per-issue label state over the event stream (comment events replace, issue events add)."""
-    s = E.triage(read_deliveries(spark, landing, 1), secret).where(F.col("status") == "processed")
+    s = E.triage(read_deliveries(spark, landing, files_per_trigger), secret).where(F.col("status") == "processed")
     keyed = s.select("delivery_id", "repo", "number", "ts", F.col("predicted").alias("complexity"),
                      (F.col("route") == "comment").alias("is_comment"))
     labelled = keyed.groupBy("repo", "number").applyInPandasWithState(
@@ -161,9 +172,9 @@ def stream_relabel(spark: SparkSession, landing: str, out: str, secret: str | No
 
 # ------------------------------------------------------------------ trend
 def stream_trend(spark: SparkSession, landing: str, out: str, delay: str = WATERMARK,
-                 secret: str | None = C.WEBHOOK_SECRET) -> DataFrame:
+                 secret: str | None = C.WEBHOOK_SECRET, files_per_trigger: int | None = 1) -> DataFrame:
     """Daily count and mean confidence per class; closed windows only (append mode)."""
-    s = read_deliveries(spark, landing, 1).withWatermark("ts", delay)
+    s = read_deliveries(spark, landing, files_per_trigger).withWatermark("ts", delay)
     t = E.triage(s, secret).where(F.col("status") == "processed")
     agg = t.groupBy(F.window("ts", TREND_WINDOW).alias("w"), F.col("predicted").alias("complexity")).agg(
         F.count(F.lit(1)).alias("n"), mean_4dp(F.col("confidence")).alias("avg_confidence"))
