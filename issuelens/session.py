@@ -23,6 +23,11 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Keyed stream state (label state, dedup, windows) off-heap with
+    # incremental checkpoints: state grows with the number of issues.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Broadcast only what is known to be small; explicit hints are used
     # for the fixed-size dimensions, everything else is planned by AQE.
     "spark.sql.autoBroadcastJoinThreshold": str(16 * 1024 * 1024),
