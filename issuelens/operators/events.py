@@ -170,7 +170,7 @@ def label_history(t: DataFrame) -> DataFrame:
     aggs = [("_last_comment", "max", F.when(F.col("is_comment"), pos))] + [
         (f"_last_{c}", "max", F.when(F.col("complexity") == c, pos)) for c in C.CLASSES
     ]
-    h = prefix_aggregate(p, ["repo", "number"], [F.col("ts"), F.col("delivery_id")], aggs)
+    h = prefix_aggregate(p, ["repo", "number"], [F.col("ts"), F.col("delivery_id")], aggs, stage_input=True)
     present = [
         F.when(F.col(f"_last_{c}").isNotNull()
                & (F.col("_last_comment").isNull() | (F.col(f"_last_{c}") >= F.col("_last_comment"))),

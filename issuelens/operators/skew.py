@@ -42,12 +42,18 @@ def prefix_aggregate(
     order: list[Column],
     aggs: list[tuple[str, str, Column]],
     slices: int | None = None,
+    stage_input: bool = False,
 ) -> DataFrame:
     """Inclusive running aggregates per key in ``order``.
 
     ``aggs`` holds ``(out_name, kind, expr)`` with kind ``sum`` or ``max``.
     ``order`` must be a total order within a key (add a unique tie-breaker).
+    ``stage_input`` first writes the (narrow) input to the shared folder:
+    range partitioning samples its input in a job of its own, so an
+    expensive input would otherwise be computed twice.
     """
+    if stage_input:
+        df = cut_lineage(df)
     n = num_slices(df, slices)
     sliced = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(
         "_slice", F.spark_partition_id()
