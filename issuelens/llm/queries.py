@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.llm import decontam, langid, line_dedup, mixing, outliers, paragraphs, simhash, toxicity
+from issuelens.llm import decontam, langid, line_dedup, mixing, outliers, paragraphs, pii, simhash, toxicity
 from issuelens.llm.registry import query
 from issuelens.session import table
 
@@ -73,3 +73,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(
         F.col("id").alias("doc_id"), "n_paragraphs", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query("op9_pii_surrogates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return safe.select(
+        F.col("id").alias("doc_id"), "n_entities", F.array_join("kinds", ",").alias("kinds"), "text"
+    )
