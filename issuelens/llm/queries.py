@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.llm import decontam, langid, line_dedup, mixing, outliers, paragraphs, pii, simhash, toxicity
+from issuelens.llm import bwt, decontam, langid, line_dedup, mixing, outliers, paragraphs, pii, simhash, toxicity
 from issuelens.llm.registry import query
 from issuelens.session import table
 
@@ -81,3 +81,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safe.select(
         F.col("id").alias("doc_id"), "n_entities", F.array_join("kinds", ",").alias("kinds"), "text"
     )
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = bwt.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
