@@ -6,8 +6,9 @@ Where can a repeated string be?  Every string's anchor is the smallest hash amon
 strings have equal anchors; consecutive starts with the same anchor form a run, and a run's window is the
 text that its strings cover.  Strings whose anchor occurs in one document only cannot repeat and are left out.
 
-The windows of an anchor meet in one bucket of anchors.  There, shards of windows get their own suffix order and
-transform; the transforms are merged by refining the interleave of the shards: starting from "all rows of shard 0,
+The windows of an anchor meet in one bucket of anchors; equal windows are one, with their smallest id, and a window that
+stays alone with its anchor shares no string with another.  The others are indexed: shards of windows get their own suffix
+order and transform; the transforms are merged by refining the interleave of the shards: starting from "all rows of shard 0,
 then shard 1, ...", one pass per symbol deals the rows by the symbol before them, which sorts them by one
 more leading symbol, and rows that a pass separates get their longest common prefix.  After ``SPAN`` passes the rows
 between two separations are the intervals with a common prefix of ``SPAN`` or more.  No suffix is sorted again.  The smallest id of
@@ -39,12 +40,13 @@ from pyspark.sql import functions as F
 from issuelens.llm.common import row_blocks, stage, text_bytes
 
 SPAN = 50
-GRAM = 16
+GRAM = 24
 REACH = SPAN - GRAM + 1
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 6 << 20
 SHARD_BYTES = 1 << 19
 STEP_BYTES = 4 << 20
+CHUNK = 1 << 15
 FREQUENT = 64
 HOT = 5_000
 NO_ID = (1 << 63) - 1
@@ -70,6 +72,34 @@ def block_column(blocks: int):
     return F.crc32(F.col("id").cast("string").cast("binary")) % F.lit(blocks)
 
 
+def least_gram(eight: np.ndarray, at: int, to: int) -> np.ndarray:
+    """Smallest hash among the REACH grams from each place; ``eight``: the eight bytes at each place."""
+    h = eight[at:to] * _C[0]
+    for i in range(8, GRAM, 8):
+        h ^= h >> np.uint64(32)
+        h += eight[at + i : to + i]
+        h *= _C[1]
+    h ^= h >> np.uint64(29)
+    h *= _C[2]
+    width = 1
+    while width * 2 <= REACH:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    return np.minimum(h[: len(h) - (REACH - width)], h[REACH - width :])
+
+
+_MIXED = (np.arange(1, 257, dtype=np.uint64) * _C[3]) ^ (np.arange(1, 257, dtype=np.uint64) * _C[1] >> np.uint64(7))
+_powers = np.zeros(0, np.uint64)
+
+
+def powers_of_base(n: int) -> np.ndarray:
+    """The first n powers of the base of the polynomial hash; kept for the next call."""
+    global _powers
+    if len(_powers) < n:
+        _powers = np.cumprod(np.full(n + (n >> 2), _C[0]))
+    return _powers[:n]
+
+
 class Runs:
     """Runs of starts with a common anchor over several texts laid end to end."""
 
@@ -84,18 +114,11 @@ class Runs:
             self.anchor = np.zeros(0, np.uint64)
             self.text = self.start
             return
-        eight = np.ndarray((n + 8,), "<u8", buffer=self.data, strides=(1,))
-        h = eight[:n] * _C[0]
-        h ^= h >> np.uint64(32)
-        h += eight[8 : n + 8]
-        h *= _C[1]
-        h ^= h >> np.uint64(29)
-        h *= _C[2]
-        width = 1
-        while width * 2 <= REACH:
-            h = np.minimum(h[:-width], h[width:])
-            width *= 2
-        h = np.minimum(h[: len(h) - (REACH - width)], h[REACH - width :])
+        eight = np.ndarray((n + GRAM,), "<u8", buffer=self.data, strides=(1,))
+        h = np.empty(n - REACH + 1, np.uint64)
+        for at in range(0, len(h), CHUNK):  # pieces that stay in the processor's cache
+            to = min(at + CHUNK, len(h))
+            h[at:to] = least_gram(eight, at, to + REACH - 1)
         valid = np.ones(len(h) + 1, bool)
         valid[-1] = False
         for end, size in zip(self.ends.tolist(), self.sizes.tolist()):
@@ -117,10 +140,9 @@ class Runs:
 
     def prefix(self) -> tuple[np.ndarray, np.ndarray]:
         """Running polynomial hash of all bytes, and the powers of its base."""
-        n = len(self.bytes)
-        mixed = (np.arange(1, 257, dtype=np.uint64) * _C[3]) ^ (np.arange(1, 257, dtype=np.uint64) * _C[1] >> np.uint64(7))
-        powers = np.cumprod(np.full(n, _C[0]))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[self.bytes] * powers)])
+        powers = powers_of_base(len(self.bytes))
+        total = np.zeros(len(powers) + 1, np.uint64)
+        np.cumsum(_MIXED[self.bytes] * powers, out=total[1:])
         return total, powers
 
     def hashes(self, start: np.ndarray, size: np.ndarray, prefix) -> np.ndarray:
@@ -160,47 +182,47 @@ def suffix_order(flat: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.argsort(table.view(f"S{width}").reshape(-1), kind="stable")
 
 
-def merge(shards: list[np.ndarray], ends: list[np.ndarray], span: int = SPAN) -> tuple[list[np.ndarray], np.ndarray]:
-    """Interval number of every place of every shard, and the common prefixes between neighbouring rows.
+def merge(shards: list[np.ndarray], ends: list[np.ndarray], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Interval of every place of every shard (-1: alone), and each place's common prefix with the row before it (of places that begin with a symbol).
 
     A shard is an array of symbols in which 0 ends each text; ``ends`` holds, per place, where its text ends.
-    Places with equal intervals start with the same ``span`` symbols.
+    Places with equal intervals start with the same ``span`` symbols.  The common prefix is ``span`` where it is as long
+    as that.  A row that stays alone at some depth is final: so are the rows that follow from it, and they
+    leave the interleave.
     """
     orders = [suffix_order(s, e) for s, e in zip(shards, ends)]
     transform = np.concatenate([s[o - 1] for s, o in zip(shards, orders)])  # the symbol before each suffix
     n = len(transform)
-    rows = np.array([len(s) for s in shards])
-    stops = np.array([int((s == 0).sum()) for s in shards])
-    kind = np.uint8 if len(shards) <= 256 else np.uint16 if len(shards) <= 65536 else np.uint32
-    interleave = np.repeat(np.arange(len(shards)), rows).astype(kind)
-    first = np.repeat(np.arange(len(shards)), stops).astype(kind)  # rows that begin with a terminator never move
+    back = np.empty(n, np.int32)  # the row of the suffix that is one symbol longer
+    at = 0
+    for o in orders:
+        rank = np.empty(len(o), np.int32)
+        rank[o] = np.arange(at, at + len(o))
+        back[at : at + len(o)] = rank[o - 1]
+        at += len(o)
+    interleave = np.arange(n, dtype=np.int32)  # shard after shard
     block = np.zeros(n, np.int32)
-    prefix = np.full(n, span, np.int16)
-    prefix[0] = 0
+    common = np.full(n, span, np.int16)
     for depth in range(span):
-        place = np.argsort(interleave, kind="stable")
-        before = np.empty(n, np.uint8)
-        before[place] = transform
-        dealt = np.argsort(before, kind="stable")[len(first) :]
-        symbol, own = before[dealt], block[dealt]
-        interleave = np.concatenate([first, interleave[dealt]])
-        apart = np.ones(n, bool)
-        apart[len(first) + 1 :] = (symbol[1:] != symbol[:-1]) | (own[1:] != own[:-1])
-        prefix[apart & (prefix == span) & (np.arange(n) > 0)] = depth
-        now = np.cumsum(apart, dtype=np.int32)
-        if depth and now[-1] == block[-1] and np.array_equal(now, block):
-            block = now
-            break
-        block = now
-    place = np.argsort(interleave, kind="stable")
-    out = []
-    at = 0
-    for o, size in zip(orders, rows.tolist()):
-        named = np.empty(size, np.int32)
-        named[o] = block[place[at : at + size]]
-        out.append(named)
-        at += size
-    return out, prefix
+        symbol = transform[interleave]
+        going = np.flatnonzero(symbol)  # what follows a terminator begins another text
+        symbol = symbol[going]
+        dealt = np.argsort(symbol, kind="stable")
+        from_ = going[dealt]
+        symbol, own = symbol[dealt], block[from_]
+        interleave = back[interleave[from_]]
+        apart = np.ones(len(from_) + 1, bool)
+        apart[1:-1] = (symbol[1:] != symbol[:-1]) | (own[1:] != own[:-1])
+        heads = interleave[apart[:-1]]
+        common[heads] = np.minimum(common[heads], depth)
+        shared = ~(apart[:-1] & apart[1:])
+        interleave, block = interleave[shared], np.cumsum(apart[:-1], dtype=np.int32)[shared]
+    interval = np.full(n, -1, np.int32)
+    interval[interleave] = block
+    where = np.concatenate([o + at for o, at in zip(orders, np.cumsum([0] + [len(o) for o in orders[:-1]]))])
+    named, prefix = np.empty(n, np.int32), np.empty(n, np.int16)
+    named[where], prefix[where] = interval, common
+    return named, prefix
 
 
 def smallest_ids(windows: list[bytes], ids: np.ndarray, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -223,15 +245,15 @@ def smallest_ids(windows: list[bytes], ids: np.ndarray, shard_bytes: int = SHARD
         at = to
     if not shards:
         return []
-    interval = np.concatenate(merge(shards, ends)[0])
+    interval = merge(shards, ends)[0]
     owner, offset = np.concatenate(owners), np.concatenate(offsets)
     sizes = np.fromiter(map(len, windows), np.int64, len(windows))
     start = offset <= sizes[owner] - SPAN
     interval, owner = interval[start], owner[start]
-    least = np.full(int(interval.max()) + 1, NO_ID, np.int64)
+    least = np.full(int(interval.max()) + 2, NO_ID, np.int64)  # the last entry, of places that are alone, is not used
     np.minimum.at(least, interval, ids[owner])
     counts = np.maximum(sizes - SPAN + 1, 0)
-    return np.split(least[interval], np.cumsum(counts)[:-1])
+    return np.split(np.where(interval < 0, ids[owner], least[interval]), np.cumsum(counts)[:-1])
 
 
 def _anchor_rows(buckets: int, frequent: int):
@@ -449,6 +471,8 @@ def _windows(buckets: int):
         size = length + SPAN - 1
         name = runs.hashes(start, size, runs.prefix())
         who = owner[run]
+        # A single string of a hot anchor is dealt by itself and meets no other one: it carries no anchor.
+        anchor = np.where(is_hot[run], -1, (code[run] & np.uint64(0xFFFFFFFF)).astype(np.int64))
         route = np.where(is_hot[run], (name >> np.uint64(20)) % np.uint64(buckets), code[run] >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((who, name, route))
         heads = order[_groups_two(route[order], name[order])]
@@ -459,7 +483,7 @@ def _windows(buckets: int):
         for a, z in zip(cut.tolist(), np.append(cut[1:], len(heads)).tolist()):
             h = heads[a:z]
             text = b"".join([runs.data[s : s + n] for s, n in zip(start[h].tolist(), size[h].tolist())])
-            head = np.stack([name[h].view(np.int64), who[h]], axis=1)
+            head = np.stack([name[h].view(np.int64), who[h], anchor[h]], axis=1)
             tail = np.stack([length[h], several[a:z]], axis=1).astype(np.uint8)
             rows.append((int(route[h[0]]), block, 0, pack(head), pack(tail), zstandard.ZstdCompressor(level=1).compress(text)))
         return _batch(rows)
@@ -474,30 +498,43 @@ def _groups_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _verdicts(batches):
     """Windows of one bucket -> per block: window, first start, number of starts and smallest id of pieces that repeat."""
     for rows in _by_route(batches):
-        names, ids, lengths, several, block, texts = [], [], [], [], [], []
+        names, ids, anchors, lengths, several, block, data, starts = ([] for _ in range(8))
+        at = 0
         for r in rows:
-            head, tail = unpack(r[3], np.int64).reshape(-1, 2), unpack(r[4], np.uint8).reshape(-1, 2)
+            head, tail = unpack(r[3], np.int64).reshape(-1, 3), unpack(r[4], np.uint8).reshape(-1, 2)
             names.append(head[:, 0].view(np.uint64))
             ids.append(head[:, 1])
+            anchors.append(head[:, 2])
             lengths.append(tail[:, 0].astype(np.int64))
             several.append(tail[:, 1] > 0)
             block.append(np.full(len(head), r[1]))
-            data = zstandard.ZstdDecompressor().decompress(r[5], max_output_size=1 << 31)
-            stop = np.cumsum(lengths[-1] + SPAN - 1)
-            texts += [data[a:z] for a, z in zip((stop - lengths[-1] - SPAN + 1).tolist(), stop.tolist())]
-        name, who, several, block = (np.concatenate(x) for x in (names, ids, several, block))
+            data.append(zstandard.ZstdDecompressor().decompress(r[5], max_output_size=1 << 31))
+            size = lengths[-1] + SPAN - 1
+            starts.append(at + np.cumsum(size) - size)
+            at += len(data[-1])
+        data = b"".join(data)
+        name, who, anchor, length, several, block, start = (
+            np.concatenate(x) for x in (names, ids, anchors, lengths, several, block, starts)
+        )
         distinct, first, place = np.unique(name, return_index=True, return_inverse=True)
         least = np.full(len(distinct), NO_ID)
         np.minimum.at(least, place, who)
-        found = smallest_ids([texts[i] for i in first.tolist()], least)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found)
-        owner = np.repeat(np.arange(len(found)), counts)
+        counts, anchor, start = length[first], anchor[first], start[first]
+        # Windows share a string only if they share its anchor: one that is alone with its anchor needs no index.
+        _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
+        met = np.flatnonzero((members[group] > 1) & (anchor >= 0))
+        flat = np.repeat(least, counts)
+        owner = np.repeat(np.arange(len(distinct)), counts)
+        if len(met):
+            texts = [data[a : a + n] for a, n in zip(start[met].tolist(), (counts[met] + SPAN - 1).tolist())]
+            inside = np.zeros(len(distinct), bool)
+            inside[met] = True
+            flat[inside[owner]] = np.concatenate(smallest_ids(texts, least[met]))
         heads = _groups_two(owner, flat)  # pieces of a window with the same smallest id
         span = np.diff(np.append(heads, len(flat)))
         offset = heads - (np.cumsum(counts) - counts)[owner[heads]]
-        piece_from = np.searchsorted(owner[heads], np.arange(len(found)))
-        pieces = np.bincount(owner[heads], minlength=len(found))
+        piece_from = np.searchsorted(owner[heads], np.arange(len(distinct)))
+        pieces = np.bincount(owner[heads], minlength=len(distinct))
         # Every mention of a window gets its pieces, but for those that start in its block's only document with it.
         times = pieces[place]
         mention = np.repeat(np.arange(len(place)), times)
