@@ -92,7 +92,7 @@ def with_heuristic(df, title="title", body="body", labels="labels", keep_points:
         "*",
         T.py_strip(F.coalesce(T.col_(title), F.lit(""))).alias("_ts"),
         T.py_strip(F.coalesce(T.col_(body), F.lit(""))).alias("_bs"),
-        T.lowered_label_array(labels).alias("_lab"),
+        T.lowered_label_array(T.label_array(labels, df.schema[labels].dataType)).alias("_lab"),
     )
     out = staged.withColumn("_pts", points_from_parts(F.col("_ts"), F.col("_bs"), F.col("_lab"))).drop(
         "_ts", "_bs", "_lab")

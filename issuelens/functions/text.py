@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from issuelens import config as C
 
@@ -68,6 +69,23 @@ def has_url(c) -> Column:
 LABEL_SEP = "\u0001"
 
 
+def whole_number(c: Column) -> Column:
+    """A number written as integer, decimal or float text (``3``, ``3.0``) as bigint; ``nan`` and other text: null."""
+    d = c.cast("string").try_cast("double")
+    return F.when(~F.isnan(d), d).try_cast("bigint")
+
+
+def label_array(c, dtype) -> Column:
+    """Labels as an array of names, by type: names, objects with a ``name`` (missing: ``unknown``), comma text."""
+    if isinstance(dtype, ArrayType):
+        if isinstance(dtype.elementType, StructType):
+            named = "name" in dtype.elementType.fieldNames()
+            return F.transform(col_(c), lambda x: F.coalesce(x["name"].cast("string"), F.lit("unknown"))
+                               if named else F.lit("unknown"))
+        return col_(c).cast("array<string>")
+    return F.when(col_(c).isNotNull(), split_trim_list(c))
+
+
 def lowered_label_array(c) -> Column:
     """Lower-cased label list without lambdas (keeps the projection in codegen)."""
     return F.split(F.lower(F.array_join(F.coalesce(col_(c), F.array().cast("array<string>")), LABEL_SEP)), LABEL_SEP)
@@ -87,3 +105,25 @@ def split_trim_list(c, sep: str = ",") -> Column:
 def percent0(c) -> Column:
     """Python ``f"{x:.0%}"`` (round half to even) for x in [0, 1]."""
     return F.concat(F.bround(col_(c) * 100, 0).cast("bigint").cast("string"), F.lit("%"))
+
+
+def percent(c, digits: int = 0) -> Column:
+    """Python ``f"{x:.{digits}%}"`` (round half to even) for 0, 1 or 2 digits."""
+    if not digits:
+        return percent0(c)
+    return F.concat(F.format_string(f"%.{digits}f", F.bround(col_(c) * 100, digits)), F.lit("%"))
+
+
+def number0(c) -> Column:
+    """Python ``f"{x:.0f}"`` (round half to even)."""
+    return F.bround(col_(c), 0).cast("bigint").cast("string")
+
+
+def title_case(c) -> Column:
+    """Python ``str.title`` for words of letters: a letter after a non-letter is upper case, all others lower."""
+    lowered = F.lower(col_(c))
+    marked = F.regexp_replace(lowered, r"(?<![\p{L}])(\p{L})", "\u0001$1")
+    parts = F.split(marked, "\u0001")
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+                       lambda x: F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x))))
+    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))

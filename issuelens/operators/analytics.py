@@ -71,10 +71,9 @@ def complexity_distribution(pred: DataFrame) -> DataFrame:
 
 
 def label_items(labels: Column, dtype) -> Column:
-    """Label list of a record: array items as text, or comma text trimmed with blanks dropped."""
-    if isinstance(dtype, ArrayType):
-        return F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.isNotNull())
-    return TX.split_trim_list(labels)
+    """Label list of a record: names, names of label objects, or comma text trimmed with blanks dropped."""
+    names = F.coalesce(TX.label_array(labels, dtype), F.array().cast("array<string>"))
+    return F.filter(names, lambda x: x.isNotNull())
 
 
 def top_labels(pred: DataFrame, k: int = C.TOP_LABELS) -> DataFrame:

@@ -12,18 +12,21 @@ from issuelens.operators.skew import best_per_key
 
 
 def collect_issues(rows: DataFrame, include_closed: bool = C.INCLUDE_CLOSED, min_comments: int = C.MIN_COMMENTS,
-                   max_per_repo: int = C.MAX_ISSUES_PER_REPO) -> DataFrame:
+                   max_per_repo: int | None = C.MAX_ISSUES_PER_REPO) -> DataFrame:
     """Drop pull requests, apply the state and comment filters, keep the newest
     ``max_per_repo`` issues of each repository.
 
     ``row_number() <= n`` plans as a partial WindowGroupLimit before the
     shuffle, so every map task forwards at most n rows per repository and a
-    hot repository never arrives whole at one task.
+    hot repository never arrives whole at one task.  The cap bounds one
+    collection run; ``None`` takes every issue (counts over merged tables).
     """
     f = rows.where(~F.col("_is_pr"))
     if not include_closed:
         f = f.where(F.col("state") == "open")
     f = f.where(F.coalesce(F.col("comments"), F.lit(0)) >= min_comments)
+    if max_per_repo is None:
+        return f.drop("_is_pr")
     w = Window.partitionBy("repo").orderBy(F.col("created_at").desc(), F.col("number").desc())
     return f.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_per_repo).drop("_rn", "_is_pr")
 

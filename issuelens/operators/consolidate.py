@@ -39,7 +39,7 @@ def unify_schema(df: DataFrame, source: str) -> DataFrame:
 
     if "labels" in cols:
         if isinstance(types["labels"], ArrayType):
-            labels = F.array_join(F.col("labels"), ",")
+            labels = F.array_join(T.label_array(F.col("labels"), types["labels"]), ",")
         else:
             labels = F.col("labels").cast("string")
     else:
@@ -49,12 +49,12 @@ def unify_schema(df: DataFrame, source: str) -> DataFrame:
         target = F.when(t != "", F.upper(t))
     else:
         target = _null("string")
-    comments = F.coalesce(F.col("comments").cast("string").try_cast("double"), F.lit(0.0)).cast("bigint") \
+    comments = F.coalesce(T.whole_number(F.col("comments")), F.lit(0).cast("bigint")) \
         if "comments" in cols else F.lit(0).cast("bigint")
     return df.select(
         (F.col("timestamp").cast("string") if "timestamp" in cols else _null("string")).alias("timestamp"),
         (F.col(repo).cast("string") if repo else _null("string")).alias("repo"),
-        (F.col(num).cast("string").try_cast("double").cast("bigint") if num else _null("bigint")).alias("issue_number"),
+        (T.whole_number(F.col(num)) if num else _null("bigint")).alias("issue_number"),
         (F.col("title").cast("string") if "title" in cols else _null("string")).alias("title"),
         (F.col("body").cast("string") if "body" in cols else _null("string")).alias("body"),
         labels.alias("labels"),
@@ -74,12 +74,15 @@ def dedup_key() -> Column:
 
 
 def epoch_seconds(ts_text: Column) -> Column:
-    """Seconds since 1970-01-01 of a naive ISO timestamp text (null if unparsable).
+    """Seconds since 1970-01-01 of an ISO timestamp text (null if unparsable).
 
-    Parsed as TIMESTAMP_NTZ, so the result does not depend on the session time zone.
+    A UTC offset (``+05:30``, ``Z``) is honoured; naive text counts as UTC.
+    Neither depends on the session time zone.
     """
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                            ts_text.try_cast("timestamp_ntz"))
+    naive = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                             ts_text.try_cast("timestamp_ntz"))
+    zoned = ts_text.rlike(r":[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    return F.when(zoned, F.unix_seconds(ts_text.try_cast("timestamp"))).otherwise(naive)
 
 
 def preference_score() -> Column:

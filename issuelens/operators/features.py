@@ -16,20 +16,25 @@ def numeric_text_features(df: DataFrame, title="title", body="body", labels="lab
 
     Training-path semantics: null title/body become "" (no stripping);
     patterns are searched in the body; labels_count is the real list size.
+    Columns ``labels_count`` and ``reactions`` that the table already has are
+    used as they are (null: 0), as in the reference's training data.
     """
     t = F.coalesce(F.col(title), F.lit(""))
     b = F.coalesce(F.col(body), F.lit(""))
-    lab = F.col(labels) if labels in df.columns else F.lit(None).cast("array<string>")
+    given = {c: F.coalesce(T.whole_number(F.col(c)), F.lit(0).cast("bigint"))
+             for c in ("labels_count", "reactions") if c in df.columns}
+    lab = T.label_array(F.col(labels), df.schema[labels].dataType) if labels in df.columns \
+        else F.lit(None).cast("array<string>")
     return df.select(
-        "*",
+        *[c for c in df.columns if c not in given],
         F.length(t).cast("bigint").alias("len_title"),
         F.length(b).cast("bigint").alias("len_body"),
         T.py_word_count(b).alias("word_count"),
         T.has_code(b).alias("has_code"),
         T.has_image(b).alias("has_image"),
         T.has_url(b).alias("has_url"),
-        F.coalesce(F.size(lab), F.lit(0)).cast("bigint").alias("labels_count"),
-        F.lit(0).cast("bigint").alias("reactions"),
+        given.get("labels_count", F.coalesce(F.size(lab), F.lit(0)).cast("bigint")).alias("labels_count"),
+        given.get("reactions", F.lit(0).cast("bigint")).alias("reactions"),
     )
 
 
@@ -37,11 +42,14 @@ def user_history(df: DataFrame, user="author", created="created_at", tie="number
     """Prior-issue count per user in creation order and the new-user flag.
 
     Running count via range-sliced prefix sums, so one very active user is
-    spread over many tasks.  Without a user column: count 0, flag 1.
+    spread over many tasks.  Without a user column: count 0, flag 1.  Rows
+    with a null user are one unknown user.  Issue numbers repeat between
+    repositories, so ties in time go by repository, then number.
     """
     if user not in df.columns:
         return df.withColumn("user_issue_count", F.lit(0).cast("bigint")).withColumn("is_new_user", F.lit(1))
-    out = running_count(df, [user], [F.col(created), F.col(tie)], "user_issue_count")
+    order = [F.col(c) for c in (created, "repo", tie) if c in df.columns]
+    out = running_count(df, [user], order, "user_issue_count")
     return out.withColumn("is_new_user", (F.col("user_issue_count") == 0).cast("int"))
 
 

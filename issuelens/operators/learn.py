@@ -29,6 +29,7 @@ from issuelens.operators.features import (
 )
 from issuelens.operators.scoring import class_name_map
 from issuelens.operators.skew import running_count
+from issuelens.session import cut_lineage
 
 PROB_COLS = C.PROB_FEATURES
 STACK_COLS = PROB_COLS + [f"{c}_scaled" for c in C.NUMERIC_FEATURES]
@@ -37,7 +38,8 @@ STACK_COLS = PROB_COLS + [f"{c}_scaled" for c in C.NUMERIC_FEATURES]
 # ------------------------------------------------------------------ data
 def training_frame(issues: DataFrame) -> DataFrame:
     """Dedup (keep last by title+body) -> label from comments -> text -> numeric features."""
-    d = dedup_keep_last(issues.select("number", "author", "created_at", "title", "body", "labels", "comments"),
+    given = [c for c in ("repo", "reactions", "labels_count") if c in issues.columns]
+    d = dedup_keep_last(issues.select("number", "author", "created_at", "title", "body", "labels", "comments", *given),
                         ordinal="number")
     d = with_label(d).withColumn("text", training_text())
     f = numeric_text_features(d).drop("title", "body")
@@ -54,14 +56,21 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "number"
     """Add ``is_test``: per class, the ceil(test_size * n) rows first in hash order.
 
     The rank inside a class is a range-sliced running count (a class can
-    hold most rows); class sizes come from a 3-row aggregate.
+    hold most rows); class sizes come from a 3-row aggregate.  An issue is
+    (repo, number): numbers repeat between repositories.  Only this narrow
+    key is ranked; rows that share a whole key get one flag, so the join
+    back never multiplies rows.
     """
-    keys = df.select(id_col, label, hash_order(F.col(id_col), seed).alias("_h"))
-    ranked = running_count(keys, [label], [F.col("_h"), F.col(id_col)], "_rank")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    flags = ranked.join(F.broadcast(sizes), label).select(
-        id_col, (F.col("_rank") < F.ceil(F.col("_n") * F.lit(test_size))).alias("is_test"))
-    return df.join(flags, id_col)
+    ids = [c for c in ("repo", id_col) if c in df.columns]
+    keys = cut_lineage(df.select(*ids, label, hash_order(F.col(id_col), seed).alias("_h")))
+    ranked = running_count(keys, [label], [F.col("_h"), *[F.col(c) for c in reversed(ids)]], "_rank")
+    sizes = keys.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    flags = ranked.join(F.broadcast(sizes), label).groupBy(*[F.col(c).alias(f"_id_{c}") for c in ids]).agg(
+        F.max(F.col("_rank") < F.ceil(F.col("_n") * F.lit(test_size))).alias("is_test"))
+    same = F.lit(True)
+    for c in ids:
+        same = same & F.col(c).eqNullSafe(F.col(f"_id_{c}"))
+    return df.join(flags, same).drop(*[f"_id_{c}" for c in ids])
 
 
 # ------------------------------------------------------------------ text model
@@ -150,13 +159,14 @@ def smote_balance(train: DataFrame, feature_cols: list[str], label: str = "label
 
 
 # ------------------------------------------------------------------ boosted trees
-def fit_one_vs_rest(train: DataFrame, feature_cols: list[str], label: str = "label", n_trees: int = 20,
+def fit_one_vs_rest(train: DataFrame, feature_cols: list[str], label: str = "label", n_trees: int = C.GBT_TREES,
                     seed: int = C.RANDOM_STATE, validation: str | None = None) -> list:
     """One binary GBT per class (depth 4, step 0.03, row/feature subsample 0.8).
 
     Spark's GBT is binary and one-vs-rest exposes no probabilities, so each
     class gets its own model and the three positive-class probabilities are
-    normalised at prediction time.
+    normalised at prediction time.  With a ``validation`` column (true: held
+    out) a class stops when another round no longer lowers the loss there.
     """
     va = VectorAssembler(inputCols=feature_cols, outputCol="_features")
     data = va.transform(train).select("_features", label, *([validation] if validation else [])).persist()
@@ -166,7 +176,7 @@ def fit_one_vs_rest(train: DataFrame, feature_cols: list[str], label: str = "lab
                             stepSize=C.GBT_STEP, subsamplingRate=C.GBT_SUBSAMPLE, featureSubsetStrategy="0.8",
                             seed=seed)
         if validation:
-            gbt = gbt.setValidationIndicatorCol(validation)
+            gbt = gbt.setValidationIndicatorCol(validation).setParams(validationTol=0.0)
         models.append(gbt.fit(data.withColumn(f"_is_{i}", (F.col(label) == i).cast("double"))))
     data.unpersist()
     return models

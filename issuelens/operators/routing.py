@@ -76,7 +76,7 @@ def suggest_remedy(df: DataFrame) -> Column:
     """Remedy text by class, with design-review and escalation clauses."""
     pct = F.concat(F.bround(F.coalesce(F.col("confidence"), F.lit(0.0)) * 100, 0).cast("bigint").cast("string"),
                    F.lit("%"))
-    labels = TX.lowered_label_array(F.col("labels"))
+    labels = TX.lowered_label_array(TX.label_array("labels", df.schema["labels"].dataType))
     design = TX.any_label_in(labels, C.DESIGN_LABELS)
     escalate = F.coalesce(F.col("comments"), F.lit(0)) >= C.ESCALATION_COMMENTS
 

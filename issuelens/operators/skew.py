@@ -75,7 +75,12 @@ def prefix_aggregate(
         *[_agg(kind, F.col(f"_tot_{name}")).over(w_carry).alias(f"_car_{name}") for name, kind, _ in aggs]
     ).where(F.col("_car__n").isNotNull()).drop("_car__n")  # only slices preceded by the same key
     # At most (slices - 1) rows by construction -> safe to broadcast.
-    out = local.join(F.broadcast(carry), on=[*keys, "_slice"], how="left")
+    # Null-safe on the key: rows with a null key are one group and keep their carry.
+    renamed = carry.withColumnsRenamed({k: f"_key_{k}" for k in keys} | {"_slice": "_key_slice"})
+    same = F.col("_slice") == F.col("_key_slice")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    out = local.join(F.broadcast(renamed), on=same, how="left").drop("_key_slice", *[f"_key_{k}" for k in keys])
     for name, kind, _ in aggs:
         loc, car = F.col(f"_loc_{name}"), F.col(f"_car_{name}")
         if kind == "sum":

@@ -96,11 +96,12 @@ def q_collect_recent_open(spark, sf_dir):
     return collect_issues(landed_pages(spark, sf_dir), include_closed=False, min_comments=1, max_per_repo=OPEN_CAP)
 
 
-@query("issues_per_repo", _collect_sql(C.INCLUDE_CLOSED, C.MIN_COMMENTS, C.MAX_ISSUES_PER_REPO).replace(
+@query("issues_per_repo", _collect_sql(C.INCLUDE_CLOSED, C.MIN_COMMENTS, 1 << 62).replace(
     'SELECT number, repo, title, body, labels, comments, created_at, updated_at, closed_at, state, "user"\nFROM r',
     "SELECT repo, count(*) AS n\nFROM r") + " GROUP BY repo")
 def q_issues_per_repo(spark, sf_dir):
-    return issues_per_repo(collect_issues(landed_pages(spark, sf_dir)))
+    """Over everything landed: the cap bounds one collection run, not the table."""
+    return issues_per_repo(collect_issues(landed_pages(spark, sf_dir), max_per_repo=None))
 
 
 # ----------------------------------------------------- incremental append

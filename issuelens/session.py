@@ -54,7 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in tests / local runs where the cluster names no folder.
+        # A machine-local folder only where one machine does all the work.
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="issuelens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

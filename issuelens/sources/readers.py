@@ -114,8 +114,16 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = ISSUE_CSV_SCHEMA) -> DataFrame:
-    """Header CSV with quoted multi-line bodies and doubled quotes."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS, mode="PERMISSIVE").csv(path)
+    """Header CSV with quoted multi-line bodies and doubled quotes.
+
+    Whole-number columns are read as text first: frames with missing values
+    are written as ``3.0`` or ``nan``, which must not read as null and 0.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.LongType) else f.dataType)
+                         for f in schema])
+    rows = spark.read.schema(text).options(**CSV_OPTIONS, mode="PERMISSIVE").csv(path)
+    return rows.select(*[TX.whole_number(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.LongType)
+                         else F.col(f.name) for f in schema])
 
 
 # ------------------------------------------------------------ prediction log
@@ -183,7 +191,7 @@ def upload_normalize(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     def opt(c, default=None, t="string"):
         if c not in cols:
             return F.lit(default).cast(t)
-        return F.col(c).cast(t) if t == "string" else F.col(c).cast("string").try_cast(t)
+        return F.col(c).cast(t) if t == "string" else TX.whole_number(F.col(c))
 
     out = df.select(
         opt("number", None, "bigint").alias("number"),

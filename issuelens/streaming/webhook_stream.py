@@ -13,6 +13,7 @@ columns).  Every stateless step is the batch operator itself
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,6 @@ from issuelens import config as C
 from issuelens.operators import events as E
 from issuelens.operators.analytics import mean_4dp
 from issuelens.operators.routing import feedback_record, notification_fields, notification_payload, route_to_team
-from issuelens.session import scratch_path
 from issuelens.sources.readers import CSV_OPTIONS, prediction_record
 
 ENVELOPE_SCHEMA = "delivery_id bigint, ts timestamp, event string, signature string, raw string"
@@ -67,12 +67,17 @@ def read_deliveries(spark: SparkSession, root: str, files_per_trigger: int | Non
     return r.parquet(root)
 
 
-def run_available_now(stream: DataFrame, name: str, sink, output_mode: str = "append") -> None:
-    """Drain everything that has landed, then stop (checkpointed in the shared folder)."""
-    spark = stream.sparkSession
-    w = stream.writeStream.outputMode(output_mode).option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
+def run_available_now(stream: DataFrame, name: str, sink, out: str, checkpoint: str | None = None,
+                      output_mode: str = "append") -> None:
+    """Drain everything that has landed since the last run, then stop.
+
+    The checkpoint belongs to the job: by default it lies beside its output,
+    so a later run over the same output goes on where this one stopped.
+    """
+    location = checkpoint or f"{out.rstrip('/')}-checkpoint/{name}"
+    w = stream.writeStream.outputMode(output_mode).option("checkpointLocation", location)
     w = w.foreachBatch(sink) if callable(sink) else w.format("parquet").option("path", sink)
-    q = w.trigger(availableNow=True).queryName(f"{name}_{abs(hash(sink)) % 10**8}").start()
+    q = w.trigger(availableNow=True).queryName(f"{name}_{uuid.uuid4().hex[:8]}").start()
     q.awaitTermination()
 
 
@@ -108,7 +113,7 @@ def stream_triage(spark: SparkSession, landing: str, out_root: str, secret: str
                   files_per_trigger: int | None = None) -> DataFrame:
     """Run the event triage as a stream; returns the result table written by the sink."""
     s = read_deliveries(spark, landing, files_per_trigger)
-    run_available_now(E.triage(s, secret), "triage", triage_sink(out_root))
+    run_available_now(E.triage(s, secret), "triage", triage_sink(out_root), out_root)
     return spark.read.parquet(f"{out_root}/results").drop("batch")
 
 
@@ -120,7 +125,7 @@ def stream_ingest(spark: SparkSession, landing: str, out: str) -> DataFrame:
                     F.col("payload.action").alias("action"),
                     F.col("payload.issue.number").alias("number"),
                     F.col("payload.repository.full_name").alias("repo"))
-    run_available_now(flat, "ingest", out)
+    run_available_now(flat, "ingest", out, out)
     return spark.read.parquet(out)
 
 
@@ -128,7 +133,7 @@ def stream_dedup(spark: SparkSession, landing: str, out: str, delay: str = WATER
                  files_per_trigger: int | None = 1) -> DataFrame:
     """Drop redelivered events (same delivery id) within the watermark."""
     s = read_deliveries(spark, landing, files_per_trigger).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["delivery_id"])
-    run_available_now(s.select("delivery_id", "event", "raw"), "dedup", out)
+    run_available_now(s.select("delivery_id", "event", "raw"), "dedup", out, out)
     return spark.read.parquet(out)
 
 
@@ -166,7 +171,7 @@ def stream_relabel(spark: SparkSession, landing: str, out: str, secret: str | No
                      (F.col("route") == "comment").alias("is_comment"))
     labelled = keyed.groupBy("repo", "number").applyInPandasWithState(
         _relabel_group, RELABEL_OUT, RELABEL_STATE, "append", GroupStateTimeout.NoTimeout)
-    run_available_now(labelled, "relabel", out)
+    run_available_now(labelled, "relabel", out, out)
     return spark.read.parquet(out)
 
 
@@ -178,5 +183,5 @@ def stream_trend(spark: SparkSession, landing: str, out: str, delay: str = WATER
     t = E.triage(s, secret).where(F.col("status") == "processed")
     agg = t.groupBy(F.window("ts", TREND_WINDOW).alias("w"), F.col("predicted").alias("complexity")).agg(
         F.count(F.lit(1)).alias("n"), mean_4dp(F.col("confidence")).alias("avg_confidence"))
-    run_available_now(agg.select(F.col("w.start").alias("day"), "complexity", "n", "avg_confidence"), "trend", out)
+    run_available_now(agg.select(F.col("w.start").alias("day"), "complexity", "n", "avg_confidence"), "trend", out, out)
     return spark.read.parquet(out)

@@ -1,29 +1,10 @@
 """Consolidation on edge fixtures against a plain-Python evaluation."""
 
-from datetime import datetime, timezone
-
 from issuelens.operators.consolidate import consolidate, consolidation_summary
 
 LONG = "x" * 128
 
 
-def _py_key(repo, number, title):
-    repo = (repo or "").strip()
-    if number is not None:
-        return f"{repo}:{int(number)}"
-    return f"{repo}:{(title or '').strip().lower()[:128]}"
-
-
-def _py_score(source, target, ts, comments):
-    bonus = 0
-    if ts:
-        try:
-            bonus = int(datetime.fromisoformat(ts).replace(tzinfo=timezone.utc).timestamp())
-        except ValueError:
-            bonus = 0
-    return (2 if source == "feedback" else 0) * 1_000_000_000 + (1 if target else 0) * 10_000_000 + bonus + (comments or 0)
-
-
 def test_consolidate_edges(spark):
     original = [
         # repo, number, title, body, labels, comments
@@ -48,30 +29,32 @@ def test_consolidate_edges(spark):
                                           "human_label string")
     got = {(r.repo, r.issue_number, r.title): r for r in consolidate(odf, fdf).collect()}
 
-    # brute force
-    rows = []
-    for repo, num, title, body, labels, comments in original:
-        rows.append(dict(timestamp=None, repo=repo, issue_number=num, title=title, body=body,
-                         labels=",".join(labels) if labels is not None else None, comments=comments or 0,
-                         target_label=None, source="original"))
-    for ts, repo, num, title, labels, comments, _pred, human in feedback:
-        t = (human or "").strip()
-        rows.append(dict(timestamp=ts, repo=repo, issue_number=num, title=title, body=None, labels=labels,
-                         comments=comments or 0, target_label=t.upper() if t else None, source="feedback"))
-    best = {}
-    for r in rows:
-        k = _py_key(r["repo"], r["issue_number"], r["title"])
-        s = _py_score(r["source"], r["target_label"], r["timestamp"], r["comments"])
-        if k not in best or s > best[k][0]:
-            best[k] = (s, r)
-    assert len(got) == len(best)
-    for s, r in best.values():
-        g = got[(r["repo"], r["issue_number"], r["title"])]
-        assert (g.source, g.target_label, g.timestamp) == (r["source"], r["target_label"], r["timestamp"])
+    # Winners by hand: feedback beats original; between feedback rows a label is worth 10,000,000 seconds.
+    expected = {
+        ("o/r", 1, "Crash on start"): ("feedback", "COMPLEX", "2024-03-01 00:00:00"),
+        ("o/r", 2, "Slow"): ("feedback", None, "2024-03-01 00:00:00"),
+        ("o/r", None, LONG + "B"): ("original", None, None),  # two comments beat one under the same key
+        ("o/r", 7, "Only original"): ("original", None, None),
+        ("o/r", 9, "Bad ts"): ("feedback", None, "2024-01-01 00:00:00"),  # an unreadable time counts as 1970
+    }
+    assert {k: (r.source, r.target_label, r.timestamp) for k, r in got.items()} == expected
 
     # the labelled feedback row is > 116 days older: recency outweighs the label (the reference's sum)
     assert got[("o/r", 2, "Slow")].target_label is None
     summary = consolidation_summary(odf, fdf).first()
-    assert summary.total_rows_before == len(rows)
-    assert summary.total_rows_after == len(best)
-    assert summary.duplicates_removed == len(rows) - len(best)
+    assert summary.total_rows_before == 10
+    assert summary.total_rows_after == 5
+    assert summary.duplicates_removed == 5
+
+
+def test_float_text_nan_and_offsets(spark):
+    from issuelens.operators.consolidate import epoch_seconds, unify_schema
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("o/r", "3.0", "2.0"), ("o/r", "nan", "NaN"), ("o/r", "x", None)],
+                               "repo string, number string, comments string")
+    got = [(r.issue_number, r.comments) for r in unify_schema(df, "original").collect()]
+    assert got == [(3, 2), (None, 0), (None, 0)]
+    times = spark.createDataFrame([("1970-01-01 05:30:00+05:30",), ("1970-01-01T00:00:10Z",), ("1970-01-01 00:01:00",), ("x",)],
+                                  "t string")
+    assert [r[0] for r in times.select(epoch_seconds(F.col("t"))).collect()] == [0, 10, 60, None]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from issuelens.functions.crypto import hmac_sha256_hex
 from issuelens.operators import events as E
-from tests.reference_impl import hmac_hex, label_history
+from tests.bruteforce import hmac_hex, label_history
 
 
 def test_hmac_matches_python(spark):

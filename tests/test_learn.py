@@ -72,3 +72,11 @@ def test_one_vs_rest_probabilities_normalised(spark):
                     "label").toPandas()
     assert ((s.s - 1).abs() < 1e-9).all()
     assert (s.prediction == s.label).mean() > 0.9  # learnable label
+
+
+def test_split_keeps_rows_when_numbers_repeat(spark):
+    rows = [("r%d" % (i % 5), i // 5, i % 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "repo string, number long, label int")
+    out = L.stratified_split(df)
+    assert out.count() == 150
+    assert out.where("is_test").count() == 30

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from issuelens.operators.features import dedup_keep_last
 from issuelens.operators.learn import stratified_split
 from issuelens.operators.skew import prefix_aggregate
-from tests.reference_impl import label_history
+from tests.bruteforce import label_history
 
 texts = st.sampled_from([None, "", "a", "b", "a b"])
 

@@ -61,3 +61,17 @@ def test_dedup_keep_last_against_pandas(spark):
     got = sorted(r.number for r in dedup_keep_last(df, "number").collect())
     pdf = pd.DataFrame(rows, columns=["number", "title", "body"]).drop_duplicates(["title", "body"], keep="last")
     assert got == sorted(pdf.number.tolist())
+
+
+def test_null_keys_keep_their_carry_for_any_slice_count(spark):
+    rows = [(None if i % 3 else "u", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "user string, n long")
+    from issuelens.operators.skew import running_count
+    from pyspark.sql import functions as F
+
+    results = []
+    for slices in (2, 6, 40):
+        out = running_count(df, ["user"], [F.col("n")], "c", slices)
+        results.append(sorted((r.user or "", r.n, r.c) for r in out.collect()))
+    assert results[0] == results[1] == results[2]
+    assert max(r[2] for r in results[0] if r[0] == "") == 199

@@ -49,3 +49,15 @@ def test_text_model_save_and_load(spark):
     a = L.text_probabilities(model, frame.select("number", "text", "label")).orderBy("number").collect()
     b = L.text_probabilities(loaded, frame.select("number", "text", "label")).orderBy("number").collect()
     assert [r.prob_simple for r in a] == [r.prob_simple for r in b]
+
+
+def test_a_second_run_takes_what_landed_since(spark):
+    wh = FX.webhook_events(spark, SF_SMALL)
+    first, second = wh.where("delivery_id < 10"), wh.where("delivery_id >= 10 and delivery_id < 30")
+    landing, out, results = (scratch_path(spark, f"t-resume-{k}") for k in ("land", "ingest", "triage"))
+    S.land_deliveries(first, landing, slices=2)
+    a, b = S.stream_ingest(spark, landing, out).count(), S.stream_triage(spark, landing, results).count()
+    S.land_deliveries(second, landing, slices=2)
+    c, d = S.stream_ingest(spark, landing, out).count(), S.stream_triage(spark, landing, results).count()
+    assert (a, b) == (first.count(), first.count())
+    assert (c, d) == (a + second.count(), a + second.count())
