@@ -166,7 +166,8 @@ def fit_one_vs_rest(train: DataFrame, feature_cols: list[str], label: str = "lab
     Spark's GBT is binary and one-vs-rest exposes no probabilities, so each
     class gets its own model and the three positive-class probabilities are
     normalised at prediction time.  With a ``validation`` column (true: held
-    out) a class stops when another round no longer lowers the loss there.
+    out) Spark stops a class at the first round that does not lower the loss
+    there; it has no patience setting.
     """
     va = VectorAssembler(inputCols=feature_cols, outputCol="_features")
     data = va.transform(train).select("_features", label, *([validation] if validation else [])).persist()
@@ -176,7 +177,7 @@ def fit_one_vs_rest(train: DataFrame, feature_cols: list[str], label: str = "lab
                             stepSize=C.GBT_STEP, subsamplingRate=C.GBT_SUBSAMPLE, featureSubsetStrategy="0.8",
                             seed=seed)
         if validation:
-            gbt = gbt.setValidationIndicatorCol(validation).setParams(validationTol=0.0)
+            gbt = gbt.setValidationIndicatorCol(validation)
         models.append(gbt.fit(data.withColumn(f"_is_{i}", (F.col(label) == i).cast("double"))))
     data.unpersist()
     return models

@@ -3,8 +3,9 @@
 Keys with deterministic results (split, softmax, balanced class counts,
 evaluation of the heuristic against comment-derived labels) carry a DuckDB
 oracle; model outputs are checked on rows and by pytest.  The fitted state
-is shared by the keys of one session and scale.  Boosting runs up to the
-reference's 500 rounds per class and stops early on the held-out part.
+is shared by the keys of one session and scale.  Registered queries use 20
+boosting rounds per class to bound their running time; the operator's default
+is the reference's 500.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from issuelens.plans.registry import query
 from issuelens.session import scratch_path
 from issuelens.sources import fixtures as FX
 
+QUERY_TREES = 20
 _STATE: dict = {}
 
 
-def learn_state(spark, sf_dir, n_trees: int = C.GBT_TREES) -> dict:
+def learn_state(spark, sf_dir, n_trees: int = QUERY_TREES) -> dict:
     key = (id(spark), sf_dir, n_trees)
     if key in _STATE:
         return _STATE[key]
@@ -40,9 +42,7 @@ def learn_state(spark, sf_dir, n_trees: int = C.GBT_TREES) -> dict:
     stacked = L.stacking_features(train, probs).select(
         "number", "label", "is_test", *L.STACK_COLS).persist()
     balanced = L.smote_balance(stacked.where(~F.col("is_test")), L.STACK_COLS).persist()
-    held = stacked.where(F.col("is_test")).select("label", *L.STACK_COLS, F.lit(True).alias("held_out"))
-    fit_on = balanced.select("label", *L.STACK_COLS, F.lit(False).alias("held_out")).unionByName(held)
-    models = L.fit_one_vs_rest(fit_on, L.STACK_COLS, n_trees=n_trees, validation="held_out")
+    models = L.fit_one_vs_rest(balanced, L.STACK_COLS, n_trees=n_trees)
     pred = L.predict_one_vs_rest(models, stacked.where(F.col("is_test")), L.STACK_COLS).persist()
     st = {"split": split, "text_model": text_model, "stacked": stacked, "balanced": balanced, "models": models,
           "pred": pred, "n_trees": n_trees}
@@ -180,7 +180,7 @@ def q_feature_importance(spark, sf_dir):
     return spark.createDataFrame([(lookup[c], float(v)) for c, v in ranked], "feature string, importance double")
 
 
-def train_evaluate_metrics(spark, sf_dir, n_trees: int = C.GBT_TREES):
+def train_evaluate_metrics(spark, sf_dir, n_trees: int = QUERY_TREES):
     """Validation metrics of the stacked model plus the majority-class baseline (one row).
 
     Each part is a small aggregate; the dozen resulting numbers are assembled
