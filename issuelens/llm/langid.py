@@ -5,7 +5,7 @@ Every word gets a language label; emissions come from hashed byte n-grams of the
 learned, and forward-backward gives each word's label distribution, so code-switched text is labelled word
 by word.  A document's language is the one with the largest sum of word probabilities.
 
-Training takes ``per_language`` labelled documents of each language, chosen by hash, and a span of
+Training takes ``per_language`` labelled documents of each language, chosen by hash (100 languages at most), and a span of
 ``span_words`` words of each (from a hashed position); spans of different languages are joined into
 code-switched sequences, so the transitions see switches.  That bounded sample is collected; scoring runs
 on the executors over whole texts, in sequences of ``SEQUENCE`` words.
@@ -257,11 +257,15 @@ def training_sample(
     docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column, per_language: int, span_words: int
 ) -> list[tuple[str, bytes]]:
     """Spans of ``per_language`` hashed documents per language; at most span_words words of each leave the executors."""
+    # First within 64 parts of a language, so that no task gets the candidates of all tasks.
+    part = F.row_number().over(Window.partitionBy("lang", F.pmod("pick", F.lit(64))).orderBy("pick", "id"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "id"))
     ids = (
         docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
         .withColumn("pick", F.xxhash64("id"))
+        .withColumn("part", part)
+        .where(F.col("part") <= per_language)
         .withColumn("rank", rank)
         .where(F.col("rank") <= per_language)
         .select("id", "lang", "pick")

@@ -112,7 +112,9 @@ def line_tokens(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """Rows (id, line, template): the lines of every leaf that ``min_docs`` documents share, with their templates."""
     every = stage(lines(docs, id_col, text_col), "lines")
+    # Staged, so that both sides of the join are exchanged and a hot leaf's rows can be split.
     shared = every.groupBy("leaf").agg(F.sum("new").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
+    shared = stage(shared, "lines-leaves")
     near = stage(every.join(shared, "leaf", "left_semi").select("id", "leaf", "line"), "lines-shared")
     firsts = near.groupBy("leaf", "line").agg(F.min("id").alias("id"))
     tokens = stage(line_tokens(docs, firsts.select("id", "line"), id_col, text_col), "lines-tokens")

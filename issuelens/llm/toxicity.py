@@ -227,8 +227,11 @@ class Scorer:
         return sigmoid(np.maximum(best, -700).astype(np.float64)) * (sizes > 0)
 
 
-def train(samples: list[tuple[int, bytes]], rounds: int = 6, batch: int = 128, seed: int = 3) -> Params:
-    """Fit on (label, text) pairs by Adam; in each round the highest window of a text stands for it."""
+def train(samples: list[tuple[int, bytes]], rounds: int = 6, batch: int = 128, steps: int = 96, seed: int = 3) -> Params:
+    """Fit on (label, text) pairs by Adam; in each round the highest window of a text stands for it.
+
+    Few pairs make few steps a round; they get more rounds, ``steps`` steps at least.
+    """
     rng = np.random.default_rng(seed)
     p = initial(rng)
     labels = np.array([y for y, _ in samples], np.float32)
@@ -247,8 +250,8 @@ def train(samples: list[tuple[int, bytes]], rounds: int = 6, batch: int = 128, s
     moment = {k: np.zeros_like(v) for k, v in p.items()}
     spread = {k: np.zeros_like(v) for k, v in p.items()}
     per_class = len(labels) / np.maximum(2 * np.bincount(labels.astype(int), minlength=2), 1)
-    steps = 0
-    for _ in range(rounds):
+    done = 0
+    for _ in range(max(rounds, -(-steps // max(1, -(-len(samples) // batch))))):
         vectors = everything.vectors(p)
         tables = [gate_table(vectors, p, "f"), gate_table(vectors, p, "b")]
         level = np.concatenate([window_scores(tables, windows[a : a + 4096].T, p) for a in range(0, len(windows), 4096)])
@@ -263,15 +266,17 @@ def train(samples: list[tuple[int, bytes]], rounds: int = 6, batch: int = 128, s
             real = distinct[distinct < len(words)]
             y = labels[owner[own]]
             grads = gradients(Inputs([words[i] for i in real]), local.T, y, per_class[y.astype(int)].astype(np.float32) / len(own), p)
-            steps += 1
+            done += 1
             for k, g in grads.items():
                 moment[k] += 0.1 * (g - moment[k])
                 spread[k] += 0.001 * (g * g - spread[k])
-                p[k] -= 0.01 * (moment[k] / (1 - 0.9**steps)) / (np.sqrt(spread[k] / (1 - 0.999**steps)) + 1e-8)
+                p[k] -= 0.01 * (moment[k] / (1 - 0.9**done)) / (np.sqrt(spread[k] / (1 - 0.999**done)) + 1e-8)
     return p
 
 
 def training_sample(docs, labels, id_col, text_col, label_col, usable, per_class, span_words) -> list[tuple[int, bytes]]:
+    # First within 64 parts of a class, so that no task gets the candidates of all tasks.
+    part = F.row_number().over(Window.partitionBy("y", F.pmod("pick", F.lit(64))).orderBy("pick", "id"))
     rank = F.row_number().over(Window.partitionBy("y").orderBy("pick", "id"))
     ids = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -279,6 +284,8 @@ def training_sample(docs, labels, id_col, text_col, label_col, usable, per_class
         .agg(F.max(label_col).cast("int").alias("y"))
         .where(usable(F.col("id")))
         .withColumn("pick", F.xxhash64("id"))
+        .withColumn("part", part)
+        .where(F.col("part") <= per_class)
         .withColumn("rank", rank)
         .where(F.col("rank") <= per_class)
         .select("id", "y", "pick")
