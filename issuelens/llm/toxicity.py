@@ -77,6 +77,12 @@ class Inputs:
         grads["char"] = scatter(self.features.index, spread, langid.BUCKETS)
 
 
+def word_vectors(words: list[bytes], p: Params, step: int = 16384) -> np.ndarray:
+    """Vectors of many words, ``step`` at a time: the n-grams of all of them never lie in memory together."""
+    parts = [Inputs(words[a : a + step]).vectors(p) for a in range(0, len(words), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, WIDTH), np.float32)
+
+
 def scatter(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, j], size) for j in range(values.shape[1])], 1).astype(np.float32)
 
@@ -216,8 +222,7 @@ class Scorer:
         best = np.full(len(texts), -np.inf)
         if len(flat):
             new = list(itertools.islice(self.place, known, None))
-            parts = [Inputs(new[a : a + 65536]).vectors(self.p) for a in range(0, len(new), 65536)]
-            vectors = np.concatenate(parts) if parts else np.zeros((0, WIDTH), np.float32)
+            vectors = word_vectors(new, self.p)
             self.tables = [
                 np.concatenate([old[:known], gate_table(vectors, self.p, way)]) for old, way in zip(self.tables, "fb")
             ]
@@ -239,12 +244,12 @@ def train(samples: list[tuple[int, bytes]], rounds: int = 6, batch: int = 128, s
     flat, sizes = encode([t for _, t in samples], place)
     words = list(place)
     windows, owner = lay_out(flat, sizes, len(words))
-    everything = Inputs(words)
     # A first guess for one entry of each word's vector: how much likelier toxic texts are to hold it.
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    pairs = np.unique(np.stack([doc, everything.slots[flat]]), axis=1)
-    toxic = np.bincount(pairs[1], labels[pairs[0]], WORDS)
-    clean = np.bincount(pairs[1], 1 - labels[pairs[0]], WORDS)
+    slots = np.array([hash_word(w) for w in words], np.int64)
+    holder, slot = np.divmod(np.unique(doc * WORDS + slots[flat]), WORDS)
+    toxic = np.bincount(slot, labels[holder], WORDS)
+    clean = np.bincount(slot, 1 - labels[holder], WORDS)
     odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((clean + 0.5) / ((1 - labels).sum() + 1))
     p["word"][:, 0] += np.where(toxic + clean >= 5, np.clip(odds, -2, 4), 0) / 2
     moment = {k: np.zeros_like(v) for k, v in p.items()}
@@ -252,7 +257,7 @@ def train(samples: list[tuple[int, bytes]], rounds: int = 6, batch: int = 128, s
     per_class = len(labels) / np.maximum(2 * np.bincount(labels.astype(int), minlength=2), 1)
     done = 0
     for _ in range(max(rounds, -(-steps // max(1, -(-len(samples) // batch))))):
-        vectors = everything.vectors(p)
+        vectors = word_vectors(words, p)
         tables = [gate_table(vectors, p, "f"), gate_table(vectors, p, "b")]
         level = np.concatenate([window_scores(tables, windows[a : a + 4096].T, p) for a in range(0, len(windows), 4096)])
         order = np.lexsort((-level, owner))
