@@ -332,3 +332,16 @@ def test_pipeline_stage_on_an_empty_table(spark, step):
 
     empty = table(spark, SF_SMALL, "documents").limit(0)
     assert P.STAGES[step][1](spark, empty, SF_SMALL).count() == 0
+
+
+def test_mix_equals_its_sql(spark):
+    import duckdb
+
+    from issuelens.llm import queries, registry  # noqa: F401
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF_MED}/documents.parquet'")
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    want = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLE['op4_mix_sources']})").fetchall())
+    got = sorted(tuple(r) for r in registry.QUERIES["op4_mix_sources"](spark, SF_MED).select(*columns).collect())
+    assert got == want
