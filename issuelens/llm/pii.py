@@ -31,10 +31,15 @@ ROUNDS = 12
 
 #: Patterns of the types, most specific first; \p{..} classes cover every script.
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,39}[0-9])[0-9a-f]{40}(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,39}[0-9])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])"
 CARD = r"(?<![0-9.])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{3}\)[ -]?|[0-9]{3}[ -])[0-9]{3}[ -][0-9]{4}(?![0-9])"
+#: Marks may stand between the parts of a telephone number; without an area code only the dashed form counts.
+_GAP = r"[^0-9A-Za-z\n()]{0,6}"
+PHONE = (
+    rf"(?<![0-9A-Za-z])(?:(?:\+[0-9]{{1,3}}{_GAP})?(?:\([0-9]{{3}}\){_GAP}|[0-9]{{3}}[ -])[0-9]{{3}}[ -][0-9]{{4}}|[0-9]{{3}}-[0-9]{{4}})"
+    r"(?![0-9])"
+)
 #: Titles by gender (fixed values), and pools of the names that replace those after them, by gender and script.
 TITLES = {
     "f": ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra.", "Госпожа", "г-жа"],
@@ -75,7 +80,7 @@ def normal(kind: Column, entity: Column) -> Column:
     return (
         F.when(kind.isin("card"), F.regexp_replace(entity, "[^0-9]", ""))
         .when(kind == "phone", F.right(F.regexp_replace(entity, "[^0-9]", ""), F.lit(10)))
-        .when(kind == "email", F.lower(entity))
+        .when(kind.isin("email", "secret"), F.lower(entity))
         .when(kind == "name", F.regexp_replace(entity, rf"^(?:{_TITLE}) ", ""))
         .otherwise(entity)
     )
@@ -175,6 +180,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
         size = F.greatest(F.length(F.substring_index(entity, "@", 1)), F.lit(8))
         email = F.concat(F.translate(s, "0123456789", "ghijklmnop").substr(F.lit(1), size), F.lit("@mail.example.org"))
         ip = F.concat_ws(".", F.lit("10"), *[(_number(s, 4 * i, 4) % 254 + 1).cast("string") for i in range(3)])
+        token = s.substr(F.lit(1), F.length(entity))
         # Telephone: the country code stays, the subscriber's ten digits change.
         country = F.regexp_replace(F.regexp_replace(entity, "[^0-9]", ""), "[0-9]{10}$", "")
         phone = let(F.concat(country, _decimal(s, 10)), lambda digits: _fill(entity, digits))
@@ -183,7 +189,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
             .when(kind == "card", _card(entity, value, s))
             .when(kind == "ip", ip)
             .when(kind == "phone", phone)
-            .when(kind == "secret", s.substr(F.lit(1), F.length(entity)))
+            .when(kind == "secret", F.when(entity == value, token).otherwise(F.upper(token)))
             .otherwise(_name(entity, value, s))
         )
 

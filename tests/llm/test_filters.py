@@ -188,6 +188,14 @@ def test_surrogates(spark):
     assert re.search(r'"[0-9a-f]{40}"', out) and got[1].n_entities == 9
 
 
+def test_surrogates_in_marked_text(spark):
+    rows = [(1, "+1### (017)$$$ 555-7713&&& +1 | (017) | 555-7713 | 555-7713 555-7713", None, None),
+            (2, 'TOKEN!! = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962"!! BOB@CORP.COM!! 97.51.17.173***', None, None)]
+    got = {r.id: r.text for r in pii.pseudonymise(frame(spark, rows)).collect()}
+    assert "7713" not in got[1] and got[1].count("### (") == 1 and "&&&" in got[1]
+    assert not re.search("04DBEB|BOB|97[.]51", got[2]) and re.search('"[0-9A-F]{40}"!!', got[2])
+
+
 def test_surrogates_stay_distinct_when_they_collide(spark):
     # Single names have 16^5 forms; a shorter stream would collide, so force it: every first attempt is taken by a real entity.
     found = spark.createDataFrame([("ip", f"1.2.{i // 250}.{i % 250}") for i in range(400)], "kind string, value string").withColumn("entity", F.col("value"))
