@@ -110,7 +110,7 @@ class GrayIndex:
             start, end = heads, np.append(heads[1:], len(owner))
             value, mask, last, owner = up_value, shared, last[end - 1], owner[heads]
 
-    def pairs(self, radius: int, budget: int = 1 << 21):
+    def pairs(self, radius: int, budget: int = 1 << 18):
         """Blocks of leaf pairs (i < j) of one group that differ in at most ``radius`` bits."""
         n = len(self.codes)
         work = np.cumsum(np.bincount(self.group_of)[self.group_of]) if n else np.zeros(0, np.int64)
