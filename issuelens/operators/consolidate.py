@@ -118,11 +118,15 @@ def keyed(unified: DataFrame) -> DataFrame:
     return unified.withColumn("_key", dedup_key()).withColumn("_score", preference_score())
 
 
-def consolidate(original: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Union both sources and keep the preferred row per key (9 columns)."""
+def consolidate(original: DataFrame, feedback: DataFrame, payload: list[str] | None = None) -> DataFrame:
+    """Union both sources and keep the preferred row per key.
+
+    ``payload`` names the columns to return (default: all 9).  A body outside
+    the payload reaches the shuffle as its digest only.
+    """
     u = unify_schema(original, "original").unionByName(unify_schema(feedback, "feedback"))
     k = keyed(u)
-    return best_per_key(k, ["_key"], preference_order(), C.CONSOLIDATED_COLUMNS).drop("_key")
+    return best_per_key(k, ["_key"], preference_order(), payload or C.CONSOLIDATED_COLUMNS).drop("_key")
 
 
 def consolidation_summary(original: DataFrame, feedback: DataFrame) -> DataFrame:

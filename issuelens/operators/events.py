@@ -123,8 +123,12 @@ def relabel(labels: Column, new_label: Column, replace: Column) -> Column:
 def triage(envelopes: DataFrame, secret: str | None = C.WEBHOOK_SECRET) -> DataFrame:
     """Verify -> parse -> route -> project -> score, one narrow stage per row."""
     t = project(route(parse(verify(envelope(envelopes), secret))))
-    scored = observe_rows(with_heuristic(t), "triage")  # filters on status/prediction read computed columns
     processed = F.col("status") == "processed"
+    # Rejected and ignored events carry no prediction: their texts are not scanned for patterns.
+    t = t.select("*", *[F.when(processed, F.col(c)).alias(f"_score_{c}") for c in ("title", "body", "labels")])
+    scored = with_heuristic(t, "_score_title", "_score_body", "_score_labels").drop(
+        "_score_title", "_score_body", "_score_labels")
+    scored = observe_rows(scored, "triage")  # filters on status/prediction read computed columns
     out = scored.select(
         "*",
         F.when(processed, F.col("complexity")).alias("predicted"),

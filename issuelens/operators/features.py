@@ -67,18 +67,21 @@ def content_key(*cols: str) -> list[Column]:
     return [F.unhex(F.sha2(F.col(c), 256)).alias(f"_k_{c}") for c in cols]
 
 
-def dedup_keep_last(df: DataFrame, ordinal: str, key_cols: list[str] | None = None) -> DataFrame:
+def dedup_keep_last(df: DataFrame, ordinal: str, key_cols: list[str] | None = None,
+                    payload: list[str] | None = None) -> DataFrame:
     """``drop_duplicates(subset, keep='last')``: by ``id`` if present else (title, body).
 
     The last row in ingest order (``ordinal``) survives; null keys group
     together.  Done as an aggregate over fixed-width content hashes so a hot
     key is collapsed map-side and wide bodies are never shuffle keys.
+    ``payload`` names the columns the caller needs (default: all): only these,
+    the hashes and the ordinal are sorted and shuffled.
     """
     if key_cols is None:
         key_cols = ["id"] if "id" in df.columns else ["title", "body"]
-    keyed = df.select("*", *content_key(*key_cols))
+    payload = payload or df.columns
+    keyed = df.select(*dict.fromkeys([*payload, ordinal]), *content_key(*key_cols))
     keys = [f"_k_{c}" for c in key_cols]
-    payload = [c for c in df.columns]
     best = best_per_key(keyed, keys, [-F.col(ordinal)], payload)
     return best.drop(*keys)
 

@@ -12,7 +12,7 @@ import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ from issuelens.operators.skew import running_count
 from issuelens.session import cut_lineage
 
 PROB_COLS = C.PROB_FEATURES
+TEXT_BUCKETS = 1 << 16
 STACK_COLS = PROB_COLS + [f"{c}_scaled" for c in C.NUMERIC_FEATURES]
 
 
@@ -74,13 +75,17 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "number"
 
 
 # ------------------------------------------------------------------ text model
-def text_pipeline(max_features: int = C.TEXT_MAX_FEATURES, max_iter: int = 50) -> Pipeline:
-    """Words + bigrams -> counts (vocabulary max_features) -> IDF -> multinomial logistic regression."""
+def text_pipeline(buckets: int = TEXT_BUCKETS, max_iter: int = 50) -> Pipeline:
+    """Words + bigrams -> hashed counts -> IDF -> multinomial logistic regression.
+
+    Terms are hashed, so every term counts and no vocabulary is collected; the
+    model's size is ``buckets`` coefficients a class, whatever the corpus.
+    """
     return Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="_words", pattern="(?U)\\W+", minTokenLength=1),
         NGram(n=C.TEXT_NGRAM_MAX, inputCol="_words", outputCol="_bigrams"),
         SQLTransformer(statement="SELECT *, concat(_words, _bigrams) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=2.0),
+        HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=buckets),
         IDF(inputCol="_tf", outputCol="_tfidf"),
         LogisticRegression(featuresCol="_tfidf", labelCol="label", family="multinomial", maxIter=max_iter,
                            regParam=0.01, probabilityCol="_text_prob", predictionCol="_text_pred",

@@ -100,7 +100,7 @@ def q_consolidate_dedup(spark, sf_dir):
 SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM best GROUP BY 1""")
 def q_consolidate_by_source(spark, sf_dir):
     o, f = _sources(spark, sf_dir)
-    c = consolidate(o, f)
+    c = consolidate(o, f, payload=["source"])
     return c.groupBy(F.coalesce(F.col("source"), F.lit("unknown")).alias("source")).agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -109,7 +109,7 @@ def q_consolidate_by_source(spark, sf_dir):
 SELECT coalesce(target_label, 'UNKNOWN') AS target_label, count(*) AS n FROM best GROUP BY 1""")
 def q_consolidate_by_label(spark, sf_dir):
     o, f = _sources(spark, sf_dir)
-    c = consolidate(o, f)
+    c = consolidate(o, f, payload=["target_label"])
     return c.groupBy(F.coalesce(F.col("target_label"), F.lit("UNKNOWN")).alias("target_label")).agg(
         F.count(F.lit(1)).alias("n"))
 

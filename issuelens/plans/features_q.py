@@ -107,7 +107,7 @@ FROM r WHERE rn = 1 GROUP BY 1"""
 @query("class_distribution", CLASS_DIST_SQL)
 def q_class_distribution(spark, sf_dir):
     iss = FX.issues(spark, sf_dir).select("number", "title", "body", "comments")
-    d = with_label(dedup_keep_last(iss, ordinal="number"))
+    d = with_label(dedup_keep_last(iss, ordinal="number", payload=["comments"]))
     return d.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -64,7 +64,7 @@ sp AS (
 @query("stratified_split", _DEDUP_LABELLED + "\nSELECT number, label, is_test FROM sp")
 def q_stratified_split(spark, sf_dir):
     frame = with_label(L.dedup_keep_last(FX.issues(spark, sf_dir).select("number", "title", "body", "comments"),
-                                         ordinal="number"))
+                                         ordinal="number", payload=["number", "comments"]))
     return L.stratified_split(frame.select("number", "label")).select("number", "label", "is_test")
 
 
