@@ -103,6 +103,9 @@ REMEDY_COMPLEX = ("Assign senior dev; plan spike + breakdown into subtasks; ETA
 REMEDY_ESCALATION = "High comments, consider escalation. "
 REMEDY_OTHER = "Review needed; insufficient data. Confidence {pct}."
 
+# Rows of an upload shown before scoring.
+PREVIEW_ROWS = 5
+
 # Advisor prompt (generation call itself is not built).
 PROMPT_BODY_CHARS = 3000
 

@@ -166,10 +166,19 @@ def label_history(t: DataFrame) -> DataFrame:
     comment event up to e.  Computed as running maxima of event positions
     per issue (range-sliced prefix maxima: a hot issue is spread over tasks).
     """
-    p = t.where(F.col("status") == "processed").select(
+    return label_states(label_events(t))
+
+
+def label_events(t: DataFrame) -> DataFrame:
+    """The processed events as narrow rows: issue, time, class, and whether a comment caused them."""
+    return t.where(F.col("status") == "processed").select(
         "delivery_id", "repo", "number", "ts", F.col("predicted").alias("complexity"),
         (F.col("route") == "comment").alias("is_comment"),
     )
+
+
+def label_states(p: DataFrame) -> DataFrame:
+    """Label set after each event of ``label_events`` rows (see ``label_history``)."""
     pos = F.struct(F.col("ts"), F.col("delivery_id"))
     aggs = [("_last_comment", "max", F.when(F.col("is_comment"), pos))] + [
         (f"_last_{c}", "max", F.when(F.col("complexity") == c, pos)) for c in C.CLASSES

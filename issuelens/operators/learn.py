@@ -99,6 +99,20 @@ def text_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.select(*df.columns, *[arr[i].alias(c) for i, c in enumerate(PROB_COLS)])
 
 
+def out_of_fold_probabilities(df: DataFrame, folds: int = 5, id_col: str = "number", **settings) -> DataFrame:
+    """Text probabilities of every row by a model that has not seen it (``folds`` fits, folds by hash of the id)."""
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in ("repo", id_col) if c in df.columns]), F.lit(folds))
+    dealt = df.withColumn("_fold", part)
+    parts = []
+    for i in range(folds):
+        model = text_pipeline(**settings).fit(dealt.where(F.col("_fold") != i).select("text", "label"))
+        parts.append(text_probabilities(model, dealt.where(F.col("_fold") == i)).drop("_fold"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ------------------------------------------------------------------ stacking
 def stacking_features(train: DataFrame, scored: DataFrame) -> DataFrame:
     """3 class probabilities + 10 numeric features scaled with statistics of the training part."""

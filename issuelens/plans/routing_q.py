@@ -198,6 +198,22 @@ FROM up WHERE length({py_strip("coalesce(title, '')")}) > 0"""
 @query("upload_normalize", UPLOAD_SQL)
 def q_upload_normalize(spark, sf_dir):
     """An uploaded CSV (blank titles, missing bodies, untidy label text, bad counts) -> scoring requests."""
+    accepted, _rejected = _accepted_upload(spark, sf_dir)
+    return accepted.select("repo", "author", "title", "body", F.array_join("labels", ",").alias("labels"), "comments")
+
+
+PREVIEW_ORDER = ["title", "coalesce(repo, '')", "coalesce(author, '')", "comments", "md5(body)"]
+
+
+@query("upload_preview", f"""
+SELECT * FROM ({UPLOAD_SQL}) AS uploaded
+ORDER BY {", ".join(PREVIEW_ORDER)} LIMIT {C.PREVIEW_ROWS}""")
+def q_upload_preview(spark, sf_dir):
+    """The first rows of an upload in a fixed order (a top-k: no full sort)."""
+    return q_upload_normalize(spark, sf_dir).orderBy(*[F.expr(c) for c in PREVIEW_ORDER]).limit(C.PREVIEW_ROWS)
+
+
+def _accepted_upload(spark, sf_dir):
     iss = FX.issues(spark, sf_dir)
     up = iss.select(
         F.when(F.col("number") % 23 == 0, F.lit("   ")).otherwise(F.col("title")).alias("title"),
@@ -211,5 +227,4 @@ def q_upload_normalize(spark, sf_dir):
     up.write.options(**R.CSV_OPTIONS).csv(path)
     raw = spark.read.schema(UPLOAD_SCHEMA).options(**R.CSV_OPTIONS).csv(path)
     raw = raw.withColumn("comments", F.col("comments").try_cast("bigint"))
-    accepted, _rejected = R.upload_normalize(raw)
-    return accepted.select("repo", "author", "title", "body", F.array_join("labels", ",").alias("labels"), "comments")
+    return R.upload_normalize(raw)

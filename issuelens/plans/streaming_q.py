@@ -61,12 +61,11 @@ def q_stream_relabel(spark, sf_dir):
                             files_per_trigger=_files(spark))
 
 
-@query("stream_trend", TRIAGED + f""",
+@query("stream_trend", TRIAGED + """,
 d AS (SELECT date_trunc('day', ts) AS day, predicted AS complexity, confidence FROM tr WHERE status = 'processed')
 SELECT day, complexity, count(*) AS n,
        sum(CAST(round(confidence * 10000) AS BIGINT)) / (count(confidence) * 10000.0) AS avg_confidence
 FROM d
-WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM webhook_events) - INTERVAL {S.WATERMARK}
 GROUP BY day, complexity""")
 def q_stream_trend(spark, sf_dir):
     return S.stream_trend(spark, _landing(spark, sf_dir), scratch_path(spark, "trend-out"),

@@ -7,19 +7,18 @@ columns).  Every stateless step is the batch operator itself
 * ``foreachBatch`` sinks that write under ``batch=<id>`` folders, so a replayed
   micro-batch overwrites its own output (idempotent side effects);
 * ``dropDuplicatesWithinWatermark`` for redelivered events;
-* keyed label state per issue (``applyInPandasWithState``);
-* a watermarked daily window for the trend (append mode: closed windows only).
+* a narrow event table for the label state: the stream appends processed events,
+  the state after each is a running maximum over the table, so it depends on
+  event times alone, not on how deliveries fell into files or micro-batches;
+* a watermarked daily window for the trend (update mode: the open day included).
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from issuelens import config as C
 from issuelens.operators import events as E
@@ -138,50 +137,39 @@ def stream_dedup(spark: SparkSession, landing: str, out: str, delay: str = WATER
 
 
 # ------------------------------------------------------------------ relabel state
-RELABEL_OUT = "delivery_id bigint, repo string, number bigint, complexity string, is_comment boolean, " \
-              "complexity_labels string"
-RELABEL_STATE = "labels string"
-
-
-def _relabel_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply one issue's events of a micro-batch in time order to its label set."""
-    current = set(state.get[0].split(",")) - {""} if state.exists else set()
-    events = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "delivery_id"])
-    out = []
-    for cls, is_comment in zip(events["complexity"], events["is_comment"]):
-        label = C.COMPLEXITY_LABEL_PREFIX + cls
-        if is_comment:
-            current = {label}
-        else:
-            current.add(label)
-        out.append(",".join(sorted(current)))
-    state.update((",".join(sorted(current)),))
-    yield pd.DataFrame({
-        "delivery_id": events["delivery_id"].astype("int64"), "repo": events["repo"],
-        "number": events["number"].astype("int64"), "complexity": events["complexity"],
-        "is_comment": events["is_comment"].astype(bool), "complexity_labels": out,
-    })
-
-
 def stream_relabel(spark: SparkSession, landing: str, out: str, secret: str | None = C.WEBHOOK_SECRET,
                    files_per_trigger: int | None = 1) -> DataFrame:
-    """Per-issue label state over the event stream (comment events replace, issue events add)."""
-    s = E.triage(read_deliveries(spark, landing, files_per_trigger), secret).where(F.col("status") == "processed")
-    keyed = s.select("delivery_id", "repo", "number", "ts", F.col("predicted").alias("complexity"),
-                     (F.col("route") == "comment").alias("is_comment"))
-    labelled = keyed.groupBy("repo", "number").applyInPandasWithState(
-        _relabel_group, RELABEL_OUT, RELABEL_STATE, "append", GroupStateTimeout.NoTimeout)
-    run_available_now(labelled, "relabel", out, out)
-    return spark.read.parquet(out)
+    """Label set of each issue after every event (comment events replace, issue events add).
+
+    The stream verifies, scores and appends narrow event rows under ``out``
+    (exactly once, incremental).  The states are taken from that table in time
+    order (``events.label_states``: range-sliced, a hot issue is spread over
+    tasks), so a late or tied event lands where its time puts it, and the rows
+    equal the batch ``label_history`` of everything landed.
+    """
+    s = E.label_events(E.triage(read_deliveries(spark, landing, files_per_trigger), secret))
+    run_available_now(s, "relabel", out, out)
+    return E.label_states(spark.read.parquet(out))
 
 
 # ------------------------------------------------------------------ trend
 def stream_trend(spark: SparkSession, landing: str, out: str, delay: str = WATERMARK,
                  secret: str | None = C.WEBHOOK_SECRET, files_per_trigger: int | None = 1) -> DataFrame:
-    """Daily count and mean confidence per class; closed windows only (append mode)."""
+    """Daily count and mean confidence per class, the newest day included.
+
+    Each micro-batch writes the windows it changed; the reader takes a
+    window's latest version.  The watermark drops the state of closed days.
+    """
     s = read_deliveries(spark, landing, files_per_trigger).withWatermark("ts", delay)
     t = E.triage(s, secret).where(F.col("status") == "processed")
     agg = t.groupBy(F.window("ts", TREND_WINDOW).alias("w"), F.col("predicted").alias("complexity")).agg(
         F.count(F.lit(1)).alias("n"), mean_4dp(F.col("confidence")).alias("avg_confidence"))
-    run_available_now(agg.select(F.col("w.start").alias("day"), "complexity", "n", "avg_confidence"), "trend", out, out)
-    return spark.read.parquet(out)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run_available_now(agg.select(F.col("w.start").alias("day"), "complexity", "n", "avg_confidence"), "trend", write, out,
+                      output_mode="update")
+    latest = spark.read.parquet(out).groupBy("day", "complexity").agg(
+        F.max_by(F.struct("n", "avg_confidence"), F.col("batch").cast("bigint")).alias("v"))
+    return latest.select("day", "complexity", "v.n", "v.avg_confidence")

@@ -3,8 +3,11 @@
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from issuelens import config as C
 from issuelens.operators import events as E
 from issuelens.operators import learn as L
+from issuelens.operators import models as M
+from issuelens.operators.features import fit_scaler
 from issuelens.session import scratch_path
 from issuelens.sources import fixtures as FX
 from issuelens.streaming import webhook_stream as S
@@ -61,3 +64,61 @@ def test_a_second_run_takes_what_landed_since(spark):
     c, d = S.stream_ingest(spark, landing, out).count(), S.stream_triage(spark, landing, results).count()
     assert (a, b) == (first.count(), first.count())
     assert (c, d) == (a + second.count(), a + second.count())
+
+
+def test_saved_models_score_by_what_exists(spark):
+    issues = FX.issues(spark, SF_SMALL)
+    frame = L.training_frame(issues).persist()
+    text = L.text_pipeline(max_iter=3).fit(frame.select("text", "label"))
+    scaler = fit_scaler(frame, C.NUMERIC_FEATURES)
+    stacked = L.stacking_features(frame, L.text_probabilities(text, frame))
+    boosted = L.fit_one_vs_rest(stacked, L.STACK_COLS, n_trees=2)
+    rows = issues.select("number", "repo", "title", "body", "labels")
+    whole = M.Models(text, boosted, scaler)
+    for saved, name in ((M.Models(), "heuristic"), (M.Models(text), "text"), (M.Models(text, boosted), "text"), (whole, "stacked")):
+        path = scratch_path(spark, "t-models")
+        M.save_models(spark, saved, path)
+        out = M.score(rows, M.load_models(spark, path))
+        got = out.collect()
+        assert {r.model for r in got} == {name} and len(got) == rows.count()
+        assert out.columns == [*rows.columns, "model", "p_simple", "p_moderate", "p_complex", "complexity", "confidence"]
+        assert sorted(got, key=str) == sorted(M.score(rows, saved).collect(), key=str)
+
+    # A scorer from outside that fails on odd numbers: those rows fall through.
+    def outside(df):
+        ok = F.col("number") % 2 == 0
+        return df.select("*", *[F.when(ok, F.lit(v)).alias(c) for c, v in zip(L.PROB_COLS, (0.2, 0.5, 0.3))])
+
+    by_model = {(r.number % 2, r.model) for r in M.score(rows, M.Models(), outside).collect()}
+    assert by_model == {(0, "text"), (1, "heuristic")}
+    by_model = {(r.number % 2, r.model) for r in M.score(rows, whole, outside).collect()}
+    assert by_model == {(0, "stacked"), (1, "heuristic")}
+
+
+def test_out_of_fold_probabilities_cover_every_row(spark):
+    frame = L.training_frame(FX.issues(spark, SF_SMALL)).select("repo", "number", "text", "label").persist()
+    got = L.out_of_fold_probabilities(frame, folds=2, max_iter=3)
+    assert got.select("repo", "number").exceptAll(frame.select("repo", "number")).count() == 0
+    assert got.count() == frame.count()
+    assert got.where(F.abs(sum(F.col(c) for c in L.PROB_COLS) - 1) > 1e-9).count() == 0
+
+
+def test_stream_labels_equal_batch_for_tied_times_and_any_files(spark):
+    wh = FX.webhook_events(spark, SF_SMALL).withColumn("ts", F.date_trunc("day", F.col("ts").cast("timestamp")))
+    batch = E.label_history(E.triage(wh))
+    for slices, per_trigger in ((3, 1), (2, 5)):
+        landing = S.land_deliveries(wh, scratch_path(spark, "t-tied"), slices=slices, files_per_slice=2)
+        got = S.stream_relabel(spark, landing, scratch_path(spark, "t-labels"), files_per_trigger=per_trigger)
+        assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_trend_holds_the_newest_day_and_later_runs(spark):
+    wh = FX.webhook_events(spark, SF_SMALL)
+    middle = wh.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    landing, out = scratch_path(spark, "t-trend-land"), scratch_path(spark, "t-trend")
+    for part in (wh.where(F.col("ts") <= F.lit(middle)), wh.where(F.col("ts") > F.lit(middle))):
+        S.land_deliveries(part, landing, slices=2, files_per_slice=1)
+        got = S.stream_trend(spark, landing, out)
+    done = E.triage(wh).where("status = 'processed'")
+    want = done.groupBy(F.date_trunc("day", "ts").alias("day"), "predicted").count()
+    assert {(r.day, r.complexity, r.n) for r in got.collect()} == {tuple(r) for r in want.collect()}
