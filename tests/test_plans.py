@@ -5,6 +5,7 @@ import re
 import pytest
 
 from issuelens.operators.consolidate import consolidate
+from issuelens.operators.features import dedup_keep_last
 from issuelens.plans.consolidate_q import _sources
 from tests.conftest import SF_SMALL
 
@@ -56,3 +57,15 @@ def test_no_python_udfs_in_batch_plans(spark, qs):
               "dashboard_kpis", "feature_scaling", "eval_weighted"]:
         p = plan_of(queries[k](spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, k
+
+
+def test_counts_over_the_best_row_shuffle_no_body(spark):
+    o, f = _sources(spark, SF_SMALL)
+    p = plan_of(consolidate(o, f, payload=["source"]))
+    picks = [line for line in p.split("\n") if "partial_min_by" in line]
+    assert picks and all("sha2(" in line or "body" not in line for line in picks)
+    rows = spark.createDataFrame([(1, "t", "b", 2), (2, "t", "b", 3)], "number long, title string, body string, comments long")
+    narrow = dedup_keep_last(rows, "number", payload=["comments"])
+    assert narrow.columns == ["comments"] and [r.comments for r in narrow.collect()] == [3]
+    picks = [line for line in plan_of(narrow).split("\n") if "min_by" in line]
+    assert picks and not any("body#" in line.replace("_k_body#", "") for line in picks)
