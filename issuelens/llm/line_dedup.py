@@ -1,12 +1,15 @@
 """Line dedup with a log-template tree.
 
 Every line of every document (cut at newlines; lines without a word are left alone) goes down a tree of fixed
-depth: number of tokens, then the leading ``DEPTH`` tokens; tokens with a digit count as a variable ``<*>``.  In a
-leaf that lines of at least ``min_docs`` documents reach, a position is generalised to ``<*>`` when at least half of
-the leaf's distinct lines differ there.  A line's template is what stays constant, provided it has at least
-``MIN_TOKENS`` tokens and ``SIMILARITY`` of them stay; otherwise it is the whole line.  Templates that occur in
-``min_docs`` documents or more recur; their lines are dropped from every document but the one with the smallest
-id, so text that is shared stays once.
+depth: number of tokens, then the leading ``DEPTH`` tokens; tokens with a digit count as a variable ``<*>``.  Lines
+of at least ``MIN_TOKENS`` tokens are looked up by keys that leave out positions while ``SIMILARITY`` of the tokens
+stay: every combination of up to ``MOST_LEFT`` of ``BLOCKS`` blocks of positions and, for more fields, the positions
+of most different tokens in the leaf, one more at a time.  What stays under such a key is a template when lines of
+``min_docs`` documents have it; a line takes the one with the most lines (a line counts once
+for each of its first ``min_docs`` documents).  So a leaf holds any number of
+templates; those of the blocks depend on no other line of it.  Other lines are their own template: they recur in
+``min_docs`` documents.  The lines of a recurring
+template are dropped from every document but the one with the smallest id, so text that is shared stays once.
 
 The result depends on no order.  Only hashes, ids and distinct lines of shared leaves are shuffled by leaf;
 all counts are pre-aggregated, so a line or leaf that a third of all documents share meets in one row per
@@ -19,18 +22,25 @@ choice (``keep``).
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuelens.llm.common import signed, stage, text_bytes
+from issuelens.llm.common import PRIME, signed, stage, text_bytes
 
 DEPTH = 3
 MIN_TOKENS = 6
 SIMILARITY = 0.7
 MIN_DOCS = 3
+#: Lines are cut into at most BLOCKS blocks behind the leading tokens; templates leave out up to MOST_LEFT of them.
+BLOCKS = 10
+MOST_LEFT = 3
 VARIABLE = b"<*>"
 NO_ID = (1 << 63) - 1
 _DIGIT = re.compile(rb"[0-9]")
@@ -57,11 +67,12 @@ def _ids(docs: DataFrame, id_col: str):
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, leaf, line, new): one per distinct line of a row; new is 1 at a leaf's first line in the row."""
+    """Rows (id, leaf, line, words, new): one per distinct line of a row; words are its tokens without a digit, new is 1
+    at a leaf's first line in the row."""
 
     def run(batches):
         for b in batches:
-            ids, leaves, keys, new = [], [], [], []
+            ids, leaves, keys, words, new = [], [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
                 seen_leaves, seen = set(), set()
                 for line in text.split(b"\n"):
@@ -71,92 +82,158 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         leaf = leaf_key(tokens)
                         ids.append(i)
                         keys.append(key)
+                        words.append(len(tokens) - tokens.count(VARIABLE))
                         new.append(int(leaf not in seen_leaves))
                         leaves.append(leaf)
                         seen_leaves.add(leaf)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(keys, pa.int64()), pa.array(new, pa.int32())],
-                names=["id", "leaf", "line", "new"],
+                [pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(keys, pa.int64()),
+                 pa.array(words, pa.int32()), pa.array(new, pa.int32())],
+                names=["id", "leaf", "line", "words", "new"],
             )
 
     rows = docs.select(_ids(docs, id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, leaf long, line long, new int")
+    return rows.mapInArrow(run, "id long, leaf long, line long, words int, new int")
 
 
 def line_tokens(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (leaf, line, tokens): hashed tokens of the lines that ``wanted`` (id, line) names."""
-    lists = wanted.groupBy(F.col("id").alias("wid")).agg(F.collect_set("line").alias("lines"))
+    """Rows (leaf, line, ids, tokens): hashed tokens of the lines that ``wanted`` (line, ids) names, if ``MIN_TOKENS`` long."""
+    lists = wanted.groupBy(F.array_min("ids").alias("wid")).agg(F.collect_list(F.struct("line", "ids")).alias("lines"))
     rows = docs.select(_ids(docs, id_col), F.col(text_col).cast("string").alias("text"))
-    joined = rows.join(lists, F.col("id") == F.col("wid")).select("lines", "text")
+    # Both sides are exchanged at any size, as on large tables.
+    joined = rows.join(lists.hint("merge"), F.col("id") == F.col("wid")).select("lines", "text")
 
     def run(batches):
         for b in batches:
-            leaves, keys, tokens_of = [], [], []
+            leaves, keys, ids, tokens_of = [], [], [], []
             for want, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
-                want = set(want)
+                want = {w["line"]: w["ids"] for w in want}
                 for line in text.split(b"\n"):
                     tokens = masked(line)
-                    if tokens and (key := line_key(tokens)) in want:
-                        want.discard(key)
+                    if len(tokens) >= MIN_TOKENS and (key := line_key(tokens)) in want:
+                        ids.append(want.pop(key))
                         leaves.append(leaf_key(tokens))
                         keys.append(key)
                         tokens_of.append([signed(t) for t in tokens])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaves, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens_of, pa.list_(pa.int64()))],
-                names=["leaf", "line", "tokens"],
+                [pa.array(leaves, pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int64())),
+                 pa.array(tokens_of, pa.list_(pa.int64()))],
+                names=["leaf", "line", "ids", "tokens"],
             )
 
-    return joined.mapInArrow(run, "leaf long, line long, tokens array<long>").dropDuplicates(["leaf", "line"])
+    return joined.mapInArrow(run, "leaf long, line long, ids array<long>, tokens array<long>").dropDuplicates(["leaf", "line"])
 
 
-def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """Rows (id, line, template): the lines of every leaf that ``min_docs`` documents share, with their templates."""
-    every = stage(lines(docs, id_col, text_col), "lines")
-    # Staged, so that both sides of the join are exchanged and a hot leaf's rows can be split.
-    shared = every.groupBy("leaf").agg(F.sum("new").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    shared = stage(shared, "lines-leaves")
-    near = stage(every.join(shared, "leaf", "left_semi").select("id", "leaf", "line"), "lines-shared")
-    firsts = near.groupBy("leaf", "line").agg(F.min("id").alias("id"))
-    tokens = stage(line_tokens(docs, firsts.select("id", "line"), id_col, text_col), "lines-tokens")
-    long_enough = tokens.where(F.size("tokens") >= MIN_TOKENS)
-    in_leaf = long_enough.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+def may_vary(n: int) -> int:
+    """How many of ``n`` tokens a template may leave out."""
+    return n - math.ceil(SIMILARITY * n - 1e-9)
+
+
+@functools.lru_cache(1024)
+def left_out(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, sets): first positions of the blocks of a line of ``n`` tokens, and one row of 0/1 per set of blocks."""
+    size = -(-(n - DEPTH) // BLOCKS)
+    starts = np.arange(DEPTH, n, size)
+    count = min(MOST_LEFT, may_vary(n) // size, len(starts))
+    sets = [[b in chosen for b in range(len(starts))] for chosen in itertools.combinations(range(len(starts)), count)]
+    return starts, np.array(sets, np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def candidate_keys(tokens: np.ndarray, leaf: int, uneven: list[int]) -> np.ndarray:
+    """Hashes of what stays of a line, one for each set of positions that may be left out.
+
+    The sets are the combinations of blocks and, of the positions ``uneven`` of the leaf, the first one, two, ... .
+    """
+    n = len(tokens)
+    at = mixed((np.arange(n, dtype=np.uint64) + np.uint64(1)) * PRIME)
+    each = mixed(tokens.view(np.uint64) ^ at)
+    whole = each.sum(dtype=np.uint64)
+    starts, sets = left_out(n)
+    names = np.add.reduceat(at, starts)
+    kept, which = whole - sets @ np.add.reduceat(each, starts), sets @ names
+    first = np.array(uneven[: may_vary(n)], np.int64)
+    kept = np.concatenate([kept, whole - np.cumsum(each[first], dtype=np.uint64)])
+    which = np.concatenate([which, np.cumsum(at[first], dtype=np.uint64)])
+    seed = np.array([leaf], np.int64).view(np.uint64)
+    return np.unique(mixed(mixed(kept ^ seed) + mixed(which))).view(np.int64)
+
+
+def generalised(tokens: DataFrame, min_docs: int) -> DataFrame:
+    """Rows (line, template): the lines that a template of ``min_docs`` documents covers.
+
+    ``tokens`` are distinct lines with their up to ``min_docs`` smallest ids, which tell whether that many documents hold
+    one of a template's lines.
+    """
     spread = (
-        long_enough.select("leaf", F.posexplode("tokens").alias("pos", "token"))
+        tokens.select("leaf", F.posexplode("tokens").alias("pos", "token"))
         .groupBy("leaf", "pos", "token")
         .agg(F.lit(1).alias("one"))
         .groupBy("leaf", "pos")
         .agg(F.count("one").alias("kinds"))
         .where("kinds > 1")
     )
-    variable = (
-        spread.join(in_leaf, "leaf")
-        .where(F.col("kinds") * 2 >= F.col("n"))
-        .groupBy("leaf")
-        .agg(F.collect_set("pos").alias("variable"))
+    uneven = spread.groupBy("leaf").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("kinds")).alias("k"), "pos"))), lambda x: x["pos"]).alias("uneven")
     )
-    fixed = F.filter("tokens", lambda t, i: ~F.array_contains(F.col("variable"), i))
-    named = (
-        tokens.join(variable, "leaf", "left")
-        .withColumn("fixed", F.when((F.size("tokens") >= MIN_TOKENS) & F.col("variable").isNotNull(), fixed))
-        .withColumn(
-            "template",
-            F.when(
-                F.size("fixed") >= SIMILARITY * F.size("tokens"),
-                F.xxhash64("leaf", F.col("fixed"), F.array_sort("variable")),
-            ).otherwise(F.col("line")),
-        )
-        .select("leaf", "line", "template")
+    joined = tokens.join(stage(uneven, "lines-uneven"), "leaf").select("leaf", "line", "tokens", "uneven", "ids")
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                found = [
+                    candidate_keys(np.array(t, np.int64), leaf, u)
+                    for leaf, t, u in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist())
+                ]
+                row = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1).take(pa.array(row)), pa.array(np.concatenate(found)), part.column(4).take(pa.array(row))],
+                    names=["line", "key", "ids"],
+                )
+
+    keyed = stage(joined.mapInArrow(run, "line long, key long, ids array<long>"), "lines-keys")
+    recur = (
+        keyed.select("key", F.explode("ids").alias("id")).groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+        .where(F.col("docs") >= min_docs).select("key", "n")
     )
-    return near.join(named, ["leaf", "line"]).select("id", "line", "template")
+    found = keyed.select("line", "key").join(stage(recur, "lines-recurring"), "key")
+    best = found.groupBy("line").agg(F.max(F.struct("n", "key")).alias("best"))
+    return best.select("line", F.col("best.key").alias("template"))
+
+
+def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """Rows (id, line, template, need): the lines of shared leaves, their templates, and how many documents these need."""
+    every = stage(lines(docs, id_col, text_col), "lines")
+    few = min_docs
+    # Staged, so that both sides of the join are exchanged and a hot leaf's rows can be split.
+    shared = every.groupBy("leaf").agg(F.sum("new").alias("docs")).where(F.col("docs") >= few)
+    shared = stage(shared.select("leaf", (F.col("docs") >= min_docs).alias("enough")), "lines-leaves")
+    near = stage(every.join(shared, "leaf").select("id", "leaf", "line", "words", "enough"), "lines-shared")
+    by_id = Window.partitionBy("leaf", "line").orderBy("id")
+    held = near.where("enough").select("id", "leaf", "line").distinct().withColumn("rank", F.row_number().over(by_id))
+    held = held.where(F.col("rank") <= min_docs).groupBy("leaf", "line").agg(F.collect_list("id").alias("ids"))
+    tokens = stage(line_tokens(docs, held, id_col, text_col), "lines-tokens")
+    found = stage(generalised(tokens, min_docs), "lines-generalised")
+    need = F.when(F.col("template").isNotNull(), F.lit(2)).when(F.col("words") >= MIN_TOKENS, F.lit(few)).otherwise(F.lit(min_docs))
+    return near.join(found, "line", "left").select("id", "line", F.coalesce("template", "line").alias("template"), need.alias("need"))
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """Rows (id, lines): the lines (hashes) to drop from each document that has any."""
     named = stage(templates(docs, id_col, text_col, min_docs), "lines-templates")
     often = (
-        named.select("template", "id").distinct().groupBy("template")
-        .agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
-        .where(F.col("docs") >= min_docs)
+        named.select("template", "id", "need").distinct().groupBy("template")
+        .agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"), F.max("need").alias("need"))
+        .where(F.col("docs") >= F.col("need"))
+        .select("template", "first")
     )
     drops = named.join(often, "template").where(F.col("id") != F.col("first"))
     return drops.groupBy("id").agg(F.collect_set("line").alias("lines"))
@@ -174,7 +251,7 @@ def drop_lines(
         _ids(docs, id_col).alias("_id"),
         *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
     )
-    joined = rows.join(drops, F.col("_id") == F.col("did"), "left").select(
+    joined = rows.join(drops.hint("merge"), F.col("_id") == F.col("did"), "left").select(
         "lines", "_text", "id", *[f"_keep_{i}" for i in range(len(keep))]
     )
 

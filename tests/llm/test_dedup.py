@@ -192,3 +192,25 @@ def test_merged_transforms_equal_sorted_suffixes():
 ])
 def test_empty_tables(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def dropped(spark, rows):
+    return {r.id: r.n_dropped for r in line_dedup.drop_lines(frame(spark, rows)).collect()}
+
+
+@pytest.mark.parametrize("kinds", [2, 3, 10])
+def test_templates_with_two_fields_of_recurring_words(spark, kinds):
+    name = lambda k, s: s + "abcdefghij"[k] * 3
+    rows = [(i * kinds + j, f"user access granted to {name(i, 'u')} from site {name(j, 's')} at the front door today")
+            for i in range(kinds) for j in range(kinds)]
+    assert dropped(spark, rows) == {r[0]: int(r[0] > 0) for r in rows}
+
+
+def test_templates_in_a_crowded_leaf(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    one = [f"user access granted to {word()} from site {word()} at the front door today" for _ in range(9)]
+    two = [f"user access granted in {word()} by order {word()} of the big boss alone" for _ in range(9)]
+    prose = [" ".join(["user access granted", *(word() for _ in range(10))]) for _ in range(200)]
+    got = dropped(spark, list(enumerate(one + two + prose)))
+    assert sorted(i for i in got if not got[i]) == [0, 9, *range(18, 218)]
