@@ -8,7 +8,7 @@ of most different tokens in the leaf, one more at a time.  What stays under such
 ``min_docs`` documents have it; a line takes the one with the most lines (a line counts once
 for each of its first ``min_docs`` documents).  So a leaf holds any number of
 templates; those of the blocks depend on no other line of it.  Other lines are their own template: they recur in
-``min_docs`` documents.  The lines of a recurring
+``LONG_MIN_DOCS`` documents if they have ``MIN_TOKENS`` words, else in ``min_docs``.  The lines of a recurring
 template are dropped from every document but the one with the smallest id, so text that is shared stays once.
 
 The result depends on no order.  Only hashes, ids and distinct lines of shared leaves are shuffled by leaf;
@@ -38,6 +38,8 @@ DEPTH = 3
 MIN_TOKENS = 6
 SIMILARITY = 0.7
 MIN_DOCS = 3
+#: Documents that an exact line of at least MIN_TOKENS words needs; shorter ones and templates may meet by chance.
+LONG_MIN_DOCS = 2
 #: Lines are cut into at most BLOCKS blocks behind the leading tokens; templates leave out up to MOST_LEFT of them.
 BLOCKS = 10
 MOST_LEFT = 3
@@ -212,7 +214,7 @@ def generalised(tokens: DataFrame, min_docs: int) -> DataFrame:
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """Rows (id, line, template, need): the lines of shared leaves, their templates, and how many documents these need."""
     every = stage(lines(docs, id_col, text_col), "lines")
-    few = min_docs
+    few = min(min_docs, LONG_MIN_DOCS)
     # Staged, so that both sides of the join are exchanged and a hot leaf's rows can be split.
     shared = every.groupBy("leaf").agg(F.sum("new").alias("docs")).where(F.col("docs") >= few)
     shared = stage(shared.select("leaf", (F.col("docs") >= min_docs).alias("enough")), "lines-leaves")

@@ -198,6 +198,12 @@ def dropped(spark, rows):
     return {r.id: r.n_dropped for r in line_dedup.drop_lines(frame(spark, rows)).collect()}
 
 
+def test_long_lines_of_two_documents_recur(spark):
+    passage = " ".join("pass" + "abcdefghij"[k % 10] * (k // 10 + 1) for k in range(60))
+    rows = [(1, passage), (2, "own\n" + passage), (3, "a few short words"), (4, "a few short words")]
+    assert dropped(spark, rows) == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 @pytest.mark.parametrize("kinds", [2, 3, 10])
 def test_templates_with_two_fields_of_recurring_words(spark, kinds):
     name = lambda k, s: s + "abcdefghij"[k] * 3
