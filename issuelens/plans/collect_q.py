@@ -184,9 +184,10 @@ def q_remaining_repos(spark, sf_dir):
 # ----------------------------------------------------------- snapshots
 @query("snapshot_write", _collect_sql(C.INCLUDE_CLOSED, C.MIN_COMMENTS, C.MAX_ISSUES_PER_REPO))
 def q_snapshot_write(spark, sf_dir):
-    """An older snapshot is kept as backup, the new one is written beside it; readers take the latest."""
-    rows = collect_issues(landed_pages(spark, sf_dir))
+    """An older snapshot is kept as backup, the new one (it and what was collected since) is written beside it; readers
+    take the latest.  The cap bounds one collection run, not the table."""
+    rows = collect_issues(landed_pages(spark, sf_dir), max_per_repo=None)
     root = scratch_path(spark, "snapshots")
-    write_snapshot(rows.where(F.col("number") % 2 == 0), root, "20240101_000000")
-    write_snapshot(rows, root, datetime.utcnow().strftime("%Y%m%d_%H%M%S"))
+    existing = spark.read.parquet(write_snapshot(rows.where(F.col("number") % 2 == 0), root, "20240101_000000"))
+    write_snapshot(incremental_append(existing, rows), root, datetime.utcnow().strftime("%Y%m%d_%H%M%S"))
     return latest_snapshot(spark, root)

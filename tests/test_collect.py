@@ -3,6 +3,7 @@
 from datetime import datetime
 
 from issuelens.operators.collect import incremental_append, monitored_repos
+from issuelens.plans import collect_q
 
 
 def test_monitored_set_change_log(spark):
@@ -27,3 +28,11 @@ def test_incremental_append_keeps_new_duplicates(spark):
                                 "repo string, number long, title string")
     got = sorted((r.number, r.title) for r in incremental_append(existing, new).collect())
     assert got == [(1, "a"), (2, "b"), (3, "c"), (3, "c")]  # existing wins; duplicates inside new are kept
+
+
+def test_snapshot_holds_every_issue_of_a_hot_repository(spark, monkeypatch):
+    pages = spark.range(1, 1101).selectExpr(
+        "id AS number", "'o/hot' AS repo", "'closed' AS state", "5L AS comments", "string(id) AS created_at", "false AS _is_pr")
+    monkeypatch.setattr(collect_q, "landed_pages", lambda *_: pages)
+    got = collect_q.q_snapshot_write(spark, None)
+    assert got.count() == got.select("number").distinct().count() == 1100
