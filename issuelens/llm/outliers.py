@@ -12,8 +12,8 @@ Only DataFrame operations are used.  Quantiles are read from counts on a fixed g
 a group that holds a third of all rows meets as one row per grid cell and task.
 
 Edge cases: a null text has no word and fails the base rules; null language and null source form groups of
-their own; groups with fewer than ``MIN_GROUP`` passing texts have no estimate and are not judged (kept if the
-base rules pass); repeated rows and ids are judged one by one; an empty table gives no rows; other columns are
+their own; groups with fewer than ``MIN_GROUP`` passing texts are judged by the estimate of their language, or by
+that of the whole table if the language has fewer too (if the table has fewer, they are kept when the base rules pass); repeated rows and ids are judged one by one; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -32,10 +32,11 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SHARE = 0.75
 STEPS = 4
-QUANTILE = 0.99999
+QUANTILE = 0.999
 MIN_GROUP = 20
-#: Standard deviations that are added (squared) to the scatter: differences below them never make an outlier.
-FLOOR = (0.3, 0.1, 0.2, 0.15)
+#: Standard deviations that are added (squared) to the scatter: differences below them never make an outlier.  Where a
+#: group has no spread of its own, each axis rejects alone (the last two from a share of about 0.19).
+FLOOR = (0.3, 0.1, 0.1, 0.1)
 DIM = len(FLOOR)
 GRID = 50  # cells per unit of the logarithm of a distance
 FINE = 200  # cells per unit of a statistic
@@ -223,6 +224,47 @@ def estimates(rows: DataFrame) -> DataFrame:
     return stage(_factored(_floored(_moments(inside), 1.0)), "mcd")
 
 
+def _levels(fit: DataFrame) -> DataFrame:
+    """Rows (ll, ls, level): 0 where the group itself has ``MIN_GROUP`` texts, 1 where its language, 2 where the table."""
+    by_lang, whole = Window.partitionBy("lang"), Window.partitionBy(F.lit(0))
+    n = fit.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumns({"n_lang": F.sum("n").over(by_lang), "n_all": F.sum("n").over(whole)})
+    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("n_lang") >= MIN_GROUP, 1).when(F.col("n_all") >= MIN_GROUP, 2)
+    return stage(n.select(F.col("lang").alias("ll"), F.col("source").alias("ls"), level.alias("level")), "quality-levels")
+
+
+def _names(level: Column) -> dict[str, Column]:
+    """Names of the estimate of a level; no name of a language or source can equal a mark."""
+    return {
+        "lang": F.when(level == 2, F.lit("*")).otherwise(F.concat(F.lit("="), "lang")),
+        "source": F.when(level >= 1, F.lit("*")).otherwise(F.concat(F.lit("="), "source")),
+    }
+
+
+def _leveled(rows: DataFrame, levels: DataFrame) -> DataFrame:
+    """Rows under the name of the estimate that judges them, with their own names beside."""
+    out = rows.withColumns({"own_lang": F.col("lang"), "own_source": F.col("source")}).join(
+        levels.where("level is not null"), F.col("lang").eqNullSafe(F.col("ll")) & F.col("source").eqNullSafe(F.col("ls")), "left"
+    )
+    return out.withColumns(_names(F.coalesce("level", F.lit(0)))).drop("ll", "ls", "level")
+
+
+def _by_level(fit: DataFrame, levels: DataFrame) -> DataFrame:
+    """Texts under the names of all estimates that are needed: their group's, their language's, the table's."""
+    need = levels.where("level is not null").select(
+        F.when(F.col("level") < 2, F.col("ll")).alias("nl"), F.when(F.col("level") < 1, F.col("ls")).alias("ns"), "level"
+    ).distinct()
+    same_lang = F.col("lang").eqNullSafe(F.col("nl"))
+    on = {0: same_lang & F.col("source").eqNullSafe(F.col("ns")), 1: same_lang}
+    parts = [fit.join(need.where(F.col("level") == k), c, "left_semi").withColumns(_names(F.lit(k))) for k, c in on.items()]
+    if not need.where("level = 2").isEmpty():
+        parts.append(fit.withColumns(_names(F.lit(2))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return stage(out, "quality-fit")
+
+
 def judge(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
 ) -> DataFrame:
@@ -235,12 +277,10 @@ def judge(
     stats = stats.withColumns({f"x{i}": c for i, c in enumerate(_vector())})
     stats = stage(stats, "quality-stats")
     fit = stats.where(~F.col("base_failed")).select("lang", "source", *[f"x{i}" for i in range(DIM)])
-    enough = fit.groupBy("lang", "source").count().where(F.col("count") >= MIN_GROUP)
-    groups = estimates(fit).alias("g").join(
-        enough.select(F.col("lang").alias("nl"), F.col("source").alias("ns")),
-        F.col("lang").eqNullSafe(F.col("nl")) & F.col("source").eqNullSafe(F.col("ns")),
-    )
-    verdict = _distance(stats, groups)
+    levels = _levels(fit)
+    groups = estimates(_by_level(fit, levels))
+    judged = _distance(_leveled(stats, levels), groups)
+    verdict = judged.withColumns({"lang": F.col("own_lang"), "source": F.col("own_source")})
     far = F.coalesce(F.col("d2") > chi_square_quantile(QUANTILE), F.lit(False))
     return verdict.select(
         "id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2",

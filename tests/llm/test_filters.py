@@ -102,6 +102,25 @@ def test_quality_statistics_and_outliers(spark):
     assert outliers.judge(frame(spark, [])).count() == 0
 
 
+def test_each_quality_axis_rejects_alone(spark):
+    word = lambda k: "".join("abcdefghijklmnopqrst"[int(c)] for c in f"{k:05d}")
+    text = lambda start, n: [word(start + k) for k in range(n)]
+    lines = lambda w: "\n".join(" ".join(w[k : k + 4]) for k in range(0, len(w), 4))
+    rows = [(i, lines(text(100 * i, 60)), "en", "a") for i in range(60)]
+    odd = [
+        (101, lines([w * 4 for w in text(7000, 60)])),  # long words
+        (102, lines([w + "#$" for w in text(7100, 60)])),  # symbols
+        (103, lines(text(7200, 60)).replace("\n", "\nshort line\n")),  # repeated lines
+        (104, lines((w := text(7300, 60)) + ["x"] + w[:9] + ["y"])),  # repeated words
+    ]
+    few = [(201, lines(text(8000, 60)), "en", "b"), (202, lines([w * 4 for w in text(8100, 60)]), "en", "b"),
+           (203, lines(text(8200, 60)), "xx", None), (204, lines([w * 4 for w in text(8300, 60)]), "xx", None)]
+    got = {r.id: r for r in outliers.judge(frame(spark, rows + [(i, t, "en", "a") for i, t in odd] + few)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {101, 102, 103, 104, 202, 204}
+    assert (got[203].lang, got[203].source, got[201].source) == ("xx", None, "b")
+
+
 def test_concentration_estimate_resists_outliers(spark):
     rng = np.random.default_rng(0)
     clean = rng.normal([5, 0.2, 0.1, 0.1], [0.5, 0.05, 0.02, 0.02], (800, 4))
