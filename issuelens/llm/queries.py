@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.llm import bwt, decontam, langid, line_dedup, mixing, outliers, paragraphs, pii, runs, simhash, toxicity
+from issuelens.llm import bwt, decontam, langid, line_dedup, minhash, mixing, outliers, paragraphs, pii, runs, simhash, toxicity, whiten
 from issuelens.llm.common import words_column
 from issuelens.llm.registry import query
 from issuelens.session import table
@@ -113,3 +113,24 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten.whiten(table(spark, sf_dir, "embeddings"))
+    each = white.select("*", F.posexplode("whitened").alias("pos", "value"))
+    return each.select(
+        F.col("id").alias("vec_id"),
+        (F.col("pos") + 1).alias("component"),
+        "n",
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        F.col("value").alias("whitened"),
+        F.get("explained", F.col("pos")).alias("explained"),
+        "identity_error",
+    )
+
+
+@query("op12_minhash_near_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
