@@ -291,7 +291,8 @@ def bodies(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> Da
     """Rows (node, cluster, blocks, weight, bands, signature, codes) of the nodes ``placed`` puts at a row's key."""
     at = placed.groupBy(F.col("key").alias("_at")).agg(F.collect_list(F.struct("node", "cluster", "blocks", "weight")).alias("nodes"))
     texts = docs.select(_key(id_col, text_col).alias("_key"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(at, F.col("_key") == F.col("_at")).select("text", "nodes")  # a row has one node; rows that share an id, a few
+    # A row has one node; rows that share an id, a few.  The keys grow with the table: texts and keys meet by a shuffle at any size.
+    joined = texts.join(at.hint("shuffle_merge"), F.col("_key") == F.col("_at")).select("text", "nodes")
 
     def run(batches):
         for b in batches:
