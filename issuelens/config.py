@@ -133,6 +133,7 @@ GBT_TREES = 500
 GBT_DEPTH = 4
 GBT_STEP = 0.03
 GBT_SUBSAMPLE = 0.8
+GBT_COLSAMPLE = 0.8
 GBT_EARLY_STOP = 50
 
 # Advisor prompt template (fixed text; 8-space indentation and the in-template
