@@ -68,22 +68,27 @@ def content_key(*cols: str) -> list[Column]:
 
 
 def dedup_keep_last(df: DataFrame, ordinal: str, key_cols: list[str] | None = None,
-                    payload: list[str] | None = None) -> DataFrame:
+                    payload: list[str] | None = None, keyed: bool = False) -> DataFrame:
     """``drop_duplicates(subset, keep='last')``: by ``id`` if present else (title, body).
 
     The last row in ingest order (``ordinal``) survives; null keys group
     together.  Done as an aggregate over fixed-width content hashes so a hot
     key is collapsed map-side and wide bodies are never shuffle keys.
     ``payload`` names the columns the caller needs (default: all): only these,
-    the hashes and the ordinal are sorted and shuffled.
+    the hashes and the ordinal are sorted and shuffled.  ``keyed``: the key
+    columns are digests already and stay.  Issue numbers repeat between
+    repositories: ties go by repository, creation time, then the row's hash.
     """
     if key_cols is None:
         key_cols = ["id"] if "id" in df.columns else ["title", "body"]
     payload = payload or df.columns
-    keyed = df.select(*dict.fromkeys([*payload, ordinal]), *content_key(*key_cols))
-    keys = [f"_k_{c}" for c in key_cols]
-    best = best_per_key(keyed, keys, [-F.col(ordinal)], payload)
-    return best.drop(*keys)
+    tie = [F.col(c) for c in ("repo", "created_at") if c in df.columns and c != ordinal] + [F.xxhash64(*payload)]
+    hashes = [] if keyed else content_key(*key_cols)
+    rows = df.select(*dict.fromkeys([*payload, *(key_cols if keyed else []), ordinal]), *hashes,
+                     *[t.alias(f"_o{i}") for i, t in enumerate(tie)])
+    keys = key_cols if keyed else [f"_k_{c}" for c in key_cols]
+    best = best_per_key(rows, keys, [-F.col(ordinal), *[F.col(f"_o{i}") for i in range(len(tie))]], payload)
+    return best if keyed else best.drop(*keys)
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:

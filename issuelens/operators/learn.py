@@ -1,25 +1,22 @@
-"""Learning operators: split, text model, stacked features, balancing,
-one-vs-rest boosted trees, evaluation, importances.
+"""Learning operators: split, text model, stacked features, balancing, boosting, evaluation.
 
-Everything is Spark ML / DataFrame work; only fitted-model summaries (a
-handful of numbers) and the tiny confusion table reach the driver.
+Only fitted models, level histograms of a fixed size and the tiny confusion table reach the driver.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuelens import config as C
+from issuelens.operators import boosting
 from issuelens.operators.features import (
     apply_scaler,
+    content_key,
     dedup_keep_last,
     fit_scaler,
     numeric_text_features,
@@ -27,6 +24,7 @@ from issuelens.operators.features import (
     user_history,
     with_label,
 )
+from issuelens.operators.neighbours import nearest, node_of, staged
 from issuelens.operators.scoring import class_name_map
 from issuelens.operators.skew import running_count
 from issuelens.session import cut_lineage
@@ -38,13 +36,25 @@ STACK_COLS = PROB_COLS + [f"{c}_scaled" for c in C.NUMERIC_FEATURES]
 
 # ------------------------------------------------------------------ data
 def training_frame(issues: DataFrame) -> DataFrame:
-    """Dedup (keep last by title+body) -> label from comments -> text -> numeric features."""
-    given = [c for c in ("repo", "reactions", "labels_count") if c in issues.columns]
-    d = dedup_keep_last(issues.select("number", "author", "created_at", "title", "body", "labels", "comments", *given),
-                        ordinal="number")
-    d = with_label(d).withColumn("text", training_text())
-    f = numeric_text_features(d).drop("title", "body")
-    return user_history(f)
+    """Dedup (keep last by title+body) -> label from comments -> text -> numeric features.
+
+    Only digests, numbers and the user go through the dedup and the history; the text of each survivor is joined by its
+    digests at the end.  Absent columns (comments, created_at, title, body, ...) read as null.
+    """
+    absent = {c: t for c, t in (("title", "string"), ("body", "string"), ("comments", "bigint"), ("created_at", "timestamp")) if c not in issues.columns}
+    rows = issues.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()}) if absent else issues
+    given = [c for c in ("repo", "author", "labels", "reactions", "labels_count") if c in rows.columns]
+    wide = rows.select("number", "created_at", "title", "body", "comments", *given, *content_key("title", "body"))
+    narrow = numeric_text_features(wide).drop("title", "body", "labels")
+    best = dedup_keep_last(narrow, ordinal="number", key_cols=["_k_title", "_k_body"], keyed=True)
+    done = user_history(with_label(best))
+    digests = ["_k_title", "_k_body"]
+    texts = wide.select(*digests, training_text().alias("text")).groupBy(*digests).agg(F.first("text").alias("text"))
+    texts = texts.withColumnsRenamed({c: f"_t{c}" for c in digests})
+    same = F.lit(True)
+    for c in digests:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t{c}"))
+    return done.join(texts, same).drop(*digests, *[f"_t{c}" for c in digests])
 
 
 def hash_order(id_col: Column, seed: int = C.RANDOM_STATE) -> Column:
@@ -126,105 +136,79 @@ def _unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
 
 
-def smote_balance(train: DataFrame, feature_cols: list[str], label: str = "label", id_col: str = "number",
-                  k: int = C.SMOTE_K, seed: int = C.RANDOM_STATE) -> DataFrame:
-    """Raise every class to the majority count with synthetic interpolated rows.
+def smote_balance(train: DataFrame, feature_cols: list[str], label: str = "label", id_col: str = "number", k: int = C.SMOTE_K,
+                  seed: int = C.RANDOM_STATE, **search) -> DataFrame:
+    """Raise every class to the majority count with synthetic rows between a row and one of its ``k`` nearest neighbours.
 
-    Neighbours are taken along a fixed random projection of the features
-    (a one-dimensional LSH): rows are ranked per class along the projection
-    (skew-safe running count), and the neighbours of the row at rank i are the
-    rows at ranks i +- 1..ceil(k/2).  Each synthetic row picks one neighbour
-    and a gap in [0, 1) from md5 hashes and lies on the segment between two
-    same-class rows.  No pairs are enumerated: one equi-join on
-    (class, rank) per synthetic row.
+    Neighbours are those of ``neighbours.nearest`` (settings: ``search``) among the distinct points of the row's class; a row's
+    own copies, at distance 0, come first.  Which neighbour and how far towards it (a gap in [0, 1)) go by md5 of the row's
+    place in its class.  An issue is (repo, number) where the table has a repository.  A class of one row repeats it.
     """
-    rng = [int(hashlib.md5(f"{seed}:{c}".encode()).hexdigest()[:8], 16) / 2 ** 32 - 0.5 for c in feature_cols]
-    proj = sum((F.col(c) * F.lit(w) for c, w in zip(feature_cols, rng)), F.lit(0.0))
-    base = train.select(id_col, label, *feature_cols).withColumn("_proj", proj)
-    ranked = running_count(base, [label], [F.col("_proj"), F.col(id_col)], "_pos")
-    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    ids = [c for c in ("repo", id_col) if c in train.columns]
+    base = staged(train.select(*ids, label, *feature_cols, node_of(label, feature_cols).alias("_node")), "smote-rows")
+    near = nearest(base, feature_cols, label, k=k, **search)
+    near = staged(near.select(F.col("node").alias("_node"), "copies", "near", "vec"), "smote-neighbours")
+    # Rows are dealt in a fixed order, by point and id; the count per class is skew-safe.
+    order = [F.col("_node"), *[F.col(c) for c in ids]]
+    ranked = running_count(base, [label], order, "_pos")
+    sizes = base.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     majority = F.max("_n").over(Window.partitionBy())  # over the (number of classes)-row table only
-    sizes = sizes.withColumn("_need", majority - F.col("_n"))
-    half = max(1, math.ceil(k / 2))
+    sizes = sizes.withColumn("_need", majority - F.col("_n")).withColumnRenamed(label, "_class")
     # Base row at rank i makes the synthetic rows j = i, i + n, i + 2n, ... < need.
     reps = F.when(F.col("_need") > F.col("_pos"),
                   F.floor((F.col("_need") - F.col("_pos") - 1) / F.col("_n")) + 1).otherwise(F.lit(0))
-    gen = ranked.join(F.broadcast(sizes), label).where(reps > 0).select(
+    gen = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_class"))).where(reps > 0).select(
         "*", F.explode(F.sequence(F.lit(0), (reps - 1).cast("int"))).alias("_r"))
-    gen = gen.withColumn("_j", F.col("_pos") + F.col("_r") * F.col("_n"))
-    u_pick = _unit_hash(F.lit(seed), F.col(label), F.col("_j"), F.lit("pick"))
-    step = (F.floor(u_pick * (2 * half)) - half).cast("int")
-    step = F.when(step >= 0, step + 1).otherwise(step)  # +-1..+-half, never 0
-    nbr = F.col("_pos") + step
-    nbr = F.when(nbr < 0, F.col("_pos") - step).otherwise(nbr)
-    nbr = F.when(nbr >= F.col("_n"), F.col("_pos") - F.abs(step)).otherwise(nbr)
-    nbr = F.least(F.greatest(nbr, F.lit(0)), F.col("_n") - 1)
-    gen = gen.withColumn("_nbr", nbr).withColumn("_gap", _unit_hash(F.lit(seed), F.col(label), F.col("_j"),
-                                                                    F.lit("gap")))
-    other = ranked.select(F.col(label).alias("_l2"), F.col("_pos").alias("_nbr"),
-                          *[F.col(c).alias(f"_o_{c}") for c in feature_cols],
-                          F.col(id_col).alias("_nbr_id"))
-    syn = gen.join(other, (gen[label] == other["_l2"]) & (gen["_nbr"] == other["_nbr"]))
+    j = F.col("_pos") + F.col("_r") * F.col("_n")
+    name = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    gen = gen.withColumn("_pick", _unit_hash(F.lit(seed), name, j, F.lit("pick"))).withColumn(
+        "_gap", _unit_hash(F.lit(seed), name, j, F.lit("gap")))
+    own = F.array_repeat("_node", F.least(F.col("copies") - 1, F.lit(k)).cast("int"))
+    others = F.coalesce(F.transform("near", lambda x: x["other"]), F.array().cast("array<bigint>"))
+    choice = F.slice(F.concat(own, others), 1, k)
+    choice = F.when(F.size(choice) == 0, F.array("_node")).otherwise(choice)
+    gen = gen.join(near.select("_node", choice.alias("_choice")), "_node")
+    gen = gen.withColumn("_nbr", F.get("_choice", F.floor(F.col("_pick") * F.size("_choice")).cast("int")))
+    who = F.struct(*ids)
+    ends = base.groupBy(F.col("_node").alias("_nbr")).agg(F.min(who).alias("_lo"), F.max(who).alias("_hi"))
+    ends = ends.join(near.select(F.col("_node").alias("_nbr"), F.col("vec").alias("_vec")), "_nbr")
+    syn = gen.join(ends, "_nbr")
+    # Among a row's own copies the neighbour is another row where there is one.
+    other = F.when(F.col("_lo") == who, F.col("_hi")).otherwise(F.col("_lo"))
+    types = train.schema
+    names = [("source_id", "neighbour_id") if c == id_col else (f"source_{c}", f"neighbour_{c}") for c in ids]
     synthetic = syn.select(
-        F.lit(None).cast("bigint").alias(id_col), F.col(label),
-        *[(F.col(c) + F.col("_gap") * (F.col(f"_o_{c}") - F.col(c))).alias(c) for c in feature_cols],
-        F.lit(True).alias("synthetic"), F.col(id_col).alias("source_id"), F.col("_nbr_id").alias("neighbour_id"),
+        *[F.lit(None).cast(types[c].dataType).alias(c) for c in ids], label,
+        *[(F.col(c) + F.col("_gap") * (F.col("_vec")[i] - F.col(c))).alias(c) for i, c in enumerate(feature_cols)],
+        F.lit(True).alias("synthetic"),
+        *[x for c, (s, n) in zip(ids, names) for x in (F.col(c).alias(s), other[c].alias(n))],
         F.col("_gap").alias("gap"),
     )
-    originals = train.select(id_col, label, *feature_cols, F.lit(False).alias("synthetic"),
-                             F.col(id_col).alias("source_id"), F.lit(None).cast("bigint").alias("neighbour_id"),
-                             F.lit(None).cast("double").alias("gap"))
+    originals = base.select(
+        *ids, label, *[F.col(c).cast("double").alias(c) for c in feature_cols], F.lit(False).alias("synthetic"),
+        *[x for c, (s, n) in zip(ids, names) for x in (F.col(c).alias(s), F.lit(None).cast(types[c].dataType).alias(n))],
+        F.lit(None).cast("double").alias("gap"))
     return originals.unionByName(synthetic)
 
 
 # ------------------------------------------------------------------ boosted trees
-def fit_one_vs_rest(train: DataFrame, feature_cols: list[str], label: str = "label", n_trees: int = C.GBT_TREES,
-                    seed: int = C.RANDOM_STATE, validation: str | None = None) -> list:
-    """One binary GBT per class (depth 4, step 0.03, row/feature subsample 0.8).
-
-    Spark's GBT is binary and one-vs-rest exposes no probabilities, so each
-    class gets its own model and the three positive-class probabilities are
-    normalised at prediction time.  With a ``validation`` column (true: held
-    out) Spark stops a class at the first round that does not lower the loss
-    there; it has no patience setting.
-    """
-    va = VectorAssembler(inputCols=feature_cols, outputCol="_features")
-    data = va.transform(train).select("_features", label, *([validation] if validation else [])).persist()
-    models = []
-    for i, _ in enumerate(C.CLASSES):
-        gbt = GBTClassifier(featuresCol="_features", labelCol=f"_is_{i}", maxIter=n_trees, maxDepth=C.GBT_DEPTH,
-                            stepSize=C.GBT_STEP, subsamplingRate=C.GBT_SUBSAMPLE, featureSubsetStrategy="0.8",
-                            seed=seed)
-        if validation:
-            gbt = gbt.setValidationIndicatorCol(validation)
-        models.append(gbt.fit(data.withColumn(f"_is_{i}", (F.col(label) == i).cast("double"))))
-    data.unpersist()
-    return models
-
-
-def predict_one_vs_rest(models: list, df: DataFrame, feature_cols: list[str]) -> DataFrame:
-    out = VectorAssembler(inputCols=feature_cols, outputCol="_features").transform(df)
-    for i, m in enumerate(models):
-        out = m.transform(out).withColumnRenamed("probability", f"_prob_{i}").drop("rawPrediction", "prediction")
-    pos = [vector_to_array(F.col(f"_prob_{i}"))[1] for i in range(len(C.CLASSES))]
-    total = pos[0] + pos[1] + pos[2]
-    out = out.select(*df.columns, *[(p / total).alias(f"p_{c}") for p, c in zip(pos, C.CLASSES)])
+def fit_stacked(balanced: DataFrame, validation: DataFrame | None, feature_cols: list[str], label: str = "label",
+                settings: boosting.Settings | None = None, resume: boosting.Model | None = None) -> boosting.Model:
+    """Joint boosting on the balanced rows; the rows of ``validation`` steer the early stop."""
+    rows = balanced.select(*feature_cols, label, F.lit(False).alias("_held"))
+    if validation is not None:
+        rows = rows.unionByName(validation.select(*feature_cols, label, F.lit(True).alias("_held")))
+    return boosting.fit(rows, feature_cols, label, held="_held", settings=settings, resume=resume)
+
+
+def predict_stacked(model: boosting.Model, df: DataFrame, feature_cols: list[str] | None = None) -> DataFrame:
+    """Every row with the three probabilities, the likeliest class and its name."""
+    out = boosting.predict(model, df, feature_cols)
     pred = (F.when((F.col("p_simple") >= F.col("p_moderate")) & (F.col("p_simple") >= F.col("p_complex")), 0)
             .when(F.col("p_moderate") >= F.col("p_complex"), 1).otherwise(2))
     return out.withColumn("prediction", pred).withColumn("complexity", class_name_map(F.col("prediction")))
 
 
-def feature_importance(models: list, feature_cols: list[str]) -> list[tuple[str, float]]:
-    """Mean of the per-class importances (each normalised to sum 1), sorted desc."""
-    acc = [0.0] * len(feature_cols)
-    for m in models:
-        imp = m.featureImportances.toArray()
-        s = float(sum(imp)) or 1.0
-        for i, v in enumerate(imp):
-            acc[i] += float(v) / s / len(models)
-    return sorted(zip(feature_cols, acc), key=lambda x: (-x[1], x[0]))
-
-
 # ------------------------------------------------------------------ evaluation
 def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     return pred.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(

@@ -63,11 +63,11 @@ def test_weighted_metrics_match_definition(spark):
     assert abs(w.f1 - sum(f1[c] * sup[c] for c in classes) / n) < 1e-12
 
 
-def test_one_vs_rest_probabilities_normalised(spark):
+def test_stacked_probabilities_normalised(spark):
     rows = [(i, i % 3, float(i % 3) + (i % 7) / 10.0, float(i % 5)) for i in range(300)]
     df = spark.createDataFrame(rows, "number long, label int, a double, b double")
-    models = L.fit_one_vs_rest(df, ["a", "b"], n_trees=5)
-    pred = L.predict_one_vs_rest(models, df, ["a", "b"])
+    model = L.fit_stacked(df.where("number % 4 > 0"), df.where("number % 4 = 0"), ["a", "b"])
+    pred = L.predict_stacked(model, df)
     s = pred.select((F.col("p_simple") + F.col("p_moderate") + F.col("p_complex")).alias("s"), "prediction",
                     "label").toPandas()
     assert ((s.s - 1).abs() < 1e-9).all()

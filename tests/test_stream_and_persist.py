@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from issuelens import config as C
 from issuelens.operators import events as E
+from issuelens.operators import boosting as B
 from issuelens.operators import learn as L
 from issuelens.operators import models as M
 from issuelens.operators.features import fit_scaler
@@ -72,7 +73,7 @@ def test_saved_models_score_by_what_exists(spark):
     text = L.text_pipeline(max_iter=3).fit(frame.select("text", "label"))
     scaler = fit_scaler(frame, C.NUMERIC_FEATURES)
     stacked = L.stacking_features(frame, L.text_probabilities(text, frame))
-    boosted = L.fit_one_vs_rest(stacked, L.STACK_COLS, n_trees=2)
+    boosted = L.fit_stacked(stacked, None, L.STACK_COLS, settings=B.Settings(rounds=2))
     rows = issues.select("number", "repo", "title", "body", "labels")
     whole = M.Models(text, boosted, scaler)
     for saved, name in ((M.Models(), "heuristic"), (M.Models(text), "text"), (M.Models(text, boosted), "text"), (whole, "stacked")):
