@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from issuelens import config as C
 from issuelens.functions.score import with_heuristic
-from issuelens.operators import boosting
+from issuelens.operators import boosting, text_model
 from issuelens.operators import learn as L
-from issuelens.operators.features import dedup_keep_last, numeric_text_features, with_label
+from issuelens.operators import models as M
+from issuelens.operators.features import dedup_keep_last, fit_scaler, numeric_text_features, with_label
 from issuelens.operators.neighbours import staged
 from issuelens.plans.features_q import _feature_sql_cols
 from issuelens.plans.oracle_views import scored_cte, with_views
@@ -378,3 +379,40 @@ def q_eval_metrics_rows(spark, sf_dir):
     path = scratch_path(spark, "metrics")
     write_metrics(Training(spark, sf_dir), path)
     return spark.read.parquet(path)
+
+
+# ------------------------------------------------------------- the chain of saved models (M2, M8)
+CHAIN = {"all": "stacked", "text": "text", "none": "heuristic"}
+
+
+@query("model_chain_score", with_views("issues") + """,
+saved AS (SELECT * FROM (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in CHAIN.items()) + """) v(saved, best))
+SELECT saved, repo, number, CASE WHEN number % 23 = 0 THEN 'heuristic' ELSE best END AS model, TRUE AS sums_to_one, TRUE AS likeliest
+FROM issues, saved""")
+def q_model_chain_score(spark, sf_dir):
+    """Every issue scored by what a model folder holds: stacked over the sequence model, the sequence model alone, nothing.
+
+    The sequence model's probabilities that the boosted model learns from are out of fold.  Every 23rd issue arrives without title
+    and body: the text model fails on it, and it falls to the heuristic.
+    """
+    run = Training(spark, sf_dir)
+    shape = text_model.Shape(epochs=3, per_class=300)
+    seen = staged(text_model.out_of_fold(run.split, folds=2, shape=shape).drop("text"), "chain-folds").dropna(subset=L.PROB_COLS)
+    train = seen.where(~F.col("is_test"))
+    stacked = staged(L.stacking_features(train, seen), "chain-stacked")
+    boosted = L.fit_stacked(stacked.where(~F.col("is_test")), stacked.where("is_test"), L.STACK_COLS)
+    sequence = text_model.fit(run.split.where(~F.col("is_test")), key=["repo", "number"], shape=shape)
+    whole = M.Models(boosted=boosted, scaler=fit_scaler(train, C.NUMERIC_FEATURES), sequence=sequence)
+    blank = F.col("number") % 23 == 0
+    issues = FX.issues(spark, sf_dir).select("repo", "number", "labels", *[F.when(~blank, F.col(c)).alias(c) for c in ("title", "body")])
+    out = None
+    for name, models in (("all", whole), ("text", M.Models(sequence=sequence)), ("none", M.Models())):
+        path = scratch_path(spark, f"chain-{name}")
+        M.save_models(spark, models, path)
+        scored = M.score(issues, M.load_models(spark, path)).select("repo", "number", F.lit(name).alias("saved"), "model", "complexity", "confidence",
+                                                                    "p_simple", "p_moderate", "p_complex")
+        out = scored if out is None else out.unionByName(scored)
+    p = [F.col(f"p_{c}") for c in C.CLASSES]
+    named = F.element_at(F.create_map(*[x for c in C.CLASSES for x in (F.lit(c), F.col(f"p_{c}"))]), F.col("complexity"))
+    return out.select("saved", "repo", "number", "model", (F.abs(p[0] + p[1] + p[2] - 1) < 0.001).alias("sums_to_one"),
+                      ((named == F.greatest(*p)) & (F.col("confidence") == named)).alias("likeliest"))
