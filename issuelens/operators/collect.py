@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 
 from issuelens import config as C
 from issuelens.functions import text as TX
+from issuelens.operators.commit_log import CommitLog
 from issuelens.operators.skew import best_per_key
 
+SALTS = 16
 
 def collect_issues(rows: DataFrame, include_closed: bool = C.INCLUDE_CLOSED, min_comments: int = C.MIN_COMMENTS,
                    max_per_repo: int | None = C.MAX_ISSUES_PER_REPO) -> DataFrame:
     """Drop pull requests, apply the state and comment filters, keep the newest
     ``max_per_repo`` issues of each repository.
 
-    ``row_number() <= n`` plans as a partial WindowGroupLimit before the
-    shuffle, so every map task forwards at most n rows per repository and a
-    hot repository never arrives whole at one task.  The cap bounds one
-    collection run; ``None`` takes every issue (counts over merged tables).
+    The cap bounds one collection run; ``None`` takes every issue (counts over
+    merged tables).  See ``newest_per_key`` for hot repositories.
     """
     f = rows.where(~F.col("_is_pr"))
     if not include_closed:
@@ -27,8 +27,32 @@ def collect_issues(rows: DataFrame, include_closed: bool = C.INCLUDE_CLOSED, min
     f = f.where(F.coalesce(F.col("comments"), F.lit(0)) >= min_comments)
     if max_per_repo is None:
         return f.drop("_is_pr")
-    w = Window.partitionBy("repo").orderBy(F.col("created_at").desc(), F.col("number").desc())
-    return f.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_per_repo).drop("_rn", "_is_pr")
+    return newest_per_key(f.drop("_is_pr"), ["repo"], ["created_at", "number"], max_per_repo)
+
+
+def newest_per_key(rows: DataFrame, keys: list[str], order: list[str], n: int, salts: int = SALTS) -> DataFrame:
+    """The ``n`` rows per key that are last in ``order``, whole rows touched once.
+
+    Two levels on narrow rows (key, order, hash of the row): the last n of each of ``salts`` parts of a key, then the last n
+    of these.  The n-th place is the key's cut: one short row per key, against which the whole rows are held where
+    they are.  Rows equal in everything share a place; of those at the cut as many stay as fit.
+    """
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*rows.columns).alias("h"))
+    narrow = rows.select(*keys, place.alias("_at")).withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(salts)))
+    first = Window.partitionBy(*keys, "_salt").orderBy(F.col("_at").desc())
+    some = narrow.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= n).drop("_rn", "_salt")
+    every = Window.partitionBy(*keys)
+    last = some.withColumn("_rn", F.row_number().over(every.orderBy(F.col("_at").desc()))).where(F.col("_rn") <= n)
+    cuts = last.withColumn("_cut", F.min("_at").over(every)).groupBy(*[F.col(c).alias(f"_k_{c}") for c in keys], "_cut").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_at") == F.col("_cut")).cast("int").alias("_fit"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    held = rows.withColumn("_at", place).join(cuts.where(F.col("_n") == n), same, "left")
+    above = held.where(F.col("_cut").isNull() | (F.col("_at") > F.col("_cut"))).select(*rows.columns)
+    at = held.where(F.col("_at") == F.col("_cut")).groupBy(*[f"_k_{c}" for c in keys], "_at").agg(
+        F.first(F.struct(*rows.columns)).alias("_row"), F.first("_fit").alias("_fit"))
+    return above.unionByName(at.select(F.explode(F.array_repeat("_row", F.col("_fit"))).alias("_row")).select("_row.*"))
 
 
 def incremental_append(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -79,19 +103,11 @@ def issues_per_repo(rows: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- snapshots
-def write_snapshot(df: DataFrame, root: str, label: str) -> str:
-    """Write a new snapshot folder; earlier snapshots stay as dated backups.
-
-    Never overwrites a path that readers may be reading.
-    """
-    path = f"{root}/snapshot={label}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+def write_snapshot(df: DataFrame, root: str, batch: str | None = None) -> int | None:
+    """Commit a new snapshot; earlier ones stay as versions.  A writer that dies leaves nothing readers would take."""
+    return CommitLog(df.sparkSession, root).write(df, batch, replace=True)
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Read the newest snapshot (labels sort chronologically: YYYYmmdd_HHMMSS)."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(root)  # noqa: SLF001
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    labels = sorted(s.getPath().getName() for s in fs.listStatus(jpath) if s.getPath().getName().startswith("snapshot="))
-    return spark.read.parquet(f"{root}/{labels[-1]}")
+    """The newest committed snapshot."""
+    return CommitLog(spark, root).read()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from issuelens import config as C
 from issuelens.operators import analytics as A
+from issuelens.operators.commit_log import CommitLog
 from issuelens.plans.oracle_views import with_views
 from issuelens.plans.registry import query
 from issuelens.session import scratch_path
@@ -125,10 +126,9 @@ SELECT repo, issue_number, title, array_to_string(labels, ',') AS labels, commen
 
 @query("predictions_log_append", APPEND_SQL)
 def q_predictions_log_append(spark, sf_dir):
-    """Two scoring batches appended to the log, each record stamped with the processing time."""
+    """Two scoring batches appended to the log, each record stamped with the processing time; the second is sent twice."""
     pred = FX.predictions(spark, sf_dir).withColumn("timestamp", F.current_timestamp())
-    path = scratch_path(spark, "predictions-append")
-    for half in (0, 1):
-        R.prediction_record(pred.where(F.col("issue_number") % 2 == half)).write.mode("append").text(path)
-    log = R.flatten_prediction_log(R.read_prediction_log(spark, path))
-    return log.drop("timestamp")
+    log = CommitLog(spark, scratch_path(spark, "predictions-append"), "json", R.PREDICTION_LOG_SCHEMA, {"mode": "DROPMALFORMED"})
+    for half in (0, 1, 1):
+        log.write(R.prediction_rows(pred.where(F.col("issue_number") % 2 == half)), batch=f"batch-{half}")
+    return R.flatten_prediction_log(log.read()).drop("timestamp")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import contextlib
 
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from issuelens.operators.collect import (
     remaining_repos,
     write_snapshot,
 )
+from issuelens.operators.commit_log import CommitLog, collect_run
 from issuelens.plans.oracle_views import with_views
 from issuelens.plans.registry import query
 from issuelens.session import scratch_path
@@ -182,12 +183,49 @@ def q_remaining_repos(spark, sf_dir):
 
 
 # ----------------------------------------------------------- snapshots
-@query("snapshot_write", _collect_sql(C.INCLUDE_CLOSED, C.MIN_COMMENTS, C.MAX_ISSUES_PER_REPO))
+_UNCAPPED = _collect_sql(C.INCLUDE_CLOSED, C.MIN_COMMENTS, 1 << 62)
+
+
+@query("snapshot_write", _UNCAPPED)
 def q_snapshot_write(spark, sf_dir):
-    """An older snapshot is kept as backup, the new one (it and what was collected since) is written beside it; readers
-    take the latest.  The cap bounds one collection run, not the table."""
+    """An older snapshot stays as a version, a writer that died leaves parts nobody names, the new snapshot (the older one and
+    what was collected since) is committed beside them; readers take the newest version.  The cap bounds one collection run,
+    not the table."""
     rows = collect_issues(landed_pages(spark, sf_dir), max_per_repo=None)
     root = scratch_path(spark, "snapshots")
-    existing = spark.read.parquet(write_snapshot(rows.where(F.col("number") % 2 == 0), root, "20240101_000000"))
-    write_snapshot(incremental_append(existing, rows), root, datetime.utcnow().strftime("%Y%m%d_%H%M%S"))
+    write_snapshot(rows.where(F.col("number") % 2 == 0), root)
+    existing = latest_snapshot(spark, root)
+    CommitLog(spark, root).stage(existing)  # written, never committed
+    write_snapshot(incremental_append(existing, rows), root)
     return latest_snapshot(spark, root)
+
+
+class _Crash(RuntimeError):
+    pass
+
+
+@query("collect_resume", _UNCAPPED)
+def q_collect_resume(spark, sf_dir):
+    """A collection run that dies twice between writing a wave and committing it, and is then started once more."""
+    pages = landed_pages(spark, sf_dir)
+    log = CommitLog(spark, scratch_path(spark, "collected"))
+    configured = pages.select("repo").distinct()
+
+    def fetch(repos):
+        return collect_issues(monitored_semi(pages, repos), max_per_repo=None)
+
+    class Dying(CommitLog):
+        left = 0
+
+        def commit(self, *args, **kwargs):
+            if not self.left:
+                raise _Crash
+            self.left -= 1
+            return super().commit(*args, **kwargs)
+
+    for good in (1, 1):
+        dying = Dying(spark, log.root)
+        dying.left = good
+        with contextlib.suppress(_Crash):
+            collect_run(dying, "run-1", configured, fetch, waves=4)
+    return collect_run(log, "run-1", configured, fetch, waves=4)

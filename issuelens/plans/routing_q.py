@@ -9,6 +9,7 @@ from issuelens.operators import events as E
 from issuelens.operators import routing as RT
 from issuelens.operators.scoring import batch_score
 from issuelens.plans.events_q import TRIAGED
+from issuelens.operators.commit_log import CommitLog
 from issuelens.plans.oracle_views import py_strip, scored_cte, with_views
 from issuelens.plans.registry import query
 from issuelens.plans.scoring_q import BATCH_SQL
@@ -147,14 +148,15 @@ FEEDBACK_CSV_SCHEMA = ("timestamp string, repo string, issue_number bigint, titl
 
 @query("feedback_append", FEEDBACK_APPEND_SQL)
 def q_feedback_append(spark, sf_dir):
-    """Each processed event appends one feedback row (one, not two: a decided fix); read back."""
+    """Each processed event appends one feedback row (one, not two: a decided fix) in two batches, the first of which
+    is delivered twice; read back."""
     t = E.triage(FX.webhook_events(spark, sf_dir)).where(F.col("status") == "processed").withColumnRenamed(
         "number", "issue_number")
     rec = RT.feedback_record(t, predicted="predicted")
-    path = scratch_path(spark, "feedback-log")
-    for part in (0, 1):
-        rec.where(F.col("issue_number") % 2 == part).write.mode("append").options(**R.CSV_OPTIONS).csv(path)
-    back = spark.read.schema(FEEDBACK_CSV_SCHEMA).options(**R.CSV_OPTIONS).csv(path)
+    log = CommitLog(spark, scratch_path(spark, "feedback-log"), "csv", FEEDBACK_CSV_SCHEMA, R.CSV_OPTIONS)
+    for part in (0, 1, 0):
+        log.write(rec.where(F.col("issue_number") % 2 == part), batch=f"delivery-{part}")
+    back = log.read()
     return back.drop("timestamp").withColumn("human_label", F.coalesce(F.col("human_label"), F.lit("")))
 
 

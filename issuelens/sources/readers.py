@@ -144,15 +144,20 @@ PREDICTION_LOG_SCHEMA = T.StructType([
 ])
 
 
-def prediction_record(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
-    """Rows -> one JSON text per prediction (the log line)."""
-    rec = F.struct(
+def prediction_rows(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
+    """Rows of the prediction log."""
+    return df.select(
         F.date_format(F.col(ts_col), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
         "repo", "issue_number", "title", "labels", "comments", "complexity", "confidence",
         F.struct(F.col("p_simple").alias("simple"), F.col("p_moderate").alias("moderate"),
                  F.col("p_complex").alias("complex")).alias("probabilities"),
     )
-    return df.select(F.to_json(rec).alias("value"))
+
+
+def prediction_record(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
+    """Rows -> one JSON text per prediction (the log line)."""
+    rows = prediction_rows(df, ts_col)
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
 def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
