@@ -177,13 +177,33 @@ def label_events(t: DataFrame) -> DataFrame:
     )
 
 
-def label_states(p: DataFrame) -> DataFrame:
-    """Label set after each event of ``label_events`` rows (see ``label_history``)."""
+MARKS = ["comment", *C.CLASSES]
+
+
+def _marks() -> list[tuple[str, Column]]:
+    """What decides the labels: the places (time, delivery) of comments and of each class."""
     pos = F.struct(F.col("ts"), F.col("delivery_id"))
-    aggs = [("_last_comment", "max", F.when(F.col("is_comment"), pos))] + [
-        (f"_last_{c}", "max", F.when(F.col("complexity") == c, pos)) for c in C.CLASSES
-    ]
+    return [("comment", F.when(F.col("is_comment"), pos)), *[(c, F.when(F.col("complexity") == c, pos)) for c in C.CLASSES]]
+
+
+def label_marks(p: DataFrame) -> DataFrame:
+    """Per issue of ``label_events`` rows: the last place of all events and of each mark (the state after them)."""
+    return p.groupBy("repo", "number").agg(
+        F.max(F.struct("ts", "delivery_id")).alias("last"), F.min(F.struct("ts", "delivery_id")).alias("first"),
+        *[F.max(mark).alias(f"last_{name}") for name, mark in _marks()])
+
+
+def label_states(p: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """Label set after each event of ``label_events`` rows (see ``label_history``).
+
+    ``carry``: marks (repo, number, last_<mark>) of earlier events, one row per issue; the rows go on from there.
+    """
+    aggs = [(f"_last_{name}", "max", mark) for name, mark in _marks()]
     h = prefix_aggregate(p, ["repo", "number"], [F.col("ts"), F.col("delivery_id")], aggs, stage_input=True)
+    if carry is not None:
+        old = carry.select(F.col("repo").alias("_repo"), F.col("number").alias("_number"), *[f"last_{m}" for m in MARKS])
+        h = h.join(old, F.col("repo").eqNullSafe(F.col("_repo")) & F.col("number").eqNullSafe(F.col("_number")), "left")
+        h = h.withColumns({f"_last_{m}": F.greatest(f"_last_{m}", f"last_{m}") for m in MARKS})
     present = [
         F.when(F.col(f"_last_{c}").isNotNull()
                & (F.col("_last_comment").isNull() | (F.col(f"_last_{c}") >= F.col("_last_comment"))),

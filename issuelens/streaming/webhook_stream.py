@@ -7,8 +7,7 @@ columns).  Every stateless step is the batch operator itself
 * ``foreachBatch`` sinks that write under ``batch=<id>`` folders, so a replayed
   micro-batch overwrites its own output (idempotent side effects);
 * ``dropDuplicatesWithinWatermark`` for redelivered events;
-* a narrow event table for the label state: the stream appends processed events,
-  the state after each is a running maximum over the table, so it depends on
+* a label state that each micro-batch advances by its own events; it depends on
   event times alone, not on how deliveries fell into files or micro-batches;
 * a watermarked daily window for the trend (update mode: the open day included).
 """
@@ -25,6 +24,7 @@ from issuelens.operators import events as E
 from issuelens.operators.analytics import mean_4dp
 from issuelens.operators.routing import feedback_record, notification_fields, notification_payload, route_to_team
 from issuelens.sources.readers import CSV_OPTIONS, prediction_record
+from issuelens.streaming.label_state import LabelState
 
 ENVELOPE_SCHEMA = "delivery_id bigint, ts timestamp, event string, signature string, raw string"
 WATERMARK = "1 hour"
@@ -141,15 +141,13 @@ def stream_relabel(spark: SparkSession, landing: str, out: str, secret: str | No
                    files_per_trigger: int | None = 1) -> DataFrame:
     """Label set of each issue after every event (comment events replace, issue events add).
 
-    The stream verifies, scores and appends narrow event rows under ``out``
-    (exactly once, incremental).  The states are taken from that table in time
-    order (``events.label_states``: range-sliced, a hot issue is spread over
-    tasks), so a late or tied event lands where its time puts it, and the rows
-    equal the batch ``label_history`` of everything landed.
+    Each micro-batch advances the label state under ``out`` by its own events (``label_state.LabelState``); a later run reads
+    new deliveries only.  The rows equal the batch ``label_history`` of everything landed, late and tied events included.
     """
+    state = LabelState(spark, out)
     s = E.label_events(E.triage(read_deliveries(spark, landing, files_per_trigger), secret))
-    run_available_now(s, "relabel", out, out)
-    return E.label_states(spark.read.parquet(out))
+    run_available_now(s, "relabel", lambda batch, batch_id: state.advance(batch, f"batch-{batch_id}"), out)
+    return state.read()
 
 
 # ------------------------------------------------------------------ trend
