@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from issuelens import config as C
 from issuelens.operators import analytics as A
 from issuelens.operators.commit_log import CommitLog
+from issuelens.operators.rollups import Rollups
 from issuelens.plans.oracle_views import with_views
-from issuelens.plans.registry import query
+from issuelens.plans.registry import ORACLE, query
 from issuelens.session import scratch_path
 from issuelens.sources import fixtures as FX
 from issuelens.sources import readers as R
@@ -98,6 +99,28 @@ def q_recent_predictions(spark, sf_dir):
     return recent.withColumn("labels", F.array_join("labels", ","))
 
 
+# ------------------------------------------------------- from rollups alone
+def _rolled(spark, sf_dir) -> Rollups:
+    """The log in three batches, one of them sent twice, added up in between."""
+    pred = FX.predictions(spark, sf_dir).select("timestamp", "repo", "issue_number", "complexity", "confidence")
+    rolled = Rollups(spark, scratch_path(spark, "rollups"))
+    for k in (0, 1, 1, 2):
+        rolled.add(pred.where(F.col("issue_number") % 3 == k), f"batch-{k}")
+        if k == 1:
+            rolled.compact()
+    return rolled
+
+
+def _register_rollups() -> None:
+    answers = {"dashboard_kpis": Rollups.kpis, "complexity_distribution": Rollups.distribution, "complexity_trend": Rollups.trend,
+               "resource_advice": Rollups.resource_advice, "dashboard_period_kpis": Rollups.period_kpis}
+    for key, answer in answers.items():
+        query(f"rollup_{key}", ORACLE[key])(lambda spark, sf_dir, answer=answer: answer(_rolled(spark, sf_dir)))
+
+
+_register_rollups()
+
+
 # ------------------------------------------------------- prediction log I/O
 LOG_SQL = P + """
 SELECT strftime("timestamp", '%Y-%m-%dT%H:%M:%S') AS "timestamp", repo, issue_number, title,

@@ -18,7 +18,9 @@ from issuelens.operators.features import (
 )
 from issuelens.plans.oracle_views import py_words, with_views
 from issuelens.plans.registry import query
+from issuelens.session import scratch_path
 from issuelens.sources import fixtures as FX
+from issuelens.streaming.history_state import HistoryState
 
 # RE2 has no UNIX_LINES flag; its '.' already stops only at '\n'.
 HAS_IMAGE_RE2 = "(?i)" + C.IMAGE_PATTERN
@@ -60,6 +62,20 @@ def q_user_history(spark, sf_dir):
     return user_history(iss).select("number", "author", "user_issue_count", "is_new_user")
 
 
+@query("user_history_append", USER_HISTORY_SQL)
+def q_user_history_append(spark, sf_dir):
+    """The same counts from four appends, the last of which arrives out of order."""
+    iss = FX.issues(spark, sf_dir).select("author", "created_at", "repo", "number")
+    state = HistoryState(spark, scratch_path(spark, "user-history"))
+    lo, hi = iss.agg(F.min("created_at"), F.max("created_at")).first()
+    late = F.col("number") % 17 == 0
+    for k in range(3):
+        inside = (F.col("created_at") >= F.lit(lo + (hi - lo) * k / 3)) & ((F.col("created_at") < F.lit(lo + (hi - lo) * (k + 1) / 3)) | F.lit(k == 2))
+        state.advance(iss.where(inside & ~late), f"append-{k}")
+    state.advance(iss.where(late), "late")
+    return state.read().select("number", "author", "user_issue_count", "is_new_user")
+
+
 LABEL_SQL = with_views("threads") + """
 SELECT number, comments,
        CAST(CASE WHEN comments <= 1 THEN 0 WHEN comments <= 5 THEN 1 ELSE 2 END AS INTEGER) AS label

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from issuelens.plans.events_q import RELABEL_HISTORY_SQL, ROUTED, TRIAGED
 from issuelens.plans.oracle_views import with_views
-from issuelens.plans.registry import query
+from issuelens.plans.registry import ORACLE, query
 from issuelens.session import scratch_path
 from issuelens.sources import fixtures as FX
 from issuelens.streaming import webhook_stream as S
@@ -70,3 +70,8 @@ GROUP BY day, complexity""")
 def q_stream_trend(spark, sf_dir):
     return S.stream_trend(spark, _landing(spark, sf_dir), scratch_path(spark, "trend-out"),
                           files_per_trigger=_files(spark))
+
+
+@query("stream_rollup", ORACLE["stream_trend"])
+def q_stream_rollup(spark, sf_dir):
+    return S.stream_rollup(spark, _landing(spark, sf_dir), scratch_path(spark, "rollup-out"), files_per_trigger=_files(spark))

@@ -1,115 +1,39 @@
-"""Label state of issues, advanced batch by batch.
-
-``LabelState`` keeps three narrow tables under one commit log, a part of each per batch:
-
-* ``events``  the processed events (``events.label_events``),
-* ``states``  the label set after each event, with the version that wrote it,
-* ``carry``   per issue the last places of its comments and classes, with the version that wrote it.
-
-A batch reads the carry rows of its own issues and goes on from them: nothing that landed before is computed again.  Running maxima
-are range-sliced, so an issue with a third of all events is spread over tasks.  If a batch brings an event that
-lies before an issue's last one, that issue alone is computed anew from its events, and its older states no longer
-count.  A batch is one commit: a replayed one changes nothing, one that died leaves nothing behind.
-"""
+"""Label state of issues, advanced batch by batch (see ``keyed_state``)."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from issuelens.operators.commit_log import CommitLog
 from issuelens.operators.events import MARKS, label_marks, label_states
+from issuelens.streaming.keyed_state import KeyedState
 
-KINDS = ("events", "states", "carry")
-ISSUE = ["repo", "number"]
 PLACE = "struct<ts: timestamp, delivery_id: bigint>"
-SCHEMAS = {
-    "events": "delivery_id bigint, repo string, number bigint, ts timestamp, complexity string, is_comment boolean",
-    "states": "delivery_id bigint, repo string, number bigint, complexity string, is_comment boolean, complexity_labels string, version bigint",
-    "carry": f"repo string, number bigint, last {PLACE}, {', '.join(f'last_{m} {PLACE}' for m in MARKS)}, since bigint, version bigint",
-}
 
 
-def _same(left: str, right: str):
-    both = F.lit(True)
-    for c in ISSUE:
-        both = both & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return both
+class LabelState(KeyedState):
+    """The ``complexity:*`` labels of each issue after each processed event (``events.label_events`` rows)."""
 
+    key = ["repo", "number"]
+    place = ["ts", "delivery_id"]
+    mark_names = [f"last_{m}" for m in MARKS]
+    schemas = {
+        "events": "delivery_id bigint, repo string, number bigint, ts timestamp, complexity string, is_comment boolean",
+        "states": "delivery_id bigint, repo string, number bigint, complexity string, is_comment boolean, complexity_labels string, version bigint",
+        "carry": f"repo string, number bigint, last {PLACE}, {', '.join(f'last_{m} {PLACE}' for m in MARKS)}, since bigint, version bigint",
+    }
 
-class LabelState:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.log = spark, CommitLog(spark, root)
+    def marks(self, rows: DataFrame) -> DataFrame:
+        return label_marks(rows)
 
-    def table(self, kind: str, parts: list[str] | None = None) -> DataFrame:
-        parts = self.log.manifest()["parts"] if parts is None else parts
-        if not parts:
-            return self.spark.createDataFrame([], SCHEMAS[kind])
-        return self.spark.read.schema(SCHEMAS[kind]).parquet(*[f"{self.log.root}/{p}/{kind}" for p in parts])
+    def merged(self, name: str, new: Column, old: Column) -> Column:
+        return F.greatest(new, old)
 
-    def _write(self, part: str, kind: str, rows: DataFrame) -> DataFrame:
-        path = f"{self.log.root}/{part}/{kind}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(SCHEMAS[kind]).parquet(path)
-
-    def latest(self, carry: DataFrame) -> DataFrame:
-        """The newest carry row of each issue."""
-        rest = [c for c in carry.columns if c not in ISSUE]
-        return carry.groupBy(*ISSUE).agg(F.max_by(F.struct(*rest), "version").alias("_c")).select(*ISSUE, "_c.*")
-
-    def advance(self, batch: DataFrame, name: str) -> int | None:
-        """Take in the events of a batch; None if it was taken in before."""
-        if self.log.has_batch(name):
-            return None
-        base = self.log.manifest()
-        version, part = base["version"] + 1, f"parts/{uuid.uuid4().hex}"
-        fresh = self._write(part, "events", batch.select("delivery_id", *ISSUE, F.col("ts").cast("timestamp").alias("ts"), "complexity", "is_comment"))
-        mine = label_marks(fresh)
-        known = self.table("carry", base["parts"]).alias("k").join(fresh.select(*ISSUE).distinct().alias("f"), _same("k", "f"), "left_semi")
-        carry = self.latest(known)
-        joined = mine.alias("m").join(carry.alias("c"), _same("m", "c"), "left")
-        # An event at or before the issue's last one: the issue is computed anew.
-        late = joined.where(F.col("m.first") <= F.col("c.last")).select("m.repo", "m.number")
-        scratch = CommitLog(self.spark, f"{self.log.root}/{part}")
-        late = self.spark.read.schema("repo string, number bigint").parquet(f"{scratch.root}/{scratch.stage(late)}")
-        again = late.limit(1).count() > 0
-        rows, seed = fresh, carry
-        if again:
-            whole = self.table("events", [*base["parts"], part]).alias("e").join(late.alias("l"), _same("e", "l"), "left_semi")
-            rows = fresh.alias("e").join(late.alias("l"), _same("e", "l"), "left_anti").unionByName(whole)
-            seed = carry.alias("e").join(late.alias("l"), _same("e", "l"), "left_anti")
-        self._write(part, "states", label_states(rows, seed).withColumn("version", F.lit(version).cast("bigint")))
-        after = (label_marks(rows) if again else mine).drop("first").alias("m").join(seed.alias("c"), _same("m", "c"), "left")
-        after = after.join(late.withColumn("_late", F.lit(True)).alias("l"), _same("m", "l"), "left")
-        since = F.when(F.col("l._late"), F.lit(version)).otherwise(F.coalesce("c.since", F.lit(0))).cast("bigint")
-        self._write(part, "carry", after.select(
-            "m.repo", "m.number", F.greatest("m.last", "c.last").alias("last"), *[F.greatest(f"m.last_{x}", f"c.last_{x}").alias(f"last_{x}") for x in MARKS],
-            since.alias("since"), F.lit(version).cast("bigint").alias("version")))
-        return self.log.commit([part], batch=name, parent=base["version"])
-
-    def read(self) -> DataFrame:
-        """The label set after every event taken in."""
-        parts = self.log.manifest()["parts"]
-        anew = self.latest(self.table("carry", parts)).where("since > 0").select(*ISSUE, "since")
-        held = self.table("states", parts).alias("s").join(anew.alias("a"), _same("s", "a"), "left")
-        return held.where("a.since IS NULL OR s.version >= a.since").select("s.*").drop("version")
+    def states(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
+        return label_states(rows, carry)
 
     def labels(self) -> DataFrame:
-        """The label set of every issue now, from the carry rows alone."""
-        c = self.latest(self.table("carry"))
-        marks = [F.when(F.col(f"last_{m}").isNotNull() & (F.col("last_comment").isNull() | (F.col(f"last_{m}") >= F.col("last_comment"))), F.lit(m))
+        """The classes among every issue's labels now, from the carry rows alone."""
+        there = [F.when(F.col(f"last_{m}").isNotNull() & (F.col("last_comment").isNull() | (F.col(f"last_{m}") >= F.col("last_comment"))), F.lit(m))
                  for m in sorted(MARKS[1:])]
-        return c.select(*ISSUE, F.concat_ws(",", *marks).alias("classes"))
-
-    def compact(self) -> int:
-        """One part of each table: all events, the states that count, the newest carry rows."""
-        base = self.log.manifest()
-        part = f"parts/{uuid.uuid4().hex}"
-        self._write(part, "events", self.table("events", base["parts"]))
-        anew = self.latest(self.table("carry", base["parts"]))
-        held = self.table("states", base["parts"]).alias("s").join(anew.alias("a"), _same("s", "a"), "left")
-        self._write(part, "states", held.where("s.version >= a.since").select("s.*"))
-        self._write(part, "carry", anew)
-        return self.log.commit([part], replace=True, parent=base["version"])
+        return self.now().select(*self.key, F.concat_ws(",", *there).alias("classes"))

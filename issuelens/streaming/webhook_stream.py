@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from issuelens import config as C
 from issuelens.operators import events as E
 from issuelens.operators.analytics import mean_4dp
+from issuelens.operators.rollups import Rollups
 from issuelens.operators.routing import feedback_record, notification_fields, notification_payload, route_to_team
 from issuelens.sources.readers import CSV_OPTIONS, prediction_record
 from issuelens.streaming.label_state import LabelState
@@ -171,3 +172,14 @@ def stream_trend(spark: SparkSession, landing: str, out: str, delay: str = WATER
     latest = spark.read.parquet(out).groupBy("day", "complexity").agg(
         F.max_by(F.struct("n", "avg_confidence"), F.col("batch").cast("bigint")).alias("v"))
     return latest.select("day", "complexity", "v.n", "v.avg_confidence")
+
+
+def stream_rollup(spark: SparkSession, landing: str, out: str, secret: str | None = C.WEBHOOK_SECRET,
+                  files_per_trigger: int | None = 1) -> DataFrame:
+    """The trend from mergeable partials: each micro-batch adds its counts, however late its events; no window state, and no
+    version of a day is read twice."""
+    rolled = Rollups(spark, out, grain="day")
+    t = E.triage(read_deliveries(spark, landing, files_per_trigger), secret).where(F.col("status") == "processed")
+    rows = t.select(F.col("ts").alias("timestamp"), "repo", F.col("predicted").alias("complexity"), "confidence")
+    run_available_now(rows, "rollup", lambda batch, batch_id: rolled.add(batch, f"batch-{batch_id}"), out)
+    return rolled.trend()

@@ -6,9 +6,9 @@ from datetime import datetime, timedelta
 import pytest
 
 from issuelens.operators import events as E
-from issuelens.streaming.label_state import SCHEMAS, LabelState
+from issuelens.streaming.label_state import LabelState
 
-SCHEMA = SCHEMAS["events"]
+SCHEMA = LabelState.schemas["events"]
 
 
 def make(rng, n):
