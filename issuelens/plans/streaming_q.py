@@ -75,3 +75,13 @@ def q_stream_trend(spark, sf_dir):
 @query("stream_rollup", ORACLE["stream_trend"])
 def q_stream_rollup(spark, sf_dir):
     return S.stream_rollup(spark, _landing(spark, sf_dir), scratch_path(spark, "rollup-out"), files_per_trigger=_files(spark))
+
+
+@query("stream_redelivery", ORACLE["stream_dedup"])
+def q_stream_redelivery(spark, sf_dir):
+    """Every 13th delivery comes again five minutes later, and in a second run of the stream every 11th comes a day later."""
+    landing, out = _landing(spark, sf_dir, redeliver=True), scratch_path(spark, "redelivery-out")
+    S.stream_dedup_horizon(spark, landing, out, "400 days", files_per_trigger=_files(spark) * 2)
+    again = FX.webhook_events(spark, sf_dir).where(F.col("delivery_id") % 11 == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
+    again.select("delivery_id", F.col("ts").cast("timestamp").alias("ts"), "event", "signature", "raw").write.mode("append").parquet(landing)
+    return S.stream_dedup_horizon(spark, landing, out, "400 days", files_per_trigger=_files(spark) * 2)

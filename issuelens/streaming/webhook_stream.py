@@ -26,6 +26,7 @@ from issuelens.operators.rollups import Rollups
 from issuelens.operators.routing import feedback_record, notification_fields, notification_payload, route_to_team
 from issuelens.sources.readers import CSV_OPTIONS, prediction_record
 from issuelens.streaming.label_state import LabelState
+from issuelens.streaming.seen import SeenDeliveries
 
 ENVELOPE_SCHEMA = "delivery_id bigint, ts timestamp, event string, signature string, raw string"
 WATERMARK = "1 hour"
@@ -137,6 +138,25 @@ def stream_dedup(spark: SparkSession, landing: str, out: str, delay: str = WATER
     return spark.read.parquet(out)
 
 
+def stream_dedup_horizon(spark: SparkSession, landing: str, out: str, horizon: str = "30 days",
+                         files_per_trigger: int | None = 1) -> DataFrame:
+    """Drop deliveries that came before within ``horizon``, across runs and however long ago the stream last ran."""
+    memory = SeenDeliveries(spark, f"{out}/seen", horizon)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        first = memory.fresh(batch, f"batch-{batch_id}")
+        # Of deliveries repeated inside the batch the earliest stays.
+        mine = batch.join(first, ["delivery_id", "ts"], "left_semi").dropDuplicates(["delivery_id"])
+        unnamed = batch.where(F.col("delivery_id").isNull())  # cannot be told apart: they stay
+        mine.unionByName(unnamed).write.mode("overwrite").parquet(f"{out}/kept/batch={batch_id}")
+        batch.unpersist()
+
+    s = read_deliveries(spark, landing, files_per_trigger).select("delivery_id", "ts", "event", "raw")
+    run_available_now(s, "dedup-horizon", write, out)
+    return spark.read.parquet(f"{out}/kept").select("delivery_id", "event", "raw")
+
+
 # ------------------------------------------------------------------ relabel state
 def stream_relabel(spark: SparkSession, landing: str, out: str, secret: str | None = C.WEBHOOK_SECRET,
                    files_per_trigger: int | None = 1) -> DataFrame:
