@@ -66,6 +66,9 @@ DEFAULT_EMOJI = "⚪"
 COMPLEX_MENTION = "<!channel> \U0001F6A8 New complex issue requires senior attention!"
 ISSUE_URL_HOST = "https://github.com"
 NOTIFY_TITLE_CHARS = 80
+NOTIFY_HEADER = " New Issue Triaged"
+NOTIFY_BUTTON = "\U0001F4CB View Issue"
+NOTIFY_TIME = "\u23F0 Triaged at "
 
 # Consolidation.
 DEDUP_TITLE_CHARS = 128

@@ -70,9 +70,13 @@ LABEL_SEP = "\u0001"
 
 
 def whole_number(c: Column) -> Column:
-    """A number written as integer, decimal or float text (``3``, ``3.0``) as bigint; ``nan`` and other text: null."""
-    d = c.cast("string").try_cast("double")
-    return F.when(~F.isnan(d), d).try_cast("bigint")
+    """A number written as integer, decimal or float text (``3``, ``3.0``) as bigint; ``nan`` and other text: null.
+
+    Integers and decimals are read as such, so none above 2^53 changes; only other notations go through a double.
+    """
+    text = c.cast("string")
+    d = text.try_cast("double")
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("decimal(38,10)").try_cast("bigint"), F.when(~F.isnan(d), d).try_cast("bigint"))
 
 
 def label_array(c, dtype) -> Column:

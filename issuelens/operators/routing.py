@@ -53,23 +53,40 @@ def notification_fields(df: DataFrame, mention_on_complex: bool = True, host: st
     )
 
 
-def notification_payload(fields: DataFrame) -> Column:
-    """JSON message for the outbox (delivery itself is out of scope)."""
-    return F.to_json(F.struct(
-        F.col("mention").alias("text"),
-        F.array(F.struct(
-            F.col("color").alias("color"),
-            F.concat(F.col("emoji"), F.lit(" New Issue Triaged")).alias("header"),
-            F.col("headline").alias("headline"),
-            F.array(
-                F.concat(F.lit("*Repository:*\n`"), F.coalesce(F.col("repo"), F.lit("unknown")), F.lit("`")),
-                F.concat(F.lit("*Complexity:*\n"), F.col("emoji"), F.lit(" "), F.col("complexity_upper")),
-                F.concat(F.lit("*Confidence:*\n"), F.col("confidence_pct")),
-                F.concat(F.lit("*Assign To:*\n"), F.col("team")),
-            ).alias("fields"),
-            F.col("issue_url").alias("url"),
-        )).alias("attachments"),
-    ))
+def _marked(text: Column) -> Column:
+    return F.struct(F.lit("mrkdwn").alias("type"), text.alias("text"))
+
+
+def _plain(text: Column) -> Column:
+    return F.struct(F.lit("plain_text").alias("type"), text.alias("text"), F.lit(True).alias("emoji"))
+
+
+def notification_payload(fields: DataFrame, triaged_at: Column | None = None) -> Column:
+    """JSON message for the outbox (delivery itself is out of scope): header, headline, four fields, divider, button, time.
+
+    Every block is an object of its own type; ``text`` is null unless a mention is due.
+    """
+    at = F.current_timestamp() if triaged_at is None else triaged_at
+    parts = [
+        F.struct(F.lit("header").alias("type"), _plain(F.concat(F.col("emoji"), F.lit(C.NOTIFY_HEADER))).alias("text")),
+        F.struct(F.lit("section").alias("type"), _marked(F.col("headline")).alias("text")),
+        F.struct(F.lit("section").alias("type"), F.array(
+            _marked(F.concat(F.lit("*Repository:*\n`"), F.coalesce(F.col("repo"), F.lit("unknown")), F.lit("`"))),
+            _marked(F.concat(F.lit("*Complexity:*\n"), F.col("emoji"), F.lit(" "), F.col("complexity_upper"))),
+            _marked(F.concat(F.lit("*Confidence:*\n"), F.col("confidence_pct"))),
+            _marked(F.concat(F.lit("*Assign To:*\n"), F.col("team")))).alias("fields")),
+        F.struct(F.lit("divider").alias("type")),
+        F.struct(F.lit("actions").alias("type"), F.array(F.struct(
+            F.lit("button").alias("type"), _plain(F.lit(C.NOTIFY_BUTTON)).alias("text"), F.col("issue_url").alias("url"),
+            F.lit("primary").alias("style"))).alias("elements")),
+        F.struct(F.lit("context").alias("type"), F.array(_marked(F.concat(
+            F.lit(C.NOTIFY_TIME), F.date_format(at, "yyyy-MM-dd HH:mm:ss")))).alias("elements")),
+    ]
+    # Blocks differ in shape, so each is written by itself and the list is put together as text.
+    blocks = F.concat_ws(",", *[F.to_json(b) for b in parts])
+    listed = F.to_json(F.array("mention"))  # a list of one string: without its brackets, the string in quotes
+    text = F.when(F.col("mention").isNull(), F.lit("null")).otherwise(F.substring(listed, F.lit(2), F.length(listed) - 2))
+    return F.concat(F.lit('{"text":'), text, F.lit(',"attachments":[{"color":"'), F.col("color"), F.lit('","blocks":['), blocks, F.lit("]}]}"))
 
 
 def suggest_remedy(df: DataFrame) -> Column:

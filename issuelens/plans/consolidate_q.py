@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from issuelens import config as C
 from issuelens.operators.consolidate import consolidate, consolidation_summary, keyed, unify_schema
@@ -11,6 +12,7 @@ from issuelens.plans.oracle_views import py_strip, with_views
 from issuelens.plans.registry import query
 from issuelens.session import scratch_path
 from issuelens.sources import fixtures as FX
+from issuelens.sources import readers as R
 
 
 def original_rows(spark, sf_dir) -> DataFrame:
@@ -96,6 +98,25 @@ def q_consolidate_dedup(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+CONSOLIDATED_SCHEMA = "timestamp string, repo string, issue_number bigint, title string, body string, labels string, comments bigint, target_label string, source string"
+
+
+@query("consolidate_csv", BEST_SQL + f"\nSELECT {_COLS} FROM best")
+def q_consolidate_csv(spark, sf_dir):
+    """Both sources scanned as header CSV (whole numbers written ``3.0`` where the column has gaps, and ``nan``), the result exported as
+    CSV and read back."""
+    o, f = _sources(spark, sf_dir)
+    floats = F.when(F.col("number") % 3 == 0, F.concat(F.col("number").cast("string"), F.lit(".0"))).otherwise(F.col("number").cast("string"))
+    issues = o.select(F.coalesce(floats, F.lit("nan")).alias("number"), "repo", "title", "body", F.array_join("labels", ",").alias("labels"), "comments")
+    log = f.withColumn("timestamp", F.col("timestamp").cast("string"))
+    paths = [R.write_csv(df, scratch_path(spark, name)) for df, name in ((issues, "original-csv"), (log, "feedback-csv"))]
+    issue_schema = T.StructType([T.StructField(c, T.LongType() if c in ("number", "comments") else T.StringType()) for c in issues.columns])
+    log_schema = T.StructType([T.StructField(c, T.LongType() if c in ("issue_number", "comments") else T.StringType()) for c in log.columns])
+    done = consolidate(R.read_csv(spark, paths[0], issue_schema), R.read_csv(spark, paths[1], log_schema))
+    out = R.write_csv(done, scratch_path(spark, "consolidated-csv"))
+    return R.read_csv(spark, out, T.StructType.fromDDL(CONSOLIDATED_SCHEMA))
+
+
 @query("consolidate_by_source", BEST_SQL + """
 SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM best GROUP BY 1""")
 def q_consolidate_by_source(spark, sf_dir):

@@ -105,7 +105,10 @@ wh_raw AS (
          || ',"title":"Issue ' || CAST(number AS VARCHAR)
          || '","body":"' || body
          || '","comments":' || CAST(comments AS VARCHAR)
-         || ',"labels":[{{"name":"bug"}}]}},"repository":{{"full_name":"' || repo || '"}}'
+         || ',"labels":[' || (CASE WHEN number % 5 = 0 THEN '{{"name":"complexity:simple"}},' ELSE '' END) || '{{"name":"bug"}}'
+         || (CASE WHEN number % 3 = 0 THEN ',{{"name":"complexity:moderate"}}' ELSE '' END)
+         || (CASE WHEN number % 7 = 0 THEN ',{{"name":"docs"}},{{"name":"complexity:simple"}}' ELSE '' END)
+         || ']}},"repository":{{"full_name":"' || repo || '"}}'
          || (CASE WHEN event_type = 'click' THEN ',"comment":{{"id":' || CAST(delivery_id AS VARCHAR) || '}}' ELSE '' END)
          || '}}' AS raw
   FROM wh_typed

@@ -69,6 +69,34 @@ def q_notification_payload(spark, sf_dir):
                     "mention", "log_line")
 
 
+_MD = "{{'type': 'mrkdwn', 'text': {}}}".format
+OUTBOX_SQL = NOTIFY_SQL.replace(f"{_TEAM} AS team FROM predictions)", f"{_TEAM} AS team FROM predictions),\nm AS (", 1).replace(
+    "SELECT issue_number, repo, team,", "SELECT issue_number, repo, team, complexity, \"timestamp\",", 1) + f""")
+SELECT issue_number, repo,
+       '{{"text":' || coalesce(CAST(to_json(mention) AS VARCHAR), 'null') || ',"attachments":[{{"color":"' || color || '","blocks":['
+       || concat_ws(',',
+            to_json({{'type': 'header', 'text': {{'type': 'plain_text', 'text': emoji || {q(C.NOTIFY_HEADER)}, 'emoji': true}}}}),
+            to_json({{'type': 'section', 'text': {_MD('headline')}}}),
+            to_json({{'type': 'section', 'fields': [
+              {_MD("'*Repository:*' || chr(10) || '`' || coalesce(repo, 'unknown') || '`'")},
+              {_MD("'*Complexity:*' || chr(10) || emoji || ' ' || upper(complexity)")},
+              {_MD("'*Confidence:*' || chr(10) || confidence_pct")},
+              {_MD("'*Assign To:*' || chr(10) || team")}]}}),
+            '{{"type":"divider"}}',
+            to_json({{'type': 'actions', 'elements': [{{'type': 'button', 'text': {{'type': 'plain_text', 'text': {q(C.NOTIFY_BUTTON)}, 'emoji': true}},
+                     'url': issue_url, 'style': 'primary'}}]}}),
+            to_json({{'type': 'context', 'elements': [{_MD(f"{q(C.NOTIFY_TIME)} || strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S')")}]}}))
+       || ']}}]}}' AS payload
+FROM m"""
+
+
+@query("notification_outbox", OUTBOX_SQL)
+def q_notification_outbox(spark, sf_dir):
+    """The whole message of every scored issue, stamped with the prediction's time."""
+    f = RT.notification_fields(RT.route_to_team(FX.predictions(spark, sf_dir)))
+    return f.select("issue_number", "repo", RT.notification_payload(f, F.col("timestamp")).alias("payload"))
+
+
 def _fill_sql(template: str, **parts: str) -> str:
     out, rest = [], template
     while "{" in rest:

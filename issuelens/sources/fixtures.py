@@ -130,7 +130,11 @@ def webhook_events(spark: SparkSession, sf_dir: str, secret: str = C.WEBHOOK_SEC
         F.lit(',"title":"Issue '), number.cast("string"),
         F.lit('","body":"'), body,
         F.lit('","comments":'), k.cast("string"),
-        F.lit(',"labels":[{"name":"bug"}]},"repository":{"full_name":"'), repo, F.lit('"}'),
+        # Some issues bear complexity labels already: one, the same twice, or two different ones around another label.
+        F.lit(',"labels":['), F.when(number % 5 == 0, F.lit('{"name":"complexity:simple"},')).otherwise(F.lit("")), F.lit('{"name":"bug"}'),
+        F.when(number % 3 == 0, F.lit(',{"name":"complexity:moderate"}')).otherwise(F.lit("")),
+        F.when(number % 7 == 0, F.lit(',{"name":"docs"},{"name":"complexity:simple"}')).otherwise(F.lit("")),
+        F.lit(']},"repository":{"full_name":"'), repo, F.lit('"}'),
         comment, F.lit("}"),
     )
     did = F.col("event_id")

@@ -153,3 +153,15 @@ def test_complexity_label(spark):
     df = spark.createDataFrame([(v,) for v in vals], "c long")
     got = [r[0] for r in df.select(cl(F.col("c"))).collect()]
     assert got == [2, 0, 0, 0, 1, 1, 2, 2]
+
+
+def test_whole_numbers_are_exact(spark):
+    from issuelens.functions.text import whole_number
+
+    given = {"9007199254740993": 9007199254740993, "9007199254740993.0": 9007199254740993, "3": 3, "3.0": 3, "nan": None, "": None, "x": None,
+             "-7": -7, "1e3": 1000, "1e30": None, "9223372036854775807": 9223372036854775807, None: None}
+    df = spark.createDataFrame([(k,) for k in given], "s string")
+    from pyspark.sql import functions as F
+
+    got = {r.s: r.n for r in df.select("s", whole_number(F.col("s")).alias("n")).collect()}
+    assert got == given
