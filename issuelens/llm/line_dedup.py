@@ -1,7 +1,9 @@
 """Line dedup with a log-template tree.
 
-Every line of every document (cut at newlines; lines without a word are left alone) goes down a tree of fixed
-depth: number of tokens, then the leading ``DEPTH`` tokens; tokens with a digit count as a variable ``<*>``.  Lines
+Every line of every document (cut at newlines) goes down a tree of fixed depth: number of tokens, then the leading ``DEPTH``
+tokens.  In a line with at least ``MIN_FIXED`` tokens without a digit, more than half of all, tokens with a digit
+count as a variable ``<*>``; any other line, such as a row of numbers, stands for itself alone.  Lines of one token or without a
+letter (brackets, rules, single numbers) are left alone: they recur by chance in clean documents.  Lines
 of at least ``MIN_TOKENS`` tokens are looked up by keys that leave out positions while ``SIMILARITY`` of the tokens
 stay: every combination of up to ``MOST_LEFT`` of ``BLOCKS`` blocks of positions and, for more fields, the positions
 of most different tokens in the leaf, one more at a time.  What stays under such a key is a template when lines of
@@ -43,16 +45,24 @@ LONG_MIN_DOCS = 2
 #: Lines are cut into at most BLOCKS blocks behind the leading tokens; templates leave out up to MOST_LEFT of them.
 BLOCKS = 10
 MOST_LEFT = 3
+#: Tokens without a digit that a line needs for its numbers to be variables.
+MIN_FIXED = 2
 VARIABLE = b"<*>"
 NO_ID = (1 << 63) - 1
 _DIGIT = re.compile(rb"[0-9]")
+_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
 def masked(line: bytes) -> list[bytes]:
-    """Tokens of a line; those with a digit become the variable mark."""
+    """Tokens of a line, numbers as the variable mark where enough of it is fixed; none if the line is left alone."""
     tokens = line.split()
+    if len(tokens) < 2 or not _LETTER.search(line):
+        return []
     if _DIGIT.search(line):
-        tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
+        marked = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
+        fixed = len(marked) - marked.count(VARIABLE)
+        if fixed >= MIN_FIXED and 2 * fixed > len(marked):
+            return marked
     return tokens
 
 
