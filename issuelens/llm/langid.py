@@ -29,6 +29,7 @@ from issuelens.llm.common import crc_mod, row_blocks, text_bytes
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
 SEQUENCE = 128
+LONGEST_WORD = 64
 BLOCK_BYTES = 1 << 21
 UND = "und"
 
@@ -176,7 +177,8 @@ def train(samples: list[tuple[str, bytes]], epochs: int = 4, seed: int = 7, lexi
                 sequence.append((label, words[:cut], words[cut:]))
             chunks.append([(la, w) for la, h, t in sequence for w in h] + [(la, w) for la, h, t in sequence for w in t])
         for a in range(0, len(chunks), 64):
-            batch = sorted((c[:SEQUENCE] for c in chunks[a : a + 64]), key=len, reverse=True)
+            pieces = [c[k : k + SEQUENCE] for c in chunks[a : a + 64] for k in range(0, len(c), SEQUENCE)]
+            batch = sorted(pieces, key=len, reverse=True)
             flat = [w for c in batch for _, w in c]
             distinct = sorted(set(flat))
             place = {w: i for i, w in enumerate(distinct)}
@@ -256,13 +258,15 @@ def predict(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray]:
 def training_sample(
     docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column, per_language: int, span_words: int
 ) -> list[tuple[str, bytes]]:
-    """Spans of ``per_language`` hashed documents per language; at most span_words words of each leave the executors."""
+    """Spans of ``per_language`` hashed documents per language, one a document: at most ``span_words`` words of each leave the
+    executors, and none of over ``LONGEST_WORD`` bytes.  Rows that share an id count once."""
     # First within 64 parts of a language, so that no task gets the candidates of all tasks.
     part = F.row_number().over(Window.partitionBy("lang", F.pmod("pick", F.lit(64))).orderBy("pick", "id"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "id"))
     ids = (
         docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
+        .distinct()
         .withColumn("pick", F.xxhash64("id"))
         .withColumn("part", part)
         .where(F.col("part") <= per_language)
@@ -279,10 +283,11 @@ def training_sample(
             for pick, text in zip(b.column(0).to_pylist(), text_bytes(b.column(2))):
                 words = text.split()
                 start = pick % max(1, len(words) - span_words + 1)
-                spans.append(b" ".join(w[:64] for w in words[start : start + span_words]))
+                spans.append(b" ".join(w for w in words[start : start + span_words] if len(w) <= LONGEST_WORD))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], names=["pick", "lang", "span"])
 
-    rows = chosen.mapInArrow(cut, "pick long, lang string, span binary").limit(100 * per_language).collect()
+    spans = chosen.mapInArrow(cut, "pick long, lang string, span binary")
+    rows = spans.groupBy("pick", "lang").agg(F.min("span").alias("span")).collect()
     return [(r.lang, bytes(r.span)) for r in sorted(rows, key=lambda r: (r.lang, r.pick, bytes(r.span)))]
 
 

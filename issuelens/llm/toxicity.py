@@ -34,6 +34,7 @@ WORDS = 1 << 15
 WIDTH = 12
 HIDDEN = 8
 BLOCK_BYTES = 1 << 20
+LONGEST_WORD = 64
 HOLD = 30.0  # update-gate input of a padding word: the state passes through unchanged
 
 Params = dict[str, np.ndarray]
@@ -280,6 +281,8 @@ def train(samples: list[tuple[int, bytes]], rounds: int = 6, batch: int = 128, s
 
 
 def training_sample(docs, labels, id_col, text_col, label_col, usable, per_class, span_words) -> list[tuple[int, bytes]]:
+    """One span of ``span_words`` words of each of ``per_class`` hashed documents a class; words of over ``LONGEST_WORD`` bytes are
+    left out of it."""
     # First within 64 parts of a class, so that no task gets the candidates of all tasks.
     part = F.row_number().over(Window.partitionBy("y", F.pmod("pick", F.lit(64))).orderBy("pick", "id"))
     rank = F.row_number().over(Window.partitionBy("y").orderBy("pick", "id"))
@@ -304,10 +307,11 @@ def training_sample(docs, labels, id_col, text_col, label_col, usable, per_class
             for pick, text in zip(b.column(0).to_pylist(), text_bytes(b.column(2))):
                 words = text.split()
                 start = pick % max(1, len(words) - span_words + 1)
-                spans.append(b" ".join(w[:64] for w in words[start : start + span_words]))
+                spans.append(b" ".join(w for w in words[start : start + span_words] if len(w) <= LONGEST_WORD))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], names=["pick", "y", "span"])
 
-    rows = chosen.mapInArrow(cut, "pick long, y int, span binary").limit(4 * per_class).collect()
+    spans = chosen.mapInArrow(cut, "pick long, y int, span binary")
+    rows = spans.groupBy("pick", "y").agg(F.min("span").alias("span")).collect()  # one span a document
     return [(r.y, bytes(r.span)) for r in sorted(rows, key=lambda r: (r.pick, bytes(r.span)))]
 
 

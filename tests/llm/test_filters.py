@@ -372,3 +372,34 @@ def test_mix_equals_its_sql(spark):
     want = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLE['op4_mix_sources']})").fetchall())
     got = sorted(tuple(r) for r in registry.QUERIES["op4_mix_sources"](spark, SF_MED).select(*columns).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_stages_pass_other_columns_through(spark, step):
+    import corpus_pipeline as P
+
+    names = ["id", "score", "n_dropped", "_key", "key", "text2", "own_0", "component", "held_out", "lang_pred", "n_rows"]
+    prose = "the quick letter of the day was read to the people in the town and they were glad of it number "
+    rows = [(i, prose + w, None if i == 3 else "en", "s", 7) for i, w in enumerate(("one", "two three", "four five six", "seven", "eight nine"))]
+    rows += [(2, "another row of the same id with a text of its own that says something else", "en", "s", 7),
+             (2, "another row of the same id with a text of its own that says something else", "en", "s", 7),
+             (None, "a text without an id that is read by the people of the town", "en", None, 7)]
+    df = spark.createDataFrame([(*r, *[float(k) for k in range(len(names))]) for r in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} double" for c in names))
+    out = P.STAGES[step][1](spark, df, SF_SMALL)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert all([r[c] for c in names] == [float(k) for k in range(len(names))] for r in got)
+    assert {(r.doc_id, r.text) for r in got} <= {r[:2] for r in rows} if step != 1 else True
+    assert (2, rows[5][1]) in {(r.doc_id, r.text) for r in got} and (2, rows[2][1]) in {(r.doc_id, r.text) for r in got}
+    if P.STAGES[step][0] == "simhash_near_dedup":
+        assert len(got) == len(rows) - 1  # the repeated row
+
+
+def test_training_spans_of_repeated_rows_and_long_words(spark):
+    rows = [(1, "one two three " + "x" * 5000, "en", "s")] * 40 + [(i, f"text number {i}", f"l{i % 120}", "s") for i in range(2, 300)]
+    docs = frame(spark, rows)
+    got = langid.training_sample(docs, "doc_id", "text", "lang", F.lit(True), 2, 64)
+    assert len({lang for lang, _ in got}) == 121  # no bound on the number of languages
+    assert [span for lang, span in got if lang == "en"] == [b"one two three"]
+    assert max(sum(1 for x, _ in got if x == lang) for lang, _ in got) == 2
