@@ -12,7 +12,9 @@ punctuation separates words.  Items shorter than five words form one shingle.  `
 a pair with similarity 0.8 is missed with a chance below 0.001 (expected distance 9.7 bits, deviation 2.9).
 
 The benchmark is taken in blocks of at most about ``block_bytes`` of text; each block is broadcast and read
-against all documents, so nothing of unbounded size is broadcast and no document is compared by a join.
+against all documents, so nothing of unbounded size is broadcast and no document is compared by a join.  Weights come
+from the whole benchmark: how many items hold a shingle is counted once, by Spark, in ``BUCKETS`` counters by hash of the shingle (a table
+of fixed size), so no result depends on how the items are cut into blocks.
 
 Edge cases: null, empty or wordless texts and items never match; repeated document ids give one row per id
 and item (the best match); repeated items match each on their own id; null ids are kept; empty tables give no
@@ -33,6 +35,7 @@ SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 8
 BLOCK_BYTES = 32 << 20
+BUCKETS = 1 << 20
 
 #: ASCII punctuation and control bytes become blanks; letters, digits and bytes of other characters stay.
 _KEEP = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
@@ -79,11 +82,34 @@ class MultiIndex:
         return np.concatenate(found_q or [np.zeros(0, int)]), np.concatenate(found_i or [np.zeros(0, int)])
 
 
+def bucket(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def frequencies(items: DataFrame) -> tuple[np.ndarray, int]:
+    """Items per bucket of shingles, and items with a word, over the whole benchmark (rows (item, text))."""
+
+    def run(batches):
+        for b in batches:
+            for text in text_bytes(b.column(1)):
+                if words := tokens(text):
+                    found = np.unique(bucket(shingle_codes(word_hashes(words), min(SHINGLE, len(words)))))
+                    # Bucket -1 counts the items.
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int64())], names=["bucket"])
+
+    table = np.zeros(BUCKETS + 1, np.int64)
+    for r in items.mapInArrow(run, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():  # BUCKETS + 1 rows at most
+        table[r["bucket"]] = r["n"]
+    return table[:-1], int(table[-1])
+
+
 class Benchmark:
     """One block of items, ready for search."""
 
-    def __init__(self, items: list[tuple], radius: int = RADIUS, similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple], frequency: np.ndarray, count: int, radius: int = RADIUS, similarity: float = SIMILARITY):
+        """``frequency``: items of the whole benchmark per bucket of shingles; ``count``: its items with a word."""
         self.similarity = similarity
+        self.weight_of = 1 + np.log(max(1, count) / np.maximum(frequency, 1))
         self.items = []  # item id, number of words, {shingle: count}, total weight
         words_of = [(i, w) for i, t in items if (w := tokens(t))]
         self.place: dict[bytes, int] = {}
@@ -92,13 +118,7 @@ class Benchmark:
                 self.place.setdefault(w, len(self.place) + 1)
         known = {w: h for w, h in zip(self.place, word_hashes(list(self.place)).tolist())}
         codes_of = [shingle_codes(np.array([known[w] for w in words], np.uint64), min(SHINGLE, len(words))) for _, words in words_of]
-        frequency: dict[int, int] = {}
-        for codes in codes_of:
-            for c in set(codes.tolist()):
-                frequency[c] = frequency.get(c, 0) + 1
-        self.count = max(1, len(words_of))
-        self.shingles = np.array(sorted(frequency), np.uint64)
-        self.weight = 1 + np.log(self.count / np.array([frequency[c] for c in self.shingles.tolist()], float))
+        self.shingles = np.unique(np.concatenate(codes_of)) if codes_of else np.zeros(0, np.uint64)
         sizes: dict[int, list] = {}
         self.spellings: dict[int, np.ndarray] = {}  # words per shingle -> codes over word numbers, sorted
         by_length: dict[int, set] = {}
@@ -123,12 +143,8 @@ class Benchmark:
                     self.sizes_of.setdefault(c, set()).add(m)
 
     def weights(self, codes: np.ndarray) -> np.ndarray:
-        """Weight of each shingle: 1 + log(items / items that hold it, one at least)."""
-        rare = 1 + np.log(self.count)
-        if not len(self.shingles):
-            return np.full(len(codes), rare)
-        at = np.minimum(np.searchsorted(self.shingles, codes), len(self.shingles) - 1)
-        return np.where(self.shingles[at] == codes, self.weight[at], rare)
+        """Weight of each shingle: 1 + log(items / items in its bucket, one at least)."""
+        return self.weight_of[bucket(codes)]
 
     def suspects(self, texts: list[bytes]) -> list[int]:
         """Texts that share a shingle with an item."""
@@ -224,13 +240,14 @@ def contaminated(
     blocks = max(1, -(-size // block_bytes))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item long, similarity double, first_word long, n_words long, distance int"
+    counted = spark.sparkContext.broadcast(frequencies(items))
     parts = []
     for i in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect()
         shared = spark.sparkContext.broadcast(sorted(((r.item, r.text.encode()) for r in block), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
         def run(batches, shared=shared):
-            bench = Benchmark([(n, t) for n, (_, t) in enumerate(shared.value)], radius, similarity)
+            bench = Benchmark([(n, t) for n, (_, t) in enumerate(shared.value)], *counted.value, radius, similarity)
             names = [i for i, _ in shared.value]
             for b in batches:
                 texts, ids = text_bytes(b.column(1)), b.column(0).to_pylist()

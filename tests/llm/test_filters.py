@@ -403,3 +403,20 @@ def test_training_spans_of_repeated_rows_and_long_words(spark):
     assert len({lang for lang, _ in got}) == 121  # no bound on the number of languages
     assert [span for lang, span in got if lang == "en"] == [b"one two three"]
     assert max(sum(1 for x, _ in got if x == lang) for lang, _ in got) == 2
+
+
+def test_decontamination_does_not_depend_on_blocks(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst") + rng.choice("uvwxyz")
+    common = " ".join(word() for _ in range(12))  # shared by many items: its shingles weigh less
+    items = [(i, " ".join(word() for _ in range(14)) + (" " + common if i % 2 else "")) for i in range(40)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for _ in range(rng.randrange(0, 3)):  # near the threshold
+            w[rng.randrange(len(w))] = word()
+        docs.append((i, " ".join([word() for _ in range(9)] + w + [word() for _ in range(9)]), "en", "s"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    one, many = (sorted(map(tuple, decontam.contaminated(frame(spark, docs), bench, block_bytes=b).collect())) for b in (size, size // 7))
+    assert one == many and len(one) > 10
