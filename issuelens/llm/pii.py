@@ -3,14 +3,17 @@
 Detected entities (e-mail addresses, telephone numbers, IPv4 addresses, 16-digit card numbers, secret tokens and
 names after a title) are replaced by surrogates of the same type, script and format: separators, digit
 counts, letter case, mail and token lengths stay, card numbers keep their check-digit status, telephone
-numbers keep a leading country code, IPv4 octets stay in range, names keep title, gender of the title and script.  A
+numbers keep a leading country code, IPv4 octets stay in range, names keep title, gender and script.  A
 surrogate depends on the key, the type and the normalised entity only, so every mention of an entity gets the same
-one.  Distinctness is checked over the whole table: entities whose surrogates collide with another entity's or
-with an entity that occurs in the text are derived again with the next attempt number, until none collides.
+one.  Parts that entities share stay shared: a last name has one surrogate, with or without a first name before it, and so has a
+mail domain.  A person's gender is that of the titles with a gender that the table holds for the whole name (of both:
+neutral), so ``Dr. Kim Lee`` and ``Ms. Kim Lee`` are one.  Distinctness is checked over the whole table: entities whose
+surrogates collide with another entity's or with an entity that occurs in the text are derived again with the next
+attempt number, until none collides; the space of forms grows with the attempt.
 
 Only DataFrame operations are used: one regular expression finds all types; texts are split around the
-matches and joined again with the surrogates.  Only entities that needed a second attempt are joined back to
-their documents; all others are derived in place.  The most frequent entity meets as one row per task.
+matches and joined again with the surrogates.  Only entities that needed a second attempt, or whose titles differ in
+gender, are joined back to their documents; all others are derived in place.  The most frequent entity meets as one row per task.
 
 Edge cases: null texts stay null; empty texts and texts without an entity stay as they are; a null id is a document like
 any other (its second attempts are found by the text's hash); repeated rows get equal results; an empty table
@@ -27,17 +30,19 @@ from pyspark.sql import functions as F
 from issuelens.llm.common import stage
 
 KEY = "surrogate-key"
-ROUNDS = 12
+ROUNDS = 64  # each round leaves a small share of the collisions of the last one, in a larger space
 
 #: Patterns of the types, most specific first; \p{..} classes cover every script.
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,39}[0-9])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])"
 CARD = r"(?<![0-9.])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 #: Marks may stand between the parts of a telephone number; without an area code only the dashed form counts.
 _GAP = r"[^0-9A-Za-z\n()]{0,6}"
+#: After a country code, one to five groups of digits, eight to fifteen digits in all.
+_ABROAD = r"\+(?=[0-9]{1,3}[ .-])(?=(?:[ .()-]{0,3}[0-9]){8,15}(?![0-9]))[0-9]{1,3}(?:[ .-]\(?[0-9]{1,10}\)?){1,5}"
 PHONE = (
-    rf"(?<![0-9A-Za-z])(?:(?:\+[0-9]{{1,3}}{_GAP})?(?:\([0-9]{{3}}\){_GAP}|[0-9]{{3}}[ -])[0-9]{{3}}[ -][0-9]{{4}}|[0-9]{{3}}-[0-9]{{4}})"
+    rf"(?<![0-9A-Za-z])(?:{_ABROAD}|(?:\+[0-9]{{1,3}}{_GAP})?(?:\([0-9]{{3}}\){_GAP}|[0-9]{{3}}[ -])[0-9]{{3}}[ -][0-9]{{4}}|[0-9]{{3}}-[0-9]{{4}})"
     r"(?![0-9])"
 )
 #: Titles by gender (fixed values), and pools of the names that replace those after them, by gender and script.
@@ -143,54 +148,98 @@ def _card(entity: Column, value: Column, s: Column) -> Column:
     return let(let(_decimal(s, 15), checked), lambda digits: _fill(entity, digits))
 
 
-def _name(entity: Column, value: Column, s: Column) -> Column:
-    """The title stays; first names come from the pool of its gender and script, last names are invented."""
+#: Genders of a person: as the mention's title says, or fixed for the whole table.
+BY_TITLE, FEMALE, MALE, NEUTRAL = range(4)
+
+
+def gender_of(entity: Column) -> Column:
+    """FEMALE, MALE or NEUTRAL by the title of a mention."""
+    title = F.regexp_extract(entity, rf"^(?:{_TITLE}) ", 0)
     female, male = ([t + " " for t in TITLES[g]] for g in "fm")
+    return F.when(title.isin(female), FEMALE).when(title.isin(male), MALE).otherwise(NEUTRAL)
+
+
+def last_name(value: Column) -> Column:
+    return F.regexp_extract(value, r"([^ ]+)$", 1)
+
+
+def _syllables(script: str, s: Column, at: int, count: Column, most: int) -> Column:
+    """The first ``count`` of ``most`` syllables, as a name."""
+    pool = F.array(*[F.lit(x) for x in SYLLABLES[script]])
+    made = [F.element_at(pool, (_number(s, at + 2 * i, 2) % len(SYLLABLES[script]) + 1).cast("int")) for i in range(most)]
+    return F.initcap(F.array_join(F.slice(F.array(*made), F.lit(1), F.least(count, F.lit(most)).cast("int")), ""))
+
+
+def _by_script(value: Column, made: Callable[[str], Column]) -> Column:
+    return F.when(value.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
+
+
+def _surname(name: Column, attempt: Column, key: str) -> Column:
+    """An invented last name; one syllable more an attempt."""
+    stream = _stream(key, F.lit("surname"), name, attempt, 1)
+    return let(stream, lambda s: _by_script(name, lambda script: _syllables(script, s, 8, attempt + 5, 12)))
+
 
-    def pick(pool: list[str]) -> Column:
-        return F.element_at(F.array(*[F.lit(p) for p in pool]), (_number(s, 0, 4) % len(pool) + 1).cast("int"))
+def _first(value: Column, gender: Column, attempt: Column, s: Column) -> Column:
+    """A first name of the gender's and script's pool; from the second attempt on a double name with an invented part."""
 
-    def last(script: str) -> Column:
-        made = [pick_syllable(script, 8 + 2 * i) for i in range(5)]
-        return F.initcap(F.concat(*made))
+    def of(script: str) -> Column:
+        def pick(g: str) -> Column:
+            pool = FIRST[g, script]
+            return F.element_at(F.array(*[F.lit(p) for p in pool]), (_number(s, 0, 4) % len(pool) + 1).cast("int"))
 
-    def pick_syllable(script: str, at: int) -> Column:
-        pool = F.array(*[F.lit(x) for x in SYLLABLES[script]])
-        return F.element_at(pool, (_number(s, at, 2) % len(SYLLABLES[script]) + 1).cast("int"))
+        name = F.when(gender == FEMALE, pick("f")).when(gender == MALE, pick("m")).otherwise(pick("x"))
+        return F.when(attempt > 0, F.concat(name, F.lit("-"), _syllables(script, s, 40, attempt + 1, 8))).otherwise(name)
 
-    def made(title: Column) -> Column:
-        def of(script: str) -> Column:
-            first = (
-                F.when(title.isin(female), pick(FIRST["f", script]))
-                .when(title.isin(male), pick(FIRST["m", script]))
-                .otherwise(pick(FIRST["x", script]))
-            )
-            return F.when(value.contains(" "), F.concat_ws(" ", first, last(script))).otherwise(last(script))
+    return _by_script(value, of)
 
-        return F.concat(title, F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin")))
 
-    return let(F.regexp_extract(entity, rf"^(?:{_TITLE}) ", 0), made)
+def _name(entity: Column, value: Column, s: Column, attempt: Column, gender: Column, surname_attempt: Column, key: str) -> Column:
+    """The title stays; first names come from the pool of gender and script, last names are invented."""
+    title = F.regexp_extract(entity, rf"^(?:{_TITLE}) ", 0)
+    last = let(last_name(value), lambda name: _surname(name, surname_attempt, key))
+    known = F.when(gender == BY_TITLE, gender_of(entity)).otherwise(gender)
+    whole = F.when(value.contains(" "), F.concat_ws(" ", let(known, lambda g: _first(value, g, attempt, s)), last)).otherwise(last)
+    return F.concat(title, whole)
 
 
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
-    """Replacement of an entity: same type and format, depending on key, type, normalised entity and attempt."""
+def surrogate(
+    kind: Column, entity: Column, attempt: Column, key: str = KEY, gender: Column | None = None, surname_attempt: Column | None = None
+) -> Column:
+    """Replacement of an entity: same type and format, depending on key, type, normalised entity and attempt.
+
+    Names: ``gender`` of the person and the attempt of the last name (default: by title, the first).
+    """
+    gender = F.lit(BY_TITLE) if gender is None else gender
+    surname_attempt = F.lit(0) if surname_attempt is None else surname_attempt
 
     def from_stream(value: Column, s: Column) -> Column:
-        # Mail: an invented local part of the same length (eight letters at least) at a reserved domain.
-        size = F.greatest(F.length(F.substring_index(entity, "@", 1)), F.lit(8))
-        email = F.concat(F.translate(s, "0123456789", "ghijklmnop").substr(F.lit(1), size), F.lit("@mail.example.org"))
-        ip = F.concat_ws(".", F.lit("10"), *[(_number(s, 4 * i, 4) % 254 + 1).cast("string") for i in range(3)])
+        # Mail: an invented local part of the same length (eight letters at least) at an invented, reserved domain of like length.
+        letters = F.translate(s, "0123456789", "ghijklmnop")
+        size = F.greatest(F.length(F.substring_index(entity, "@", 1)), F.lit(8)) + attempt
+        firm = F.lower(F.substring_index(entity, "@", -1))
+        domain = F.translate(_stream(key, F.lit("domain"), firm, F.lit(0), 1), "0123456789", "ghijklmnop")
+        label = domain.substr(F.lit(1), F.least(F.greatest(F.length(firm) - len(".example.org"), F.lit(6)), F.lit(60)))
+        email = F.concat(letters.substr(F.lit(1), F.least(size, F.lit(64))), F.lit("@"), label, F.lit(".example.org"))
+        # Addresses: of the private network first, of the reserved ones from the fourth attempt, then any.
+        octet = F.when(attempt < 3, 10).when(attempt < 6, 240 + _number(s, 32, 4) % 15).otherwise(1 + _number(s, 32, 4) % 254)
+        ip = F.concat_ws(".", octet.cast("string"), *[(_number(s, 4 * i, 4) % 254 + 1).cast("string") for i in range(3)])
         token = s.substr(F.lit(1), F.length(entity))
-        # Telephone: the country code stays, the subscriber's ten digits change.
-        country = F.regexp_replace(F.regexp_replace(entity, "[^0-9]", ""), "[0-9]{10}$", "")
-        phone = let(F.concat(country, _decimal(s, 10)), lambda digits: _fill(entity, digits))
+        # Telephone: the country code stays, the subscriber's ten digits change (fewer abroad, if fewer follow the code).
+        digits_of = F.regexp_replace(entity, "[^0-9]", "")
+        code = F.regexp_extract(entity, r"^\+([0-9]{1,3})", 1)
+        rest = F.least(F.length(digits_of) - F.length(code), F.lit(10))
+        country = F.when(F.length(digits_of) > 10, digits_of.substr(F.lit(1), F.length(digits_of) - rest)).otherwise(
+            F.when(F.length(code) > 0, code).otherwise(F.lit("")))
+        phone = let(F.concat(country, F.right(_decimal(s, 10), F.when(F.length(code) > 0, rest).otherwise(F.lit(10)))), lambda digits: _fill(entity, digits))
         return (
             F.when(kind == "email", email)
             .when(kind == "card", _card(entity, value, s))
             .when(kind == "ip", ip)
             .when(kind == "phone", phone)
             .when(kind == "secret", F.when(entity == value, token).otherwise(F.upper(token)))
-            .otherwise(_name(entity, value, s))
+            .when(kind == "surname", _surname(value, attempt, key))
+            .otherwise(_name(entity, value, s, attempt, gender, surname_attempt, key))
         )
 
     return let(normal(kind, entity), lambda value: let(_stream(key, kind, value, attempt, 2), lambda s: from_stream(value, s)))
@@ -211,38 +260,65 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return each.withColumn("value", normal(F.col("kind"), F.col("entity")))
 
 
-def attempts(found: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (kind, value, attempt) of the entities whose first surrogate was taken; all others use attempt 0.
+def _settled(every: DataFrame, real: DataFrame, key: str, rounds: int, name: str) -> DataFrame:
+    """Rows (kind, value, attempt) of the entities whose first surrogate was taken.
 
-    An entity keeps a surrogate unless a smaller entity of its type has the same one in this round, or one
-    that an earlier round settled has it, or it occurs as an entity itself.
+    ``every``: (kind, value, entity, gender, surname_attempt).  An entity keeps a surrogate unless a smaller entity of its type
+    has the same one in this round, or one that an earlier round settled has it, or it occurs as an entity itself (``real``).
     """
-    # Title and separators belong to a mention, not to the entity: the smallest mention shows the form.
-    every = stage(found.groupBy("kind", "value").agg(F.min("entity").alias("entity")), "pii-entities")
-    real = every.select("kind", F.col("value").alias("made"))
     open_ = every.withColumn("attempt", F.lit(0))
     settled = None
     moved = None
+    columns = ["kind", "value", "entity", "gender", "surname_attempt"]
     for turn in range(rounds):
         made = open_.withColumn(
             "made",
-            let(surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key), lambda m: normal(F.col("kind"), m)),
+            let(surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key, F.col("gender"), F.col("surname_attempt")),
+                lambda m: normal(F.col("kind"), m)),
         )
-        made = stage(made, f"pii-round{turn}")
+        made = stage(made, f"{name}-round{turn}")
         first = made.groupBy("kind", "made").agg(F.min("value").alias("first"))
         taken = real if settled is None else real.unionByName(settled)
         first = first.join(taken.distinct(), ["kind", "made"], "left_anti")
         won = made.join(first, ["kind", "made"]).where(F.col("value") == F.col("first")).drop("first")
         lost = made.join(first.select("kind", F.col("first").alias("value"), "made"), ["kind", "value", "made"], "left_anti")
-        lost = stage(lost.select("kind", "value", "entity", (F.col("attempt") + 1).alias("attempt")), f"pii-lost{turn}")
+        lost = stage(lost.select(*columns, (F.col("attempt") + 1).alias("attempt")), f"{name}-lost{turn}")
         now = won.select("kind", "made")
-        settled = now if settled is None else stage(settled.unionByName(now), f"pii-settled{turn}")
+        settled = now if settled is None else stage(settled.unionByName(now), f"{name}-settled{turn}")
         again = won.where(F.col("attempt") > 0).select("kind", "value", "attempt")
         moved = again if moved is None else moved.unionByName(again)
         if lost.isEmpty():
             return moved
         open_ = lost
-    raise RuntimeError("surrogates collide; raise the number of rounds")
+    raise RuntimeError(f"surrogates of {name} still collide after {rounds} attempts")
+
+
+def attempts(found: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+    """Rows (kind, value, attempt) of what differs from the default: entities whose first surrogate was taken (all others
+    use attempt 0), last names under the kind ``surname``, and persons whose titles differ in gender under the kind
+    ``gender``, with the gender as the attempt.
+
+    Last names are settled first; whole names then differ by their first names.
+    """
+    # Title and separators belong to a mention, not to the entity: the smallest mention shows the form.
+    own = gender_of(F.col("entity"))
+    every = found.groupBy("kind", "value").agg(
+        F.min("entity").alias("entity"), F.bool_or(own == FEMALE).alias("f"), F.bool_or(own == MALE).alias("m"), F.bool_or(own == NEUTRAL).alias("x"))
+    person = F.when(F.col("f") & ~F.col("m"), FEMALE).when(F.col("m") & ~F.col("f"), MALE).otherwise(NEUTRAL)
+    every = stage(every.withColumn("gender", person), "pii-entities")
+    mixed = (F.col("f").cast("int") + F.col("m").cast("int") + F.col("x").cast("int")) > 1
+    genders = every.where((F.col("kind") == "name") & F.col("value").contains(" ") & mixed).select(
+        F.lit("gender").alias("kind"), "value", F.col("gender").alias("attempt"))
+    names = every.where("kind = 'name'").withColumn("last", last_name(F.col("value")))
+    last = names.groupBy("last").agg(F.lit("surname").alias("kind")).select("kind", F.col("last").alias("value"), F.col("last").alias("entity"))
+    plain = every.where("kind <> 'name'").select("kind", "value", "entity").unionByName(last)
+    plain = stage(plain.withColumns({"gender": F.lit(NEUTRAL), "surname_attempt": F.lit(0)}), "pii-plain")
+    moved = stage(_settled(plain, plain.select("kind", F.col("value").alias("made")), key, rounds, "pii-plain"), "pii-moved")
+    turned = moved.where("kind = 'surname'").select(F.col("value").alias("last"), F.col("attempt").alias("surname_attempt"))
+    whole = names.where(F.col("value").contains(" ")).join(turned, "last", "left").select(
+        "kind", "value", "entity", "gender", F.coalesce("surname_attempt", F.lit(0)).alias("surname_attempt"))
+    whole = stage(whole, "pii-names")
+    return moved.unionByName(_settled(whole, whole.select("kind", F.col("value").alias("made")), key, rounds, "pii-names")).unionByName(genders)
 
 
 def pseudonymise(
@@ -251,9 +327,12 @@ def pseudonymise(
     """Every row as (id, text, n_entities, kinds) and the columns ``keep``; entities are replaced in the text."""
     keep = keep or []
     found = stage(entities(docs, id_col, text_col), "pii-found")
-    moved = attempts(found, key)
+    moved = stage(attempts(found, key), "pii-attempts")
+    named = found.where("kind = 'name'")
+    parts = named.select("mark", F.lit("surname").alias("kind"), last_name(F.col("value")).alias("value"))
+    parts = parts.unionByName(named.select("mark", F.lit("gender").alias("kind"), "value"))
     again = (
-        found.join(moved, ["kind", "value"])
+        found.select("mark", "kind", "value").unionByName(parts).join(moved, ["kind", "value"])
         .groupBy("mark")
         .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "value").alias("k"), F.col("attempt").alias("v")))).alias("again"))
     )
@@ -261,9 +340,13 @@ def pseudonymise(
     rows = rows.withColumn("_mark", F.xxhash64("_text")).join(again, F.col("_mark") == F.col("mark"), "left")
 
     def replaced(entity: Column) -> Column:
+        def looked_up(kind: Column, value: Column) -> Column:
+            return F.coalesce(F.try_element_at(F.col("again"), F.concat_ws("\x1f", kind, value)), F.lit(0))
+
         def typed(kind: Column) -> Column:
-            mention = F.concat_ws("\x1f", kind, normal(kind, entity))
-            return let(F.coalesce(F.try_element_at(F.col("again"), mention), F.lit(0)), lambda n: surrogate(kind, entity, n, key))
+            value = normal(kind, entity)
+            gender, last = looked_up(F.lit("gender"), value), looked_up(F.lit("surname"), last_name(value))
+            return let(looked_up(kind, value), lambda n: surrogate(kind, entity, n, key, gender, last))
 
         return let(kind_of(entity), typed)
 
