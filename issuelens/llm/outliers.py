@@ -2,9 +2,11 @@
 
 Statistics of every whole text are computed in the JVM.  Texts that pass the base rules are described by a
 transformed vector (mean word length; square roots of symbols per word, of the share of repeated lines and of the
-share of words in repeated windows).  Per language and source, the minimum covariance determinant is found
-by concentration steps from median and median deviation: the ``SHARE`` of the group nearest to the centre
-gives the next centre and scatter, until the steps end; consistency factor and a floor on the variances make the
+share of words in repeated windows).  Per language and source, the minimum covariance determinant is sought
+by concentration steps from three starts (medians and median deviations; mean and scatter of all; mean and scatter of the half
+nearest to the medians): the ``SHARE`` of the group nearest to the centre gives the next centre and scatter, until no
+group's choice changes any more; of the three ends, the one with the smallest determinant is the group's estimate.  It is
+reweighted once (texts within the 0.975 quantile); consistency factors and a floor on the variances make the
 final squared Mahalanobis distances comparable with a chi-square law, and documents beyond its
 ``QUANTILE`` are rejected.
 
@@ -31,7 +33,9 @@ SPAN = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SHARE = 0.75
-STEPS = 4
+#: Concentration steps settle by themselves, as no step raises a determinant; this only ends a cycle between cells of the grid.
+MOST_STEPS = 60
+WEIGHTED = 0.975
 QUANTILE = 0.999
 MIN_GROUP = 20
 #: Standard deviations that are added (squared) to the scatter: differences below them never make an outlier.  Where a
@@ -151,10 +155,10 @@ def _factored(groups: DataFrame) -> DataFrame:
     return groups
 
 
-def _distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance to the own group's centre (null without an estimate)."""
+def _distance(rows: DataFrame, groups: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance to the own group's centre (null without an estimate), and columns of the groups."""
     g = groups.select(
-        F.col("lang").alias("gl"), F.col("source").alias("gs"),
+        F.col("lang").alias("gl"), F.col("source").alias("gs"), *extra,
         *[f"m{i}" for i in range(DIM)], *[f"l{i}{j}" for i in range(DIM) for j in range(i + 1)],
     )
     out = rows.join(g, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left")
@@ -164,15 +168,15 @@ def _distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
     total = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, DIM)), F.col("y0") * F.col("y0"))
-    return out.withColumn("d2", total).select(*rows.columns, "d2")
+    return out.withColumn("d2", total).select(*rows.columns, *extra, "d2")
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _moments(rows: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Count, centre and scatter of each group's rows."""
     sums = [F.count(F.lit(1)).alias("n")]
     sums += [F.avg(f"x{i}").alias(f"m{i}") for i in range(DIM)]
     sums += [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(DIM) for j in range(i + 1)]
-    got = rows.groupBy("lang", "source").agg(*sums)
+    got = rows.groupBy(*by).agg(*sums)
     return got.withColumns(
         {f"s{i}{j}": F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i in range(DIM) for j in range(i + 1)}
     )
@@ -206,22 +210,49 @@ def _start(rows: DataFrame) -> DataFrame:
     )
 
 
+def _nearest(rows: DataFrame, groups: DataFrame, share: float, name: str) -> DataFrame:
+    """Per start and group: moments of the ``share`` of the rows nearest to the group's centre, and the edge cell."""
+    by = ["start", "lang", "source"]
+    placed = _distance(rows, groups, ("start",)).withColumn("cell", F.floor(F.log(F.col("d2") + 1e-6) * GRID))
+    cells = placed.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"))
+    edge = stage(_grid_quantile(cells, by, share).select(*[F.col(c).alias(f"e_{c}") for c in by], F.col("cell").alias("edge")), f"{name}-edge")
+    same = (F.col("start") == F.col("e_start")) & F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source"))
+    chosen = placed.join(edge, same).where("cell <= edge")
+    return _moments(chosen, ("start", "lang", "source", "edge"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three starts per group."""
+    columns = ["start", "lang", "source", *[f"m{i}" for i in range(DIM)], *[f"l{i}{j}" for i in range(DIM) for j in range(i + 1)]]
+    middle = stage(_factored(_floored(_start(rows), 1.0)).withColumn("start", F.lit(0)).select(*columns), "mcd-middle")
+    whole = _factored(_floored(_moments(rows), 1.0)).withColumn("start", F.lit(1)).select(*columns)
+    half = _factored(_floored(_nearest(rows, middle, 0.5, "mcd-half"), consistency(0.5))).withColumn("start", F.lit(2)).select(*columns)
+    return stage(middle.unionByName(whole).unionByName(half), "mcd-starts")
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """Where the concentration steps of each start end: (start, lang, source, edge, n, m.., s.., l.., log_det)."""
+    groups, seen = _starts(rows), None
+    for step in range(MOST_STEPS):
+        found = _factored(_floored(_nearest(rows, groups, SHARE, f"mcd-{step}"), consistency()))
+        log_det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, DIM)), 2 * F.log(F.col("l00")))
+        groups = stage(found.withColumn("log_det", log_det), f"mcd-step{step}")
+        mark = groups.agg(F.count(F.lit(1)), F.sum(F.xxhash64("start", "lang", "source", "edge", "n").cast("decimal(20,0)"))).first()
+        if mark == seen:
+            break
+        seen = mark
+    return groups
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """Reweighted minimum-covariance-determinant centre and scatter of x0.. per (lang, source)."""
-    groups = stage(_factored(_floored(_start(rows), 1.0)), "mcd-start")
-    for step in range(STEPS):
-        placed = _distance(rows, groups).withColumn("cell", F.floor(F.log(F.col("d2") + 1e-6) * GRID))
-        cells = placed.groupBy("lang", "source", "cell").agg(F.count(F.lit(1)).alias("n"))
-        edge = _grid_quantile(cells, ["lang", "source"], SHARE).select(
-            F.col("lang").alias("el"), F.col("source").alias("es"), F.col("cell").alias("edge")
-        )
-        edge = stage(edge, f"mcd-edge{step}")
-        nearest = placed.join(
-            edge, F.col("lang").eqNullSafe(F.col("el")) & F.col("source").eqNullSafe(F.col("es"))
-        ).where("cell <= edge")
-        groups = stage(_factored(_floored(_moments(nearest), consistency())), f"mcd-step{step}")
-    inside = _distance(rows, groups).where(F.col("d2") <= chi_square_quantile(0.975))
-    return stage(_factored(_floored(_moments(inside), 1.0)), "mcd")
+    ends = concentrated(rows)
+    rest = [c for c in ends.columns if c not in ("lang", "source")]
+    # Equal determinants (to nine digits): the first start.
+    best = ends.groupBy("lang", "source").agg(F.min_by(F.struct(*rest), F.struct(F.round("log_det", 9), F.col("start"))).alias("g"))
+    groups = stage(best.select("lang", "source", "g.*"), "mcd-best")
+    inside = _distance(rows, groups).where(F.col("d2") <= chi_square_quantile(WEIGHTED))
+    return stage(_factored(_floored(_moments(inside), consistency(WEIGHTED))), "mcd")
 
 
 def _levels(fit: DataFrame) -> DataFrame:
