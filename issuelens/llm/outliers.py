@@ -4,9 +4,9 @@ Statistics of every whole text are computed in the JVM.  Texts that pass the bas
 transformed vector (mean word length; square roots of symbols per word, of the share of repeated lines and of the
 share of words in repeated windows).  Per language and source, the minimum covariance determinant is sought
 by concentration steps from three starts (medians and median deviations; mean and scatter of all; mean and scatter of the half
-nearest to the medians): the ``SHARE`` of the group nearest to the centre gives the next centre and scatter, until no
-group's choice changes any more; of the three ends, the one with the smallest determinant is the group's estimate.  It is
-reweighted once (texts within the 0.975 quantile); consistency factors and a floor on the variances make the
+nearest to the medians): the ``SHARE`` of the group nearest to the centre gives the next centre and scatter, as long as that lowers
+the determinant; of the three ends, the one with the smallest determinant is the group's estimate.  Groups that have ended take no
+part in further steps.  The estimate is reweighted once (texts within the 0.975 quantile); consistency factors and a floor on the variances make the
 final squared Mahalanobis distances comparable with a chi-square law, and documents beyond its
 ``QUANTILE`` are rejected.
 
@@ -33,8 +33,9 @@ SPAN = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SHARE = 0.75
-#: Concentration steps settle by themselves, as no step raises a determinant; this only ends a cycle between cells of the grid.
+#: A start goes on while a step lowers its determinant (of the logarithm, by at least GAIN); this bound is never met in practice.
 MOST_STEPS = 60
+GAIN = 1e-3
 WEIGHTED = 0.975
 QUANTILE = 0.999
 MIN_GROUP = 20
@@ -210,12 +211,13 @@ def _start(rows: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(rows: DataFrame, groups: DataFrame, share: float, name: str) -> DataFrame:
+def _nearest(rows: DataFrame, groups: DataFrame, share: float) -> DataFrame:
     """Per start and group: moments of the ``share`` of the rows nearest to the group's centre, and the edge cell."""
     by = ["start", "lang", "source"]
-    placed = _distance(rows, groups, ("start",)).withColumn("cell", F.floor(F.log(F.col("d2") + 1e-6) * GRID))
+    placed = _distance(rows, groups, ("start",)).where(F.col("start").isNotNull())
+    placed = placed.withColumn("cell", F.floor(F.log(F.col("d2") + 1e-6) * GRID))
     cells = placed.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"))
-    edge = stage(_grid_quantile(cells, by, share).select(*[F.col(c).alias(f"e_{c}") for c in by], F.col("cell").alias("edge")), f"{name}-edge")
+    edge = _grid_quantile(cells, by, share).select(*[F.col(c).alias(f"e_{c}") for c in by], F.col("cell").alias("edge"))
     same = (F.col("start") == F.col("e_start")) & F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source"))
     chosen = placed.join(edge, same).where("cell <= edge")
     return _moments(chosen, ("start", "lang", "source", "edge"))
@@ -226,22 +228,33 @@ def _starts(rows: DataFrame) -> DataFrame:
     columns = ["start", "lang", "source", *[f"m{i}" for i in range(DIM)], *[f"l{i}{j}" for i in range(DIM) for j in range(i + 1)]]
     middle = stage(_factored(_floored(_start(rows), 1.0)).withColumn("start", F.lit(0)).select(*columns), "mcd-middle")
     whole = _factored(_floored(_moments(rows), 1.0)).withColumn("start", F.lit(1)).select(*columns)
-    half = _factored(_floored(_nearest(rows, middle, 0.5, "mcd-half"), consistency(0.5))).withColumn("start", F.lit(2)).select(*columns)
+    half = _factored(_floored(_nearest(rows, middle, 0.5), consistency(0.5))).withColumn("start", F.lit(2)).select(*columns)
     return stage(middle.unionByName(whole).unionByName(half), "mcd-starts")
 
 
 def concentrated(rows: DataFrame) -> DataFrame:
     """Where the concentration steps of each start end: (start, lang, source, edge, n, m.., s.., l.., log_det)."""
-    groups, seen = _starts(rows), None
+    open_, done = _starts(rows), None
     for step in range(MOST_STEPS):
-        found = _factored(_floored(_nearest(rows, groups, SHARE, f"mcd-{step}"), consistency()))
+        found = _factored(_floored(_nearest(rows, open_, SHARE), consistency()))
         log_det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, DIM)), 2 * F.log(F.col("l00")))
-        groups = stage(found.withColumn("log_det", log_det), f"mcd-step{step}")
-        mark = groups.agg(F.count(F.lit(1)), F.sum(F.xxhash64("start", "lang", "source", "edge", "n").cast("decimal(20,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
-    return groups
+        found = found.withColumn("log_det", log_det)
+        if step:
+            # A step that does not lower the determinant is not taken: the start has ended where it stood.
+            before = open_.select(*[F.col(c).alias(f"b_{c}") for c in ("start", "lang", "source", "log_det")])
+            same = (F.col("start") == F.col("b_start")) & F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("source").eqNullSafe(F.col("b_source"))
+            better = F.col("log_det") < F.col("b_log_det") - GAIN
+            found = found.join(before, same).where(better).drop(*before.columns)
+        found = stage(found, f"mcd-step{step}")
+        if step:
+            went = found.select(F.col("start").alias("b_start"), F.col("lang").alias("b_lang"), F.col("source").alias("b_source"))
+            same = (F.col("start") == F.col("b_start")) & F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("source").eqNullSafe(F.col("b_source"))
+            ended = open_.join(went, same, "left_anti")
+            done = ended if done is None else done.unionByName(ended)
+            if found.isEmpty():
+                return done
+        open_ = found
+    return open_ if done is None else done.unionByName(open_)
 
 
 def estimates(rows: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def test_steps_stop_by_themselves(spark, groups, monkeypatch):
     real = outliers._nearest
     monkeypatch.setattr(outliers, "_nearest", lambda *a: seen.append(1) or real(*a))
     outliers.concentrated(frame(spark, groups))
-    assert len(seen) < outliers.MOST_STEPS // 2
+    assert len(seen) < outliers.MOST_STEPS // 3
     constant = {"c": np.tile([5.0, 0.0, 0.0, 0.0], (40, 1))}
     assert len(outliers.estimates(frame(spark, constant)).collect()) == 1
     assert outliers.estimates(frame(spark, {})).count() == 0
