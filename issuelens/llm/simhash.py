@@ -5,7 +5,7 @@
 
 Distinct fingerprints are routed to buckets by the pigeonhole rule (``radius`` + 1 blocks of bits: two
 fingerprints within the radius agree on one block at least), so no task ever sees all of them.  A bucket
-with more than ``split_above`` fingerprints is routed again by blocks of its remaining bits, without
+with more than ``split_above`` fingerprints is routed again by blocks of its remaining bits, level by level, without
 losing a pair.  Inside a task each bucket is sorted by Gray rank and indexed bottom-up: a node keeps the
 bits that all its children share (their masked pattern), children keep the rest.  A search adds up the
 differences on its way down and drops a whole group when the sum exceeds the radius.  Pairs never leave
@@ -13,8 +13,9 @@ the task: each bucket emits a spanning forest (at most one edge per fingerprint)
 connected components of all forests.
 
 Edge cases: null or wordless texts have fingerprint 0 and link like any other; rows with equal ids are
-kept as they are; a row with a null id gets a fingerprint, and the class of the documents with an id that
-it links to directly by an equal fingerprint (null if there is none); an empty table gives no rows; columns other than id and text are ignored.
+kept as they are; a row with a null id is a document like any other, which links and is linked through; its
+component is the smallest id of its class (null if the class has none); an empty table gives no rows; columns other than
+id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,50 +146,60 @@ def forest(key: np.ndarray, codes: np.ndarray, reps: np.ndarray, radius: int) ->
     return reps[moved], reps[labels[moved]]
 
 
-def _routes(blocks: int):
-    """One row per block of bits: (block number, its value), and the bits left over."""
-    width = BITS // blocks
-    rows = []
+def _cut(rest: Column, left: int, step: int, i: int) -> tuple[Column, Column]:
+    """Block ``i`` of ``step`` bits of the ``left`` low bits of ``rest``, and the other bits closed up."""
+    at = step * i
+    if step == BITS:
+        return rest, F.lit(0).cast("long")
+    block = F.shiftrightunsigned(rest, at).bitwiseAND(F.lit((1 << step) - 1))
+    low = rest.bitwiseAND(F.lit((1 << at) - 1))
+    if at + step >= left:
+        return block, low
+    return block, F.shiftleft(F.shiftrightunsigned(rest, at + step), at).bitwiseOR(low)
+
+
+def _routed(rows: DataFrame, left: int, blocks: int) -> DataFrame:
+    """Every row once per block of its bits left: rows (fp, rep, bucket, rest)."""
+    step = left // blocks
+    ways = []
     for i in range(blocks):
-        turned = F.col("fp").bitwiseOR(F.lit(0))
-        if i:
-            turned = F.shiftrightunsigned("fp", width * i).bitwiseOR(F.shiftleft("fp", BITS - width * i))
-        rows.append(
-            F.struct(
-                F.lit(i).cast("long").bitwiseOR(F.shiftleft(turned.bitwiseAND(F.lit((1 << width) - 1)), 2)).alias("key"),
-                F.shiftrightunsigned(turned, width).alias("rest"),
-            )
-        )
-    return F.explode(F.array(*rows))
+        block, rest = _cut(F.col("rest"), left, step, i)
+        ways.append(F.struct(F.xxhash64("bucket", F.lit(left), F.lit(i), block).alias("bucket"), rest.alias("rest")))
+    return rows.select("fp", "rep", F.explode(F.array(*ways)).alias("way")).select("fp", "rep", "way.bucket", "way.rest")
 
 
-def links(fps: DataFrame, radius: int = 3, split_above: int = 20_000, cut: int = 200_000) -> DataFrame:
-    """Forest edges (a, b) between the smallest ids of distinct fingerprints; input rows (fp, rep)."""
+def buckets(fps: DataFrame, radius: int = 3, split_above: int = 20_000) -> DataFrame:
+    """Rows (bucket, fp, rep): two fingerprints within the radius share a bucket, and no bucket outgrows ``split_above`` for long.
+
+    Members of a bucket agree on the bits that brought them there, so they differ in the bits left only and the
+    pigeonhole rule holds for these again.  A bucket above ``split_above`` is cut by it until it is small or the bits left
+    cannot tell more than ``split_above`` fingerprints apart, so every bucket is bounded without comparing blocks in pairs.
+    """
     blocks = radius + 1
-    if BITS % blocks or blocks > 4:
-        raise ValueError("radius 0, 1 or 3")
-    width = BITS // blocks
-    routed = fps.select("fp", "rep", _routes(blocks).alias("r")).select("fp", "rep", "r.key", "r.rest")
-    hot = routed.groupBy("key").count().where(F.col("count") > split_above).select("key", F.lit(True).alias("hot"))
-    marked = routed.join(hot, "key", "left")
-    # A hot bucket is cut once more: its members differ only in the bits left over, so the rule holds again.
-    left = BITS - width
-    step = left // blocks
-    subs = F.array(
-        *[
-            F.struct(
-                F.lit(i + 1).alias("sub"),
-                F.shiftrightunsigned("rest", step * i)
-                .bitwiseAND(F.lit((1 << (step if i < blocks - 1 else left - step * i)) - 1))
-                .alias("part"),
-            )
-            for i in range(blocks)
-        ]
-    )
-    whole = F.array(F.struct(F.lit(0).alias("sub"), F.lit(0).cast("long").alias("part")))
-    keyed = marked.select("fp", "rep", "key", F.explode(F.when(F.col("hot"), subs).otherwise(whole)).alias("s")).select(
-        F.xxhash64("key", "s.sub", "s.part").alias("bucket"), "fp", "rep"
-    )
+    left = BITS
+    level = _routed(fps.select("fp", "rep", F.col("fp").alias("rest"), F.lit(0).cast("long").alias("bucket")), left, blocks)
+    done = []
+    while True:
+        left -= left // blocks
+        if left < blocks or 1 << left <= split_above:
+            done.append(level)
+            break
+        crowded = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_above)
+        hot = stage(crowded.select("bucket"), "simhash-hot")
+        if hot.isEmpty():
+            done.append(level)
+            break
+        done.append(level.join(hot, "bucket", "left_anti").select("fp", "rep", "bucket", "rest"))
+        level = stage(_routed(level.join(hot, "bucket", "left_semi"), left, blocks), "simhash-level")
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    return found.select("bucket", "fp", "rep")
+
+
+def links(fps: DataFrame, radius: int = 3, split_above: int = 20_000, cut: int = 200_000) -> DataFrame:
+    """Forest edges (a, b) between the ``rep`` of distinct fingerprints; input rows (fp, rep)."""
+    keyed = buckets(fps, radius, split_above)
 
     def run(batches):
         kept = []
@@ -220,15 +231,14 @@ def near_duplicates(
 ) -> DataFrame:
     """Rows (id, fp, component): every row of ``docs`` with the smallest id it is linked to, itself included."""
     fps = stage(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    distinct = fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    distinct = stage(distinct, "simhash-distinct")
+    distinct = stage(fps.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
     # An id that occurs twice with different texts joins their classes, as one document would.
     twice = fps.where("id is not null").groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
-    same = (
-        fps.join(twice.select("id"), "id", "left_semi").join(distinct, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    )
-    classes = components(links(distinct, radius).unionByName(same), "simhash")
-    owner = distinct.join(classes, distinct.rep == classes.node, "left").select(
-        "fp", F.coalesce("component", "rep").alias("component")
-    )
-    return fps.join(owner, "fp", "left").select("id", "fp", "component")
+    same = fps.join(twice.select("id", "x"), "id").select(F.col("fp").alias("a"), F.col("x").alias("b"))
+    # Fingerprints are the nodes, so rows without an id link, and are linked through, like any other.
+    classes = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius).unionByName(same), "simhash")
+    linked = distinct.join(classes, distinct.fp == classes.node).select("fp", "id", F.col("component").alias("class"))
+    smallest = linked.groupBy("class").agg(F.min("id").alias("component"))
+    linked = linked.join(smallest, "class").select("fp", F.col("component").alias("id"))
+    owner = distinct.join(classes, distinct.fp == classes.node, "left_anti").select("fp", "id").unionByName(linked)
+    return fps.join(owner.withColumnRenamed("id", "component"), "fp", "left").select("id", "fp", "component")

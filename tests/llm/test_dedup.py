@@ -86,6 +86,55 @@ def test_gray_index_finds_all_pairs_and_hot_buckets_lose_none(spark):
         assert [label.get(i, i) for i in range(len(codes))] == parent.tolist()
 
 
+@pytest.mark.parametrize("radius", [0, 2, 3])
+def test_crowded_buckets_are_cut_until_small_and_lose_no_pair(spark, radius):
+    rng = np.random.default_rng(5)
+    crowd = (np.uint64(0x9E3779B97F) << np.uint64(24)) ^ rng.integers(0, 1 << 11, 500, dtype=np.uint64)  # 53 equal bits
+    codes = np.unique(np.concatenate([crowd, rng.integers(0, 2**64, 40, dtype=np.uint64, endpoint=False)]))
+    rows = spark.createDataFrame([(int(c.view(np.int64)), i) for i, c in enumerate(codes)], "fp long, rep long")
+    limit = 40
+    placed = simhash.buckets(rows, radius, split_above=limit).collect()
+    members = {}
+    for r in placed:
+        members.setdefault(r.bucket, []).append(r.rep)
+    if radius:
+        assert max(map(len, members.values())) <= limit
+    together = {(min(a, b), max(a, b)) for m in members.values() for a in m for b in m if a != b}
+    want = {(i, j) for j in range(len(codes)) for i in range(j) if int(codes[i] ^ codes[j]).bit_count() <= radius}
+    assert want <= together
+    found = {r.node: r.component for r in components(simhash.links(rows, radius, split_above=limit, cut=50), "t").collect()}
+    label = np.arange(len(codes))
+    if want:
+        label = simhash.hook(label, *np.array(sorted(want)).T)
+    assert [found.get(i, i) for i in range(len(codes))] == label.tolist()
+
+
+def test_rows_without_an_id_link_like_any_other(spark):
+    rng = random.Random(21)
+    base = words(rng, 900).split()
+
+    def edited(text):
+        at = rng.randrange(len(text))
+        return text[:at] + ["edited%d" % rng.randrange(99)] + text[at + 1 :]
+
+    for _ in range(2000):  # a chain: the ends are too far apart, and only the row without an id joins them
+        near = edited(base)
+        far = edited(near)
+        a, b, c = (simhash.simhash(" ".join(t).encode()) for t in (base, near, far))
+        if 0 < (a ^ b).bit_count() <= 3 and 0 < (b ^ c).bit_count() <= 3 < (a ^ c).bit_count():
+            break
+    else:
+        pytest.fail("no chain found")
+    base, near, far = (" ".join(t) for t in (base, near, far))
+    alone = words(rng, 50)
+    got = simhash.near_duplicates(frame(spark, [(7, base), (None, near), (4, far), (None, alone), (9, None)])).collect()
+    by_print = {r.fp & (2**64 - 1): (r.id, r.component) for r in got}
+    assert by_print == {
+        plain_fingerprint(base): (7, 4), plain_fingerprint(near): (None, 4), plain_fingerprint(far): (4, 4),
+        plain_fingerprint(alone): (None, None), 0: (9, 9),
+    }
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(200, 260)] + [(5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
