@@ -2,9 +2,9 @@
 
 For every benchmark item, each window of a document with as many words as the item is compared with it:
 both get a weighted SimHash over five-word shingles (rare shingles of the benchmark weigh more); windows
-within ``radius`` bits are found by a multi-index over ``BLOCKS`` blocks of the items' fingerprints (two
-fingerprints within the radius differ in at most radius // BLOCKS bits in one block at least, so none is
-lost); candidates are then checked by the exact weighted Jaccard similarity of their shingles.
+within ``radius`` bits are found by a multi-index over ``BLOCKS`` wide blocks of the items' fingerprints (two
+fingerprints within the radius differ in few bits of one block at least, so none is lost, while one item in seven is a
+candidate for a random window); candidates are then checked by the exact weighted Jaccard similarity of their shingles.
 
 Windows that share no shingle with any item of their size have similarity 0 and are skipped; that test is one
 pass over the words of all texts against the set of item shingles.  Words are lower-cased, and ASCII
@@ -33,7 +33,7 @@ from issuelens.llm.common import PRIME, row_blocks, shingle_codes, text_bytes, w
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 19
-BLOCKS = 8
+BLOCKS = 4
 BLOCK_BYTES = 32 << 20
 BUCKETS = 1 << 20
 
@@ -57,29 +57,59 @@ def pack(votes: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """Fingerprints by the value of each block of bits; a query looks up all values near its own."""
+    """Fingerprints by the value of each block of bits; a query meets the values within a block's reach of its own.
+
+    The reaches of the ``BLOCKS`` blocks add up to radius - BLOCKS + 1: a pair beyond the reach of every block differs
+    in more than ``radius`` bits, so none is lost.  ``met`` counts the candidates, block by block.
+    """
 
     def __init__(self, codes: np.ndarray, radius: int):
-        self.codes, self.radius = codes, radius
-        width = 64 // BLOCKS
-        values = np.arange(1 << width)
-        close = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius // BLOCKS
-        self.tables = []
+        self.codes, self.radius, self.met = codes, radius, 0
+        self.width = 64 // BLOCKS
+        reach, more = divmod(radius - BLOCKS + 1, BLOCKS)
+        spread = np.bitwise_count(np.arange(1 << self.width))
+        self.tables = []  # shift, reach, distinct values, place of each value, first item of each, items in order, turns
         for i in range(BLOCKS):
-            own = (codes >> np.uint64(width * i)).astype(np.int64) & ((1 << width) - 1)
-            self.tables.append([np.flatnonzero(close[v][own]) for v in values])
-        self.width = width
-
-    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            near = reach + (i < more)
+            if near < 0:
+                continue
+            own = self._block(codes, self.width * i)
+            order = np.argsort(own, kind="stable")
+            values, first = np.unique(own[order], return_index=True)
+            turns = np.flatnonzero(spread <= near)
+            place = None
+            if len(values) > len(turns):
+                place = np.full(1 << self.width, -1)
+                place[values] = np.arange(len(values))
+            self.tables.append((self.width * i, near, values, place, np.append(first, len(own)), order, turns))
+
+    def _block(self, codes: np.ndarray, shift: int) -> np.ndarray:
+        return (codes >> np.uint64(shift)).astype(np.int64) & ((1 << self.width) - 1)
+
+    def search(self, queries: np.ndarray, budget: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) numbers within the radius."""
-        found_q, found_i = [], []
-        for q, code in enumerate(queries.tolist()):
-            hits = [t[(code >> (self.width * i)) & ((1 << self.width) - 1)] for i, t in enumerate(self.tables)]
-            near = np.unique(np.concatenate(hits))
-            near = near[np.bitwise_count(self.codes[near] ^ np.uint64(code)) <= self.radius]
-            found_q.append(np.full(len(near), q))
-            found_i.append(near)
-        return np.concatenate(found_q or [np.zeros(0, int)]), np.concatenate(found_i or [np.zeros(0, int)])
+        n = len(self.codes)
+        found = [np.zeros(0, np.int64)]
+        step = max(1, budget // max(n, 1))
+        for start in range(0, len(queries) if n else 0, step):  # bounded tables of candidates
+            part = queries[start : start + step]
+            hits = []
+            for shift, near, values, place, first, order, turns in self.tables:
+                own = self._block(part, shift)
+                if place is None:  # few values: all are looked at
+                    q, v = np.nonzero(np.bitwise_count(own[:, None] ^ values[None, :]) <= near)
+                else:  # many: those that a turned value hits
+                    q, turn = np.nonzero(place[own[:, None] ^ turns[None, :]] >= 0)
+                    v = place[own[q] ^ turns[turn]]
+                count = first[v + 1] - first[v]
+                self.met += int(count.sum())
+                at = np.repeat(first[v] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                q, item = np.repeat(q, count), order[at]
+                close = np.bitwise_count(part[q] ^ self.codes[item]) <= self.radius
+                hits.append((q[close] + start) * n + item[close])
+            found.append(np.unique(np.concatenate(hits)))
+        pairs = np.concatenate(found)
+        return np.divmod(pairs, max(n, 1))
 
 
 def bucket(codes: np.ndarray) -> np.ndarray:
