@@ -8,9 +8,11 @@ occurrence with the smallest (id, position) stays and all others are removed.
 
 Bands are tuned (``tune``): the longest bands for which at most ``MAX_BANDS`` of them catch a pair at the
 threshold with a chance of ``RECALL`` or more.  Buckets of one node are dropped before any text is read again.  A bucket
-of more than ``BLOCK`` nodes is cut into blocks, and each pair of blocks is checked in a task of its own, so no
-task holds a whole hot bucket and no link is lost; pairs never leave a task, which emits the edges of a
-spanning forest only.
+of more than ``BLOCK`` nodes is cut into blocks by hash.  First every block is checked by itself, with the bucket's
+``CENTRES`` best connected nodes among its members, so a family around one paragraph comes together at once.  Then the nodes outside
+the bucket's largest class, and only these, visit the other blocks: two nodes of different classes are never both in the
+largest one, so no pair of a bucket goes unseen, no task holds a whole hot bucket, and a bucket of one class is copied
+no further.  Pairs never leave a task, which emits the edges of a spanning forest only.
 
 Edge cases: null and wordless texts have no paragraphs; a null id stands for one document after all others; rows
 with equal ids are one document, whose occurrences are told apart by position and text; an empty table gives
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuelens.llm.common import PRIME, components, hook, row_blocks, shingle_codes, signed, stage, text_bytes, word_hashes
@@ -31,6 +33,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_BANDS = 12
 BLOCK = 1000
+CENTRES = 32
 NO_ID = (1 << 63) - 1
 BLOCK_BYTES = 4 << 20
 
@@ -216,6 +219,101 @@ def verified(members: DataFrame, threshold: float, cut: int = 4_000) -> DataFram
     return grouped.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(run, "a long, b long")
 
 
+def cross_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i of ``left``, j of ``right``) of sorted distinct arrays with Jaccard similarity of at least ``threshold``."""
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    common = np.intersect1d(*flat)
+    spots = []  # per side: owner and column of each common shingle, by column
+    for codes, size in zip(flat, sizes):
+        column = np.minimum(np.searchsorted(common, codes), max(len(common) - 1, 0))
+        use = np.flatnonzero(common[column] == codes) if len(common) else np.zeros(0, np.int64)
+        use = use[np.argsort(column[use], kind="stable")]
+        spots.append((np.repeat(np.arange(len(size)), size)[use], column[use]))
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = 4096
+    for c in range(0, len(common), width):
+        tables = []
+        for (owner, column), size in zip(spots, sizes):
+            a, z = np.searchsorted(column, (c, c + width))
+            table = np.zeros((len(size), width), np.float32)
+            table[owner[a:z], column[a:z] - c] = 1
+            tables.append(table)
+        both += tables[0] @ tables[1].T
+    return np.nonzero(both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-6)
+
+
+def visited(rows: DataFrame, threshold: float, chunk: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between the classes of guests and members of every group of rows (grp, guest, label, codes).
+
+    A group's members are held, its guests pass by in chunks.
+    """
+
+    def met(members, guests):
+        i, j = cross_pairs([c for _, c in members], [c for _, c in guests], threshold)
+        names, place = np.unique([n for n, _ in members + guests], return_inverse=True)
+        labels = hook(np.arange(len(names)), place[i], place[len(members) + j])
+        moved = np.flatnonzero(labels != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[moved], pa.int64()), pa.array(names[labels[moved]], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        group, members, guests = None, [], []
+        for batch in batches:  # sorted by group, members first
+            lists = batch.column(3)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for k, (grp, guest, label) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+                if grp != group:
+                    if members and guests:
+                        yield met(members, guests)
+                    group, members, guests = grp, [], []
+                (guests if guest else members).append((label, values[offsets[k] : offsets[k + 1]]))
+                if len(guests) >= chunk:
+                    if members:
+                        yield met(members, guests)
+                    guests = []
+        if members and guests:
+            yield met(members, guests)
+
+    named = rows.select("grp", "guest", "label", F.array_sort("codes").alias("codes"))
+    return named.repartition("grp").sortWithinPartitions("grp", "guest").mapInArrow(run, "a long, b long")
+
+
+def _elsewhere(rows: DataFrame) -> DataFrame:
+    """Rows of (bucket, blocks, own) once per other block of their bucket, as ``grp``."""
+    others = F.expr("filter(sequence(0L, blocks - 1), b -> b <> own)")
+    return rows.select("*", F.explode(others).alias("at")).withColumn("grp", F.xxhash64("bucket", "at")).drop("at")
+
+
+def linked(met: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
+    """Edges (a, b) whose components are the classes: rows ``met`` (node, bucket, n: nodes of the bucket) and ``sets`` (node, codes), both staged."""
+    single = met.where(F.col("n") <= block).select("node", F.col("bucket").alias("grp"))
+    hot = met.where(F.col("n") > block)
+    if hot.isEmpty():
+        return verified(single.join(sets, "node"), threshold)
+    weight = hot.groupBy("node").agg(F.sum("n").alias("weight"))
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    hot = hot.join(weight, "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    hot = stage(hot.select("node", "bucket", "blocks", "own", "weight"), "paragraph-hot")
+    home = F.xxhash64("bucket", "own").alias("grp")
+
+    # First round: every block by itself, the centres in each block of their bucket.
+    order = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "node")
+    best = hot.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres).drop("rank")
+    groups = single.unionByName(hot.select("node", home)).unionByName(_elsewhere(best).select("node", "grp"))
+    first = stage(verified(groups.join(sets, "node"), threshold), "paragraph-first")
+
+    # Second round: who is outside its bucket's largest class visits the bucket's other blocks.
+    labels = components(first, "paragraph-labels").withColumnRenamed("component", "label")
+    labelled = hot.drop("weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = stage(labelled, "paragraph-labelled")
+    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    several = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.count(F.lit(1)).alias("kinds"))
+    open_ = labelled.join(several.where("kinds > 1"), "bucket")  # a bucket of one class is done
+    guests = _elsewhere(open_.where("label <> largest")).select("node", "label", "grp", F.lit(1).alias("guest"))
+    rows = open_.select("node", "label", home, F.lit(0).alias("guest")).unionByName(guests)
+    return first.unionByName(stage(visited(rows.join(sets, "node"), threshold, block), "paragraph-second"))
+
+
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK
 ) -> DataFrame:
@@ -228,13 +326,7 @@ def classes(
     met = stage(placed.join(crowded, "bucket"), "paragraph-met")
     where = every.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
     sets = stage(sets_of(docs, where, id_col, text_col), "paragraph-sets")
-    blocks = F.ceil(F.col("n") / block)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    pair = F.transform(
-        F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.xxhash64("bucket", F.least(o, own), F.greatest(o, own))
-    )
-    grouped = met.select("node", F.explode(F.when(blocks > 1, pair).otherwise(F.array("bucket"))).alias("grp"))
-    links = verified(grouped.join(sets, "node"), threshold)
+    links = linked(met, sets, threshold, block)
     found = components(links, "paragraphs")
     return every.join(found, "node", "left").select("id", "pos", "node", F.coalesce("component", "node").alias("class"))
 

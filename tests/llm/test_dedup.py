@@ -184,6 +184,44 @@ def test_paragraph_classes_equal_brute_force(spark, corpus):
         assert all(r["class"] == want[r.node] for r in found)
 
 
+@pytest.mark.parametrize("centres", [0, 2])
+def test_crowded_paragraph_buckets_lose_no_link_and_copy_little(spark, centres):
+    rng = np.random.default_rng(12)
+    base = rng.choice(10**6, 60, replace=False)
+    family = [np.unique(np.append(np.delete(base, k % 60), 2 * 10**6 + k)) for k in range(120)]  # edits of one paragraph
+    chain = [np.arange(4 * 10**6 + 2 * k, 4 * 10**6 + 2 * k + 40) for k in range(50)]  # only neighbours are similar
+    sets = family + chain + [rng.choice(10**6, 30, replace=False) for _ in range(30)]
+    sets = [np.sort(s) for s in sets]
+    met = [(n, bucket, len(sets)) for bucket in (1, 2) for n in range(len(sets))] + [(0, 3, 2), (199, 3, 2)]
+    frames = (
+        spark.createDataFrame(met, "node long, bucket long, n long"),
+        spark.createDataFrame([(n, s.tolist()) for n, s in enumerate(sets)], "node long, codes array<long>"),
+    )
+    found = {r.node: r.component for r in components(paragraphs.linked(*frames, block=16, centres=centres), "t").collect()}
+    label = np.arange(len(sets))
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)
+             if (b := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - b) - 1e-9]
+    label = simhash.hook(label, *np.array(pairs).T)
+    assert [found.get(i, i) for i in range(len(sets))] == label.tolist()
+    assert len(set(label[:120])) == 1 == len(set(label[120:170]))
+    i, j = paragraphs.cross_pairs(sets, sets, 0.8)
+    assert set(zip(i[i < j].tolist(), j[i < j].tolist())) == set(pairs)
+
+
+def test_a_crowded_bucket_of_one_class_has_no_guests(spark, monkeypatch):
+    base = np.arange(100)
+    sets = [np.append(base, 1000 + k) for k in range(90)]
+    frames = (
+        spark.createDataFrame([(n, 1, 90) for n in range(90)], "node long, bucket long, n long"),
+        spark.createDataFrame([(n, s.tolist()) for n, s in enumerate(sets)], "node long, codes array<long>"),
+    )
+    seen = []
+    plain = paragraphs.visited
+    monkeypatch.setattr(paragraphs, "visited", lambda rows, *rest: seen.append(rows.count()) or plain(rows, *rest))
+    found = components(paragraphs.linked(*frames, block=10), "t")
+    assert found.select("component").distinct().count() == 1 and found.count() == 90 and seen == [0]
+
+
 def test_paragraph_removal_keeps_the_first(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(3, "a b\n" + text), (1, text + "\nrest of one"), (2, text.upper()), (4, None), (5, "")]
