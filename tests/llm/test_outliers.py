@@ -71,3 +71,14 @@ def test_steps_stop_by_themselves(spark, groups, monkeypatch):
     constant = {"c": np.tile([5.0, 0.0, 0.0, 0.0], (40, 1))}
     assert len(outliers.estimates(frame(spark, constant)).collect()) == 1
     assert outliers.estimates(frame(spark, {})).count() == 0
+
+
+def test_statistics_of_a_text_of_many_megabytes(spark):
+    body = " ".join(f"w{i}" for i in range(500_000))
+    lines = "the same eight words stand here once more\n" * 50_000
+    rows = [(1, body), (2, lines), (3, body + "\n" + body)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.id: r for r in outliers.judge(docs).collect()}
+    assert [(got[i].n_words, got[i].n_repeat_words) for i in (1, 2, 3)] == [(500_000, 0), (400_000, 400_000), (1_000_000, 1_000_000)]
+    assert [got[i].n_dup_lines for i in (1, 2, 3)] == [0, 49_999, 1] and got[1].word_chars == sum(map(len, body.split()))
+    assert [got[i].base_failed for i in (1, 2, 3)] == [False, True, True]

@@ -54,3 +54,13 @@ def test_telephone_numbers_of_other_countries(spark):
         code = re.match(r"\+\d+", g)[0]
         assert new.startswith(code)
     assert got[4] == "at 1 2 3 and +1 2 3 stay 2024 10 11"
+
+
+def test_a_text_of_many_megabytes(spark):
+    filler = "plain words without anything to hide " * 40_000
+    text = "".join(f"{filler}Dr. Kim Lee writes to kim{i % 3}@lee.example. " for i in range(3)) + "word" * 1_000_000
+    got = run(spark, [text, "Dr. Kim Lee"])
+    assert got[0].count(filler) == 3 and got[0].endswith("word" * 1_000_000) and "Kim" not in got[0] and "kim" not in got[0]
+    assert got[0].count(got[1]) == 3  # one name throughout, in both texts
+    addresses = re.findall(r" writes to (\S+@\S+)\. ", got[0])
+    assert len(addresses) == len(set(addresses)) == 3 and len({x.split("@")[1] for x in addresses}) == 1
