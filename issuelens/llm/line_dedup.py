@@ -7,11 +7,11 @@ letter (brackets, rules, single numbers) are left alone: they recur by chance in
 of at least ``MIN_TOKENS`` tokens are looked up by keys that leave out positions while ``SIMILARITY`` of the tokens
 stay: every combination of up to ``MOST_LEFT`` of ``BLOCKS`` blocks of positions and, for more fields, the positions
 of most different tokens in the leaf, one more at a time.  What stays under such a key is a template when lines of
-``min_docs`` documents have it; a line takes the one with the most lines (a line counts once
-for each of its first ``min_docs`` documents).  So a leaf holds any number of
-templates; those of the blocks depend on no other line of it.  Other lines are their own template: they recur in
-``LONG_MIN_DOCS`` documents if they have ``MIN_TOKENS`` words, else in ``min_docs``.  The lines of a recurring
-template are dropped from every document but the one with the smallest id, so text that is shared stays once.
+``min_docs`` documents have it.  So a leaf holds any number of
+templates, and a line all that cover it; those of the blocks depend on no other line of the leaf.  A line is dropped from every
+document but the smallest that any of its templates has, so no line need choose the template its neighbours choose, and
+of lines that templates link, the first one stays.  Lines without a template recur exactly: in ``LONG_MIN_DOCS`` documents if they
+have ``MIN_TOKENS`` words, else in ``min_docs``; the document with the smallest id keeps its own.
 
 The result depends on no order.  Only hashes, ids and distinct lines of shared leaves are shuffled by leaf;
 all counts are pre-aggregated, so a line or leaf that a third of all documents share meets in one row per
@@ -178,10 +178,10 @@ def candidate_keys(tokens: np.ndarray, leaf: int, uneven: list[int]) -> np.ndarr
 
 
 def generalised(tokens: DataFrame, min_docs: int) -> DataFrame:
-    """Rows (line, template): the lines that a template of ``min_docs`` documents covers.
+    """Rows (line, first): the lines that templates of ``min_docs`` documents cover, and the smallest document of these templates.
 
     ``tokens`` are distinct lines with their up to ``min_docs`` smallest ids, which tell whether that many documents hold
-    one of a template's lines.
+    one of a template's lines, and which is the first.
     """
     spread = (
         tokens.select("leaf", F.posexplode("tokens").alias("pos", "token"))
@@ -212,21 +212,19 @@ def generalised(tokens: DataFrame, min_docs: int) -> DataFrame:
 
     keyed = stage(joined.mapInArrow(run, "line long, key long, ids array<long>"), "lines-keys")
     recur = (
-        keyed.select("key", F.explode("ids").alias("id")).groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
-        .where(F.col("docs") >= min_docs).select("key", "n")
+        keyed.select("key", F.explode("ids").alias("id")).distinct()
+        .groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
+        .where(F.col("docs") >= min_docs).select("key", "first")
     )
     found = keyed.select("line", "key").join(stage(recur, "lines-recurring"), "key")
-    best = found.groupBy("line").agg(F.max(F.struct("n", "key")).alias("best"))
-    return best.select("line", F.col("best.key").alias("template"))
+    return found.groupBy("line").agg(F.min("first").alias("first"))
 
 
-def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """Rows (id, line, template, need): the lines of shared leaves, their templates, and how many documents these need."""
+def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """Rows (id, line, words, first): the lines of shared leaves and, where templates cover them, the smallest document of these."""
     every = stage(lines(docs, id_col, text_col), "lines")
-    few = min(min_docs, LONG_MIN_DOCS)
     # Staged, so that both sides of the join are exchanged and a hot leaf's rows can be split.
-    shared = every.groupBy("leaf").agg(F.sum("new").alias("docs")).where(F.col("docs") >= few)
+    shared = every.groupBy("leaf").agg(F.sum("new").alias("docs")).where(F.col("docs") >= min(min_docs, LONG_MIN_DOCS))
     shared = stage(shared.select("leaf", (F.col("docs") >= min_docs).alias("enough")), "lines-leaves")
     near = stage(every.join(shared, "leaf").select("id", "leaf", "line", "words", "enough"), "lines-shared")
     by_id = Window.partitionBy("leaf", "line").orderBy("id")
@@ -234,21 +232,23 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     held = held.where(F.col("rank") <= min_docs).groupBy("leaf", "line").agg(F.collect_list("id").alias("ids"))
     tokens = stage(line_tokens(docs, held, id_col, text_col), "lines-tokens")
     found = stage(generalised(tokens, min_docs), "lines-generalised")
-    need = F.when(F.col("template").isNotNull(), F.lit(2)).when(F.col("words") >= MIN_TOKENS, F.lit(few)).otherwise(F.lit(min_docs))
-    return near.join(found, "line", "left").select("id", "line", F.coalesce("template", "line").alias("template"), need.alias("need"))
+    return near.join(found, "line", "left").select("id", "line", "words", "first")
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """Rows (id, lines): the lines (hashes) to drop from each document that has any."""
-    named = stage(templates(docs, id_col, text_col, min_docs), "lines-templates")
+    named = stage(shared_lines(docs, id_col, text_col, min_docs), "lines-templates")
+    alone = named.where("first IS NULL")
+    need = F.when(F.col("words") >= MIN_TOKENS, F.lit(min(min_docs, LONG_MIN_DOCS))).otherwise(F.lit(min_docs))
     often = (
-        named.select("template", "id", "need").distinct().groupBy("template")
-        .agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"), F.max("need").alias("need"))
+        alone.select("line", "id", need.alias("need")).distinct().groupBy("line")
+        .agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("holder"), F.max("need").alias("need"))
         .where(F.col("docs") >= F.col("need"))
-        .select("template", "first")
+        .select("line", "holder")
     )
-    drops = named.join(often, "template").where(F.col("id") != F.col("first"))
-    return drops.groupBy("id").agg(F.collect_set("line").alias("lines"))
+    exact = alone.join(often, "line").where(F.col("id") != F.col("holder")).select("id", "line")
+    covered = named.where(F.col("id") > F.col("first")).select("id", "line")
+    return covered.unionByName(exact).groupBy("id").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_lines(
