@@ -104,3 +104,35 @@ def test_edge_tables(spark, rows):
     none = rows.withColumn("a", F.lit(None).cast("double")).withColumn("label", F.when(F.col("number") > 9, F.col("label")))
     m = B.fit(none, FEATURES, key=["number"], settings=B.Settings(rounds=2))
     assert m.best == 2 and m.edges[0] == [] and B.predict(m, rows.limit(0)).count() == 0
+
+
+def test_a_round_reads_gradients_once_and_sums_the_smaller_children():
+    """One pass over margins a round; of two children at most half the parent's weight is summed, the other is exact by difference."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    bins = rng.integers(1, 20, (3, n)).astype(np.uint8)
+    label = np.where(bins[0] > 10, 2, np.where(bins[1] > 8, 1, 0)).astype(np.uint8)
+    block = B.Block(bins, label, np.zeros(n, bool), np.arange(n), np.zeros((3, n)))
+    begun, summed = [], {}
+
+    def sums(m, trees, level, round_, columns, slots):
+        if level == 0:
+            begun.append(round_)
+            block_, state["now"] = state["block"].begin(m.settings, m.rounds[-1:], round_)
+            state["block"] = block_
+        found, loss = state["now"].sums(trees, level, columns, slots)
+        summed[round_, level] = sum(found[slots[k, j], columns[k][0], :, 1].sum() for k, j in np.argwhere(slots >= 0))
+        return found, loss
+
+    state = {"block": block}
+    s = B.Settings(rounds=4, depth=3, row_sample=1.0, column_sample=1.0)
+    m = B.boost(B.Model(FEATURES, [[float(i) for i in range(1, 20)]] * 3, settings=s), sums)
+    assert begun == [0, 1, 2, 3, 4] and len(m.rounds) == 4
+    assert all(2 * w <= summed[r, 0] for (r, level), w in summed.items() if level)
+    # The weight of every leaf, summed anew, gives the value found by difference.
+    at = B.Block(bins, label, block.held, block.salt, block.margin)
+    _, now = at.begin(s, [], 0)
+    for k, tree in enumerate(m.rounds[0]):
+        for node, rows in tree.parts(bins):
+            g, h = now.g[k, rows].sum() / B.UNIT, now.h[k, rows].sum() / B.UNIT
+            assert tree.value[node] == pytest.approx(-s.step * g / (h + B.L2), rel=1e-9)
