@@ -2,6 +2,7 @@
 
 import pytest
 
+from issuelens.sources import fixtures as FX
 from issuelens.session import scratch_path
 from issuelens.sources import readers as R
 
@@ -29,3 +30,17 @@ def test_prediction_log_drops_bad_lines_and_missing_log_is_empty(spark):
     log = R.flatten_prediction_log(R.read_prediction_log(spark, path))
     assert sorted(r.issue_number for r in log.collect()) == [1, 2]
     assert R.read_prediction_log(spark, scratch_path(spark, "t-missing")).count() == 0
+
+
+def test_a_task_makes_a_bounded_number_of_events(spark, tmp_path, monkeypatch):
+    """Few narrow event rows on disk become wide bodies: the tasks follow the rows, not the cores."""
+    rows = spark.range(900).selectExpr(
+        "id AS event_id", "timestamp_micros(1704067200000000 + id * 1000000) AS ts", "id % 50 AS user_id",
+        "element_at(array('error', 'view', 'signup', 'click', 'purchase'), cast(id % 5 + 1 AS int)) AS event_type", "id % 7 + 0.5D AS value",
+        "concat('{\"k\": ', id % 90, '}') AS props")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    whole = FX.webhook_events(spark, str(tmp_path))
+    monkeypatch.setattr(FX, "EVENTS_A_TASK", 100)
+    cut = FX.webhook_events(spark, str(tmp_path))
+    assert cut.rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, cut.collect()), key=lambda r: r[0]) == sorted(map(tuple, whole.collect()), key=lambda r: r[0])
