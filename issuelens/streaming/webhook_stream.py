@@ -144,13 +144,12 @@ def stream_dedup_horizon(spark: SparkSession, landing: str, out: str, horizon: s
     memory = SeenDeliveries(spark, f"{out}/seen", horizon)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        first = memory.fresh(batch, f"batch-{batch_id}")
+        # The batch is read again rather than held: held bodies are many times their files, and the ids need no body.
+        first = memory.fresh(batch.select("delivery_id", "ts"), f"batch-{batch_id}")
         # Of deliveries repeated inside the batch the earliest stays.
         mine = batch.join(first, ["delivery_id", "ts"], "left_semi").dropDuplicates(["delivery_id"])
         unnamed = batch.where(F.col("delivery_id").isNull())  # cannot be told apart: they stay
         mine.unionByName(unnamed).write.mode("overwrite").parquet(f"{out}/kept/batch={batch_id}")
-        batch.unpersist()
 
     s = read_deliveries(spark, landing, files_per_trigger).select("delivery_id", "ts", "event", "raw")
     run_available_now(s, "dedup-horizon", write, out)

@@ -3,7 +3,10 @@
 import random
 from datetime import datetime, timedelta
 
+from issuelens.plans.streaming_q import _files
+from issuelens.sources import fixtures as FX
 from issuelens.streaming.seen import SeenDeliveries
+from issuelens.streaming.webhook_stream import ENVELOPE_SCHEMA, stream_dedup_horizon
 
 START = datetime(2024, 1, 1)
 
@@ -42,3 +45,17 @@ def test_new_ids_are_not_looked_up_and_old_ones_go(spark, tmp_path):
     assert [r.delivery_id for r in memory.ids().collect()] == [20_000]
     assert memory.fresh(batch(spark, [(1, 101), (20_000, 101), (None, 101)]), "d").count() == 1  # a null id is nobody's
     assert memory.fresh(batch(spark, []), "e").count() == 0
+
+
+def test_bodies_are_not_held_and_files_follow_the_events(spark, tmp_path, monkeypatch):
+    held = []
+    kind, own = type(spark.range(1)), type(spark.range(1)).persist
+    monkeypatch.setattr(kind, "persist", lambda df, *a, **k: (held.append(df.columns), own(df, *a, **k))[1])
+    rows = [(i % 70, START + timedelta(minutes=i), "issues", None, "x" * 50) for i in range(100)]
+    spark.createDataFrame(rows, ENVELOPE_SCHEMA).write.parquet(f"{tmp_path}/landing")
+    out = stream_dedup_horizon(spark, f"{tmp_path}/landing", f"{tmp_path}/out", "1 hour")
+    # An id that returns an hour and ten minutes later is fresh again unless its first delivery lies in the same batch.
+    assert {r.delivery_id for r in out.collect()} == set(range(70)) and not any("raw" in c for c in held)
+    spark.range(1000).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(FX, "EVENTS_A_TASK", 25)
+    assert _files(spark, str(tmp_path)) == 10
