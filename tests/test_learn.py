@@ -1,10 +1,13 @@
 """Learning operators: split sizes, balancing invariants, evaluation math."""
 
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from issuelens.operators import learn as L
+from issuelens.plans import learn_q as Q
 
 
 def _skewed_labels(spark, n=900):
@@ -80,3 +83,34 @@ def test_split_keeps_rows_when_numbers_repeat(spark):
     out = L.stratified_split(df)
     assert out.count() == 150
     assert out.where("is_test").count() == 30
+
+
+def test_texts_are_cut_into_terms_once_for_the_same_model(spark, monkeypatch):
+    words = ["crash", "typo", "slow", "leak", "docs", "cache"]
+    rows = [(i, i % 3, i % 5 == 0, " ".join(words[(i * k) % 6] for k in range(1, 2 + i % 7))) for i in range(60)] + [(60, 1, False, ""), (61, 2, True, "unseen")]
+    df = spark.createDataFrame(rows, "number long, label int, is_test boolean, text string")
+    made = []
+    staged = L.staged
+    monkeypatch.setattr(L, "staged", lambda d, name: (made.append(name), staged(d, name))[1])
+    got = L.fitted_text_probabilities(df, ~F.col("is_test"), buckets=256, max_iter=20)
+    assert made == ["text-terms"] and got.columns == ["number", "label", "is_test", *L.PROB_COLS]
+    want = L.text_probabilities(L.text_pipeline(256, 20).fit(df.where(~F.col("is_test")).select("text", "label")), df)
+    a, b = ({r.number: [r[c] for c in L.PROB_COLS] for r in d.collect()} for d in (got, want))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-6) for i in a)
+
+
+def test_every_nearer_point_is_counted_over_groups_of_any_size(spark, monkeypatch):
+    rng = random.Random(4)
+    pts = [(rng.randrange(3), [float(rng.randrange(6)), rng.uniform(0, 900), float(rng.randrange(2))]) for _ in range(400)]
+    pts += [(0, v) for _, v in pts[:20]] + [(2, [3.0, 1e9, 0.0])]
+    few = [(c, "r", i, "s", i + 1, v, rng.choice([0.0, 4.0, 900.0, 1e7])) for i, (c, v) in enumerate(pts[::9])] + [(7, "r", 999, "s", 1, [0.0, 0.0, 0.0], 5.0)]
+    distinct = {(c, tuple(v)) for c, v in pts}
+    want = {}
+    for c, _, i, _, _, v, gone in few:
+        far = lambda w, v=v: sum((a - b) ** 2 for a, b in zip(v, w))
+        want[i] = sum(1 for k, w in distinct if k == c and w != tuple(v) and far(w) < gone)
+    monkeypatch.setattr(Q, "POINTS_A_GROUP", 60)
+    monkeypatch.setattr(Q, "BASES_A_GROUP", 10)
+    bases = spark.createDataFrame(few, "label int, source_repo string, source_id long, neighbour_repo string, neighbour_id long, source_v array<double>, gone double")
+    got = Q.closer_points(bases, spark.createDataFrame(pts, "label int, v array<double>").distinct())
+    assert {i: k for i, k in want.items() if k} == {r.source_id: r.k for r in got.collect() if r.k}
