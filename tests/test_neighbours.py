@@ -92,3 +92,32 @@ def test_empty(spark):
     assert N.nearest(frame(spark, np.zeros((0, 8)), []), COLS).count() == 0
     one = N.nearest(frame(spark, np.zeros((1, 8)), [0]), COLS).collect()
     assert len(one) == 1 and one[0].near is None
+
+
+def test_second_round_sends_only_pairs_that_can_count(spark):
+    """Neighbours' neighbours leave the task only if new and no farther than the point's k-th; none that counts is left out."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    pts = N.staged(N.points(frame(spark, x, [0] * 300), "label", COLS), "t-points")
+    k = 3
+    # A poor first round: three of the 60 points of one cell.
+    rows = pts.orderBy("node").collect()
+    vecs, ids = np.array([r.vec for r in rows]), [r.node for r in rows]
+    first = {}
+    for i in range(300):
+        d = ((vecs - vecs[i]) ** 2).sum(axis=1)
+        own = [j for j in range(i // 60 * 60, i // 60 * 60 + 60) if j != i][: 30 + i % 20]
+        first[ids[i]] = sorted((float(d[j]), ids[j]) for j in own)[:k]
+    first[ids[7]] = first[ids[7]][:1]  # fewer than k: every one counts
+    near = N.staged(spark.createDataFrame(list(first.items()), "node long, near array<struct<distance: double, other: long>>"), "t-near")
+    got = {(r.node, x.other) for r in N._second(near, pts, k).collect() for x in r.near}
+    at, want, every = {n: i for i, n in enumerate(ids)}, set(), set()
+    for n, own in first.items():
+        known, worst = {o for _, o in own}, own[-1][0] if len(own) == k else np.inf
+        for _, via in own:
+            for _, third in first[via]:
+                if third != n and third not in known:
+                    every.add((n, third))
+                    if ((vecs[at[n]] - vecs[at[third]]) ** 2).sum() <= worst:
+                        want.add((n, third))
+    assert got == want and any(n == ids[7] for n, _ in got) and 2 * len(got) < len(every)
