@@ -319,3 +319,21 @@ def test_rows_of_numbers_and_code_stay(spark):
     # The same row of numbers is an exact copy like any other line; a template needs most of its words fixed.
     same = [(i, "11 22 33 44 55 66 77 a8\nTotal of all visits: " + str(i)) for i in range(4)]
     assert dropped(spark, same) == {0: 0, 1: 2, 2: 2, 3: 2}
+
+
+def test_documents_travel_packed_by_block():
+    """Every document reaches its block once, null texts as empty ones, in fewer bytes than it has; parts of bounded size."""
+    import pyarrow as pa
+
+    ids = [*range(400), 7, bwt.NO_ID]
+    texts = [None if i % 50 == 0 else f"doc {i} " + "the same words again and again " * (i % 40) for i in range(400)] + ["again 7", "no id"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 90], pa.int64()), pa.array(texts[a : a + 90], pa.string())], names=["id", "text"]) for a in range(0, 402, 90)]
+    got, size = [], 0
+    for out in bwt._packed(5)(iter([*batches, batches[0].slice(0, 0)])):
+        for block, kind, head, data in zip(*(c.to_pylist() for c in out.columns)):
+            size += len(head) + len(data)
+            found = list(bwt._unpacked(head, data))
+            assert kind == 2 and {block} == set(bwt.blocks_of(np.array([i for i, _ in found]), 5).tolist())
+            got += found
+    assert sorted(got) == sorted((i, (t or "").encode()) for i, t in zip(ids, texts))
+    assert 4 * size < sum(len(t or "") for t in texts)
