@@ -47,7 +47,7 @@ BUCKET_BYTES = 6 << 20
 SHARD_BYTES = 1 << 19
 STEP_BYTES = 4 << 20
 PACK_BYTES = 32 << 20  # text of a task whose documents are packed together
-TEXT_LEVEL = 3
+TEXT_LEVEL = 1
 CHUNK = 1 << 15
 FREQUENT = 64
 HOT = 5_000
