@@ -6,6 +6,11 @@ nothing beyond a count.  Nodes whose MinHash signatures agree in a band meet; pa
 similarity of at least ``THRESHOLD`` are linked, and classes are the connected components.  Of each class the
 occurrence with the smallest (id, position) stays and all others are removed.
 
+A paragraph that stays may still hold a passage of another one, which their similarity as a whole doesn't show: a document
+without line breaks is one paragraph.  Of such paragraphs every word is cut that a run of ``PASSAGE`` words covers which also stands in
+a paragraph of a document with a smaller id (judged on the input).  Runs whose smallest hash of ``GRAM`` words, their anchor,
+occurs in one node alone are dropped before any text is read again; the others are compared whole.
+
 Bands are tuned (``tune``): the longest bands for which at most ``MAX_BANDS`` of them catch a pair at the
 threshold with a chance of ``RECALL`` or more.  Buckets of one node are dropped before any text is read again.  A bucket
 of more than ``BLOCK`` nodes is cut into blocks by hash.  First every block is checked by itself, with the bucket's
@@ -21,6 +26,8 @@ no rows; other columns pass through by the caller's choice (``keep``).
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,6 +36,8 @@ from pyspark.sql import functions as F
 from issuelens.llm.common import PRIME, components, hook, row_blocks, shingle_codes, signed, stage, text_bytes, word_hashes
 
 SHINGLE = 5
+PASSAGE = 50  # words
+GRAM = 4 * SHINGLE
 THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_BANDS = 12
@@ -36,6 +45,7 @@ BLOCK = 1000
 CENTRES = 32
 NO_ID = (1 << 63) - 1
 BLOCK_BYTES = 4 << 20
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[int, int]:
@@ -90,6 +100,61 @@ def band_keys(codes: np.ndarray, starts: np.ndarray, bands: int, rows: int, seed
     return keys.view(np.int64)
 
 
+def anchors(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of every run of ``PASSAGE`` words, and its paragraph: the smallest hash of the ``GRAM``-word runs inside."""
+    lead, span = GRAM - SHINGLE, PASSAGE - GRAM + 1
+    runs = np.maximum(np.diff(np.append(starts, len(codes))) - (PASSAGE - SHINGLE), 0)
+    owner = np.repeat(np.arange(len(starts)), runs)
+    if not len(owner):
+        return np.zeros(0, np.int64), owner
+    low = codes[: len(codes) - lead]
+    for k in range(SHINGLE, GRAM, SHINGLE):
+        low = (low ^ codes[k : len(codes) - lead + k]) * PRIME
+        low ^= low >> np.uint64(31)
+    reach = 1
+    while 2 * reach <= span:
+        low = np.minimum(low[:-reach], low[reach:])
+        reach *= 2
+    low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
+    at = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(runs) - runs), runs)
+    return low[at].view(np.int64), owner
+
+
+def anchor_lists(codes: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    """Each paragraph's anchors, one for every stretch of runs that share it."""
+    low, owner = anchors(codes, starts)
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+    offsets = np.searchsorted(owner[new], np.arange(len(starts) + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(low[new], pa.int64()))
+
+
+def passage_codes(words: list[bytes]) -> np.ndarray:
+    """A code of every run of ``PASSAGE`` words."""
+    return shingle_codes(word_hashes(words), PASSAGE).view(np.int64)
+
+
+def without_passages(line: bytes, words: list[bytes], gone: np.ndarray) -> bytes | None:
+    """The line without the words that the runs ``gone`` cover; None if no word is left, the line itself if none goes."""
+    hit = np.flatnonzero(np.isin(passage_codes(words), gone))
+    if not len(hit):
+        return line
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + PASSAGE, -1)
+    covered = np.cumsum(edge)[:-1] > 0
+    if covered.all():
+        return None
+    spans = [m.span() for m in WORD.finditer(line)]
+    turns = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0]))))
+    out, kept = [], 0
+    for a, z in turns.reshape(-1, 2).tolist():  # words a to z - 1 go with the space after them, the last ones with the space before
+        last = z == len(words)
+        out.append(line[kept : spans[a - 1][1] if last else spans[a][0]])
+        kept = spans[-1][1] if last else spans[z][0]
+    return b"".join(out) + line[kept:]
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")
@@ -97,7 +162,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """Rows (id, pos, node, keys): every paragraph with its band keys."""
+    """Rows (id, pos, node, keys, anchors): every paragraph with its band keys and the anchors of its passages."""
 
     def run(batches):
         for b in batches:
@@ -112,37 +177,45 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: i
                         paragraphs.append(words)
                 if not ids:
                     continue
-                keys = band_keys(*shingle_sets(paragraphs), bands, rows)
+                sets = shingle_sets(paragraphs)
+                keys = band_keys(*sets, bands, rows)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64()), lists],
-                    names=["id", "pos", "node", "keys"],
+                    [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64()), lists, anchor_lists(*sets)],
+                    names=["id", "pos", "node", "keys", "anchors"],
                 )
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, pos int, node long, keys array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, pos int, node long, keys array<long>, anchors array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (node, codes): shingle sets of the nodes that ``wanted`` (id, node) places in documents."""
-    lists = wanted.groupBy(F.col("id").alias("wid")).agg(F.collect_set("node").alias("nodes"))
-    joined = _rows(docs, id_col, text_col).join(lists, F.col("id") == F.col("wid")).select("nodes", "text")
+    """Rows (node, id, codes, runs) of the nodes that ``wanted`` (id, node, paired, marks) places in documents.
+
+    Shingle sets (of ``paired`` nodes), and the codes of the runs of ``PASSAGE`` words whose anchor is one of the node's ``marks``.
+    """
+    lists = wanted.groupBy(F.col("id").alias("wid")).agg(F.collect_list(F.struct("node", "paired", "marks")).alias("nodes"))
+    joined = _rows(docs, id_col, text_col).join(lists, F.col("id") == F.col("wid")).select("nodes", "id", "text")
 
     def run(batches):
         for b in batches:
-            nodes, sets = [], []
-            for want, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
-                want = set(want)
+            nodes, ids, sets, runs = [], [], [], []
+            for want, id_, text in zip(*(b.column(i).to_pylist() for i in range(2)), text_bytes(b.column(2))):
+                want = {w["node"]: w for w in want}
                 for _, words in split(text):
                     node = signed(b" ".join(words))
                     if node in want:
-                        want.discard(node)
+                        mine = want.pop(node)
+                        codes, starts = shingle_sets([words])
                         nodes.append(node)
-                        sets.append(np.unique(shingle_sets([words])[0]).view(np.int64))
+                        ids.append(id_)
+                        sets.append(np.unique(codes).view(np.int64) if mine["paired"] else [])
+                        runs.append(np.unique(passage_codes(words)[np.isin(anchors(codes, starts)[0], mine["marks"])]) if mine["marks"] else [])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "codes"]
+                [pa.array(nodes, pa.int64()), pa.array(ids, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (sets, runs)]],
+                names=["node", "id", "codes", "runs"],
             )
 
-    return joined.mapInArrow(run, "node long, codes array<long>").dropDuplicates(["node"])
+    return joined.mapInArrow(run, "node long, id long, codes array<long>, runs array<long>").dropDuplicates(["node"])
 
 
 def similar_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -314,38 +387,74 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block:
     return first.unionByName(stage(visited(rows.join(sets, "node"), threshold, block), "paragraph-second"))
 
 
-def classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK
-) -> DataFrame:
-    """Rows (id, pos, node, class): every paragraph occurrence; class is the smallest node linked to it."""
+def shared_anchors(every: DataFrame) -> DataFrame:
+    """Rows (node, marks): the anchors of a node that another node has too."""
+    held = every.where(F.size("anchors") > 0).groupBy("node").agg(F.first("anchors").alias("anchors"))  # equal nodes have equal anchors
+    held = held.select("node", F.explode("anchors").alias("anchor"))
+    several = held.groupBy("anchor").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("anchor")
+    return held.join(several, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("marks"))
+
+
+def gathered(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every occurrence, the rows (node, bucket, n) of the buckets of several nodes, and what ``sets_of`` says of the nodes that meet others; all staged."""
     bands, rows = tune(threshold)
     every = stage(occurrences(docs, id_col, text_col, bands, rows), "paragraphs")
     nodes = every.groupBy("node").agg(F.first("keys").alias("keys"))  # equal nodes have equal keys
     placed = stage(nodes.select("node", F.explode("keys").alias("bucket")), "paragraph-bands")
     crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stage(placed.join(crowded, "bucket"), "paragraph-met")
-    where = every.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    sets = stage(sets_of(docs, where, id_col, text_col), "paragraph-sets")
-    links = linked(met, sets, threshold, block)
+    marked = stage(shared_anchors(every), "paragraph-marks")
+    paired = met.select("node").distinct().withColumn("paired", F.lit(True))
+    some = paired.join(marked, "node", "full")
+    first = every.join(some, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    where = first.join(some, "node")
+    return every, met, stage(sets_of(docs, where, id_col, text_col), "paragraph-sets")
+
+
+def classed(every: DataFrame, met: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Rows (id, pos, node, class) of what ``gathered`` gives."""
+    links = linked(met, sets.select("node", "codes"), threshold, block)
     found = components(links, "paragraphs")
     return every.join(found, "node", "left").select("id", "pos", "node", F.coalesce("component", "node").alias("class"))
 
 
+def classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK
+) -> DataFrame:
+    """Rows (id, pos, node, class): every paragraph occurrence; class is the smallest node linked to it."""
+    return classed(*gathered(docs, id_col, text_col, threshold), threshold, block)
+
+
+def repeated_runs(sets: DataFrame) -> DataFrame:
+    """Rows (id, runs): the runs of ``PASSAGE`` words of a document that also stand in one with a smaller id.
+
+    A node's later copies are removed whole, so the document that holds it first speaks for it.
+    """
+    runs = sets.select("id", F.explode("runs").alias("run"))
+    first = runs.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    return runs.join(first, "run").where("id > first").groupBy("id").agg(F.collect_set("run").alias("runs"))
+
+
 def remove_paragraphs(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """Every row as (id, text, n_paragraphs, n_removed) and the columns ``keep``; later members of a class are cut out."""
+    """Every row as (id, text, n_paragraphs, n_removed) and the columns ``keep``; later members of a class and repeated passages are cut out.
+
+    ``n_removed`` counts the paragraphs that are gone or shortened.
+    """
     keep = keep or []
-    placed = stage(classes(docs, id_col, text_col, threshold), "paragraph-classes")
+    every, met, sets = gathered(docs, id_col, text_col, threshold)
+    placed = stage(classed(every, met, sets, threshold), "paragraph-classes")
     first = placed.groupBy("class").agg(
         F.min(F.struct("id", "pos", "node")).alias("first"), F.count(F.lit(1)).alias("n")
     ).where("n > 1")
     gone = (
         placed.join(first, "class")
         .where(F.struct("id", "pos", "node") != F.col("first"))
-        .groupBy(F.col("id").alias("gid"))
+        .groupBy("id")
         .agg(F.collect_set(F.struct("pos", "node")).alias("gone"))
     )
+    gone = gone.join(repeated_runs(sets), "id", "full").withColumnRenamed("id", "gid")
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"),
         F.col(text_col).cast("string").alias("_text"),
@@ -353,30 +462,36 @@ def remove_paragraphs(
         *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
     )
     joined = rows.join(gone, F.col("_id") == F.col("gid"), "left").select(
-        F.col("gone.pos").alias("pos"), F.col("gone.node").alias("node"), "_text", "id", *[f"_keep_{i}" for i in range(len(keep))]
+        F.col("gone.pos").alias("pos"), F.col("gone.node").alias("node"), "runs", "_text", "id", *[f"_keep_{i}" for i in range(len(keep))]
     )
 
     def run(batches):
         for b in batches:
             texts, counts, removed = [], [], []
-            for pos, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
+            for pos, node, runs, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3).cast(pa.binary()).to_pylist()):
                 n = cut = 0
                 if text is not None:
-                    n = sum(1 for line in text.split(b"\n") if line.split())
-                    if pos:
-                        out = set(zip(pos, node))
-                        drop = {p for p, words in split(text) if (p, signed(b" ".join(words))) in out}
-                        text = b"\n".join(line for p, line in enumerate(text.split(b"\n")) if p not in drop)
-                        cut = len(drop)
+                    lines = text.split(b"\n")
+                    n = sum(1 for line in lines if line.split())
+                    if pos or runs:
+                        out, codes = set(zip(pos or [], node or [])), np.array(runs or [], np.int64)
+                        for p, words in split(text):
+                            if (p, signed(b" ".join(words))) in out:
+                                left = None
+                            else:
+                                left = without_passages(lines[p], words, codes) if len(codes) else lines[p]
+                            cut += left != lines[p]
+                            lines[p] = left
+                        text = b"\n".join(line for line in lines if line is not None)
                 texts.append(text)
                 counts.append(n)
                 removed.append(cut)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[3:], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
-                names=[*b.schema.names[3:], "text", "n_paragraphs", "n_removed"],
+                [*b.columns[4:], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
+                names=[*b.schema.names[4:], "text", "n_paragraphs", "n_removed"],
             )
 
-    schema = joined.drop("pos", "node", "_text").schema
+    schema = joined.drop("pos", "node", "runs", "_text").schema
     schema = schema.add("text", "string").add("n_paragraphs", "long").add("n_removed", "long")
     out = joined.mapInArrow(run, schema)
     return out.select("id", "text", "n_paragraphs", "n_removed", *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])

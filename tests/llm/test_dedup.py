@@ -232,6 +232,44 @@ def test_paragraph_removal_keeps_the_first(spark):
     assert 1 - (1 - 0.8**length) ** bands >= paragraphs.RECALL
 
 
+def without_earlier_runs(rows, span):
+    """Documents of one line each: their text without the words of runs that a document with a smaller id holds."""
+    first = {}
+    for i, t in sorted(rows):
+        w = t.lower().split()
+        for s in range(len(w) - span + 1):
+            first.setdefault(tuple(w[s : s + span]), i)
+    out = {}
+    for i, t in rows:
+        w = t.lower().split()
+        gone = {s + k for s in range(len(w) - span + 1) if first[tuple(w[s : s + span])] < i for k in range(span)}
+        out[i] = " ".join(x for k, x in enumerate(t.split()) if k not in gone)
+    return out
+
+
+def test_passages_inside_paragraphs_are_cut(spark):
+    rng = random.Random(11)
+    passage, edge, short = words(rng, 55), words(rng, 50), words(rng, 49)
+    own = lambda n: words(rng, n, 10**6)
+    rows = [(1, f"{own(300)} {passage} {own(200)}"), (2, f"{own(400)} {passage.upper()} {own(30)}"), (3, f"{own(90)} {short} {own(60)} {edge}"),
+            (4, f"{edge} {own(70)}"), (5, f"{own(80)} {short} {own(60)}"), (6, f"{own(150)} {edge}"), (7, f"{own(40)} {passage} {own(9)} {edge} {own(500)}"),
+            (8, " ".join([own(1)] * 200)), (9, own(49))]
+    got = {r.id: r for r in paragraphs.remove_paragraphs(frame(spark, rows)).collect()}
+    assert {i: r.text for i, r in got.items()} == without_earlier_runs(rows, 50)
+    assert {i for i, r in got.items() if r.n_removed} == {2, 4, 6, 7} and got[7].n_removed == 1 and got[4].text == rows[3][1][len(edge) + 1 :]
+
+
+def test_passages_of_null_ids_copies_and_whole_lines(spark):
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    rows = [(2, f"{words(rng, 300)} {passage}"), (None, f"first line\n  {passage}\t\nlast line"), (3, f"{words(rng, 200)}  {passage}  tail\u00e9"),
+            (3, f"{passage} {words(rng, 200)}"), (4, None), (5, "")]
+    rows += [(6, rows[0][1])]
+    got = sorted((r.id or 99, r.text, r.n_removed) for r in paragraphs.remove_paragraphs(frame(spark, rows)).collect() if r.text)
+    # 6: a copy of document 2's paragraph goes whole, as before.
+    assert got == sorted([(2, rows[0][1], 0), (3, rows[2][1].replace(passage + "  ", ""), 1), (3, rows[3][1][len(passage) + 1 :], 1), (99, "first line\nlast line", 1)])
+
+
 def plain_removal(rows, span=50):
     rows = sorted(((i if i is not None else bwt.NO_ID, (t or "").encode()) for i, t in rows), key=lambda r: r[0])
     first, out = {}, []
