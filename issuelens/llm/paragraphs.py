@@ -6,10 +6,14 @@ nothing beyond a count.  Nodes whose MinHash signatures agree in a band meet; pa
 similarity of at least ``THRESHOLD`` are linked, and classes are the connected components.  Of each class the
 occurrence with the smallest (id, position) stays and all others are removed.
 
-A paragraph that stays may still hold a passage of another one, which their similarity as a whole doesn't show: a document
-without line breaks is one paragraph.  Of such paragraphs every word is cut that a run of ``PASSAGE`` words covers which also stands in
-a paragraph of a document with a smaller id (judged on the input).  Runs whose smallest hash of ``GRAM`` words, their anchor,
-occurs in one node alone are dropped before any text is read again; the others are compared whole.
+What stays may still hold a passage of another document, which the similarity of paragraphs doesn't show: a document
+without line breaks is one paragraph, and a passage may be wrapped elsewhere.  Of every document each word is cut that a run of
+``PASSAGE`` words covers, across line breaks, which also stands in a document with a smaller id (judged on the input).  Runs whose
+smallest hash of ``GRAM`` words, their anchor, occurs in one document alone (copies count as one) are dropped before any text is read
+again; the others are compared whole.
+
+``min_words``: paragraphs of fewer words join no class.  Documents that have nothing else in common share short lines; where these
+should stay, only passages longer than that count as repeated.
 
 Bands are tuned (``tune``): the longest bands for which at most ``MAX_BANDS`` of them catch a pair at the
 threshold with a chance of ``RECALL`` or more.  Buckets of one node are dropped before any text is read again.  A bucket
@@ -44,6 +48,7 @@ MAX_BANDS = 12
 BLOCK = 1000
 CENTRES = 32
 NO_ID = (1 << 63) - 1
+WHOLE = -1  # the position of a document as a whole
 BLOCK_BYTES = 4 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -134,64 +139,85 @@ def passage_codes(words: list[bytes]) -> np.ndarray:
     return shingle_codes(word_hashes(words), PASSAGE).view(np.int64)
 
 
-def without_passages(line: bytes, words: list[bytes], gone: np.ndarray) -> bytes | None:
-    """The line without the words that the runs ``gone`` cover; None if no word is left, the line itself if none goes."""
+def covered_words(words: list[bytes], gone: np.ndarray) -> np.ndarray:
+    """Whether the runs ``gone`` cover each word."""
     hit = np.flatnonzero(np.isin(passage_codes(words), gone))
-    if not len(hit):
-        return line
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + PASSAGE, -1)
-    covered = np.cumsum(edge)[:-1] > 0
+    return np.cumsum(edge)[:-1] > 0
+
+
+def without_words(line: bytes, covered: np.ndarray) -> bytes | None:
+    """The line without its covered words; None if no word is left, the line itself if none goes."""
+    if not covered.any():
+        return line
     if covered.all():
         return None
     spans = [m.span() for m in WORD.finditer(line)]
     turns = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0]))))
     out, kept = [], 0
     for a, z in turns.reshape(-1, 2).tolist():  # words a to z - 1 go with the space after them, the last ones with the space before
-        last = z == len(words)
+        last = z == len(covered)
         out.append(line[kept : spans[a - 1][1] if last else spans[a][0]])
         kept = spans[-1][1] if last else spans[z][0]
     return b"".join(out) + line[kept:]
 
 
+def document_node(words: list[bytes]) -> int:
+    """The number of a document's word sequence; no paragraph's."""
+    return signed(b"\n" + b" ".join(words))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")
     )
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """Rows (id, pos, node, keys, anchors): every paragraph with its band keys and the anchors of its passages."""
+def occurrences(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, min_words: int = 1) -> DataFrame:
+    """Rows (id, pos, node, keys, anchors): every paragraph of ``min_words`` words with its band keys, and at ``WHOLE`` every
+    document of ``PASSAGE`` words with the anchors of its passages."""
 
     def run(batches):
         for b in batches:
             all_ids, texts = b.column(0).to_pylist(), text_bytes(b.column(1))
             for a, z in row_blocks(texts, BLOCK_BYTES):
-                ids, places, nodes, paragraphs = [], [], [], []
+                ids, places, nodes, paragraphs, owners, wholes = [], [], [], [], [], []
                 for i in range(a, z):
-                    for pos, words in split(texts[i]):
-                        ids.append(all_ids[i])
-                        places.append(pos)
-                        nodes.append(signed(b" ".join(words)))
-                        paragraphs.append(words)
-                if not ids:
-                    continue
-                sets = shingle_sets(paragraphs)
-                keys = band_keys(*sets, bands, rows)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64()), lists, anchor_lists(*sets)],
-                    names=["id", "pos", "node", "keys", "anchors"],
-                )
+                    parts = split(texts[i])
+                    whole = [w for _, words in parts for w in words]
+                    if len(whole) >= PASSAGE:
+                        owners.append(all_ids[i])
+                        wholes.append(whole)
+                    for pos, words in parts:
+                        if len(words) >= min_words:
+                            ids.append(all_ids[i])
+                            places.append(pos)
+                            nodes.append(signed(b" ".join(words)))
+                            paragraphs.append(words)
+                if ids:
+                    keys = band_keys(*shingle_sets(paragraphs), bands, rows)
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), bands).cast(pa.list_(pa.int64()))
+                    yield _occurring(ids, places, nodes, lists, pa.nulls(len(ids), pa.list_(pa.int64())))
+                if owners:
+                    marks = anchor_lists(*shingle_sets(wholes))
+                    yield _occurring(owners, [WHOLE] * len(owners), list(map(document_node, wholes)), pa.nulls(len(owners), pa.list_(pa.int64())), marks)
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "id long, pos int, node long, keys array<long>, anchors array<long>")
 
 
+def _occurring(ids: list, places: list, nodes: list, keys: pa.Array, marks: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64()), keys, marks], names=["id", "pos", "node", "keys", "anchors"]
+    )
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (node, id, codes, runs) of the nodes that ``wanted`` (id, node, paired, marks) places in documents.
 
-    Shingle sets (of ``paired`` nodes), and the codes of the runs of ``PASSAGE`` words whose anchor is one of the node's ``marks``.
+    Shingle sets (of ``paired`` nodes, paragraphs), and the codes of the runs of ``PASSAGE`` words whose anchor is one of the
+    ``marks`` of the node (a document).
     """
     lists = wanted.groupBy(F.col("id").alias("wid")).agg(F.collect_list(F.struct("node", "paired", "marks")).alias("nodes"))
     joined = _rows(docs, id_col, text_col).join(lists, F.col("id") == F.col("wid")).select("nodes", "id", "text")
@@ -201,8 +227,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
             nodes, ids, sets, runs = [], [], [], []
             for want, id_, text in zip(*(b.column(i).to_pylist() for i in range(2)), text_bytes(b.column(2))):
                 want = {w["node"]: w for w in want}
-                for _, words in split(text):
-                    node = signed(b" ".join(words))
+                parts = split(text)
+                whole = [w for _, words in parts for w in words]
+                for node, words in [(document_node(whole), whole), *((signed(b" ".join(words)), words) for _, words in parts)]:
                     if node in want:
                         mine = want.pop(node)
                         codes, starts = shingle_sets([words])
@@ -388,18 +415,18 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block:
 
 
 def shared_anchors(every: DataFrame) -> DataFrame:
-    """Rows (node, marks): the anchors of a node that another node has too."""
+    """Rows (node, marks): the anchors of a document's node that another one has too."""
     held = every.where(F.size("anchors") > 0).groupBy("node").agg(F.first("anchors").alias("anchors"))  # equal nodes have equal anchors
     held = held.select("node", F.explode("anchors").alias("anchor"))
     several = held.groupBy("anchor").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("anchor")
     return held.join(several, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("marks"))
 
 
-def gathered(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def gathered(docs: DataFrame, id_col: str, text_col: str, threshold: float, min_words: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every occurrence, the rows (node, bucket, n) of the buckets of several nodes, and what ``sets_of`` says of the nodes that meet others; all staged."""
     bands, rows = tune(threshold)
-    every = stage(occurrences(docs, id_col, text_col, bands, rows), "paragraphs")
-    nodes = every.groupBy("node").agg(F.first("keys").alias("keys"))  # equal nodes have equal keys
+    every = stage(occurrences(docs, id_col, text_col, bands, rows, min_words), "paragraphs")
+    nodes = every.where(F.col("pos") != WHOLE).groupBy("node").agg(F.first("keys").alias("keys"))  # equal nodes have equal keys
     placed = stage(nodes.select("node", F.explode("keys").alias("bucket")), "paragraph-bands")
     crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stage(placed.join(crowded, "bucket"), "paragraph-met")
@@ -415,7 +442,7 @@ def classed(every: DataFrame, met: DataFrame, sets: DataFrame, threshold: float,
     """Rows (id, pos, node, class) of what ``gathered`` gives."""
     links = linked(met, sets.select("node", "codes"), threshold, block)
     found = components(links, "paragraphs")
-    return every.join(found, "node", "left").select("id", "pos", "node", F.coalesce("component", "node").alias("class"))
+    return every.where(F.col("pos") != WHOLE).join(found, "node", "left").select("id", "pos", "node", F.coalesce("component", "node").alias("class"))
 
 
 def classes(
@@ -428,22 +455,30 @@ def classes(
 def repeated_runs(sets: DataFrame) -> DataFrame:
     """Rows (id, runs): the runs of ``PASSAGE`` words of a document that also stand in one with a smaller id.
 
-    A node's later copies are removed whole, so the document that holds it first speaks for it.
+    A document's later copies are removed whole (``copied``), so the first one speaks for all.
     """
     runs = sets.select("id", F.explode("runs").alias("run"))
     first = runs.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     return runs.join(first, "run").where("id > first").groupBy("id").agg(F.collect_set("run").alias("runs"))
 
 
+def copied(every: DataFrame) -> DataFrame:
+    """Rows (id, pos, node): the documents of ``PASSAGE`` words whose words in full are those of one with a smaller id."""
+    whole = every.where(F.col("pos") == WHOLE).select("id", "pos", "node")
+    first = whole.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    return whole.join(first, "node").where("id > first").select("id", "pos", "node")
+
+
 def remove_paragraphs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD,
+    min_words: int = 1,
 ) -> DataFrame:
     """Every row as (id, text, n_paragraphs, n_removed) and the columns ``keep``; later members of a class and repeated passages are cut out.
 
-    ``n_removed`` counts the paragraphs that are gone or shortened.
+    ``n_removed`` counts the paragraphs that are gone or shortened.  Paragraphs of fewer than ``min_words`` words go only as parts of a passage.
     """
     keep = keep or []
-    every, met, sets = gathered(docs, id_col, text_col, threshold)
+    every, met, sets = gathered(docs, id_col, text_col, threshold, min_words)
     placed = stage(classed(every, met, sets, threshold), "paragraph-classes")
     first = placed.groupBy("class").agg(
         F.min(F.struct("id", "pos", "node")).alias("first"), F.count(F.lit(1)).alias("n")
@@ -451,6 +486,8 @@ def remove_paragraphs(
     gone = (
         placed.join(first, "class")
         .where(F.struct("id", "pos", "node") != F.col("first"))
+        .select("id", "pos", "node")
+        .unionByName(copied(every))
         .groupBy("id")
         .agg(F.collect_set(F.struct("pos", "node")).alias("gone"))
     )
@@ -474,12 +511,19 @@ def remove_paragraphs(
                     lines = text.split(b"\n")
                     n = sum(1 for line in lines if line.split())
                     if pos or runs:
-                        out, codes = set(zip(pos or [], node or [])), np.array(runs or [], np.int64)
-                        for p, words in split(text):
+                        out, parts = set(zip(pos or [], node or [])), split(text)
+                        whole = [w for _, words in parts for w in words]
+                        if (WHOLE, document_node(whole)) in out:
+                            covered = np.ones(len(whole), bool)
+                        else:
+                            covered = covered_words(whole, np.array(runs, np.int64)) if runs else np.zeros(len(whole), bool)
+                        at = 0
+                        for p, words in parts:
                             if (p, signed(b" ".join(words))) in out:
                                 left = None
                             else:
-                                left = without_passages(lines[p], words, codes) if len(codes) else lines[p]
+                                left = without_words(lines[p], covered[at : at + len(words)])
+                            at += len(words)
                             cut += left != lines[p]
                             lines[p] = left
                         text = b"\n".join(line for line in lines if line is not None)

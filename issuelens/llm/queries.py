@@ -70,7 +70,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_paragraph_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = paragraphs.remove_paragraphs(table(spark, sf_dir, "documents"))
+    cleaned = paragraphs.remove_paragraphs(table(spark, sf_dir, "documents"), min_words=paragraphs.PASSAGE)
     return cleaned.select(
         F.col("id").alias("doc_id"), "n_paragraphs", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )

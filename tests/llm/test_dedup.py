@@ -270,6 +270,21 @@ def test_passages_of_null_ids_copies_and_whole_lines(spark):
     assert got == sorted([(2, rows[0][1], 0), (3, rows[2][1].replace(passage + "  ", ""), 1), (3, rows[3][1][len(passage) + 1 :], 1), (99, "first line\nlast line", 1)])
 
 
+def test_passages_across_line_breaks_are_cut_and_short_lines_stay(spark):
+    rng = random.Random(13)
+    passage, line = words(rng, 60).split(), words(rng, 12)
+    own = lambda n: words(rng, n, 10**6)
+    wrapped = lambda *cuts: "\n".join(" ".join(passage[a:z]) for a, z in zip((0, *cuts), (*cuts, 60)))
+    rows = [(1, f"{own(40)} {wrapped(35)} {own(9)}\n{line}"), (2, f"{own(70)}\n{own(3)} {wrapped(20, 40)} x\n\n{line}"), (3, f"{line}\n{own(80)}"),
+            (4, f"{wrapped()}\n{line}"), (5, f"{own(30)}\n{line}\n{own(10)}")]
+    rows += [(6, rows[0][1]), (7, rows[4][1]), (8, line), (9, line)]  # copies: of 61 words or more, of 52, of a short line
+    got = {r.id: r for r in paragraphs.remove_paragraphs(frame(spark, rows), min_words=50).collect()}
+    two = rows[1][1].split("\n")
+    want = {i: t for i, t in rows} | {2: "\n".join([two[0], " ".join(two[1].split()[:3]) + " ", "x", "", line]), 4: line, 6: "", 7: ""}
+    assert {i: r.text.replace(" \n", "\n") for i, r in got.items()} == {i: t.replace(" \n", "\n") for i, t in want.items()}
+    assert {i: r.n_removed for i, r in got.items() if r.n_removed} == {2: 3, 4: 1, 6: 3, 7: 3}
+
+
 def plain_removal(rows, span=50):
     rows = sorted(((i if i is not None else bwt.NO_ID, (t or "").encode()) for i, t in rows), key=lambda r: r[0])
     first, out = {}, []
