@@ -68,6 +68,18 @@ def test_one_task_and_cluster_grow_equal_trees(rows, monkeypatch):
     assert len(local.losses) == 8 and all(x > y for x, y in zip(local.losses, local.losses[1:]))
 
 
+def test_rows_on_the_cluster_are_written_only_every_few_rounds(rows, monkeypatch):
+    taken, plain = [], B._moved
+    monkeypatch.setattr(B, "_moved", lambda r, recent: taken.append(len(recent)) or plain(r, recent))
+    monkeypatch.setattr(B, "MOVE_EVERY", 3)
+    on = {"held": "held", "key": ["number"]}
+    local = B.fit(rows, FEATURES, **on, settings=B.Settings(rounds=11))
+    short = B.fit(rows, FEATURES, **on, settings=B.Settings(rounds=4), local_rows=0)
+    assert taken == [3]
+    spread = B.fit(rows, FEATURES, **on, settings=B.Settings(rounds=11), resume=short, local_rows=0)
+    assert taken == [3, 4, 3, 3] and B.to_json(spread) == B.to_json(local)
+
+
 def test_early_stop_and_resume(rows):
     noise = rows.withColumn("label", (F.xxhash64("number", F.lit(5)) % 3 + 3).cast("int") % 3)
     s = B.Settings(patience=10)
