@@ -26,6 +26,8 @@ def test_terms_are_those_of_the_pipeline(spark, monkeypatch):
 
 def test_the_fit_takes_the_steps_of_the_pipeline(spark, monkeypatch):
     monkeypatch.setattr(T, "SUMMED", 50)
+    monkeypatch.setattr(T, "BLOCK_TERMS", 300)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 9)
     monkeypatch.setattr(T, "DIRECT_TASKS", 2)  # sums of the three tasks are merged in a tree
     rng = np.random.default_rng(4)
     rows = [(i, i % 3 if i % 7 else 0, " ".join(["same", *(f"w{int(k)}" for k in rng.integers(0, 40 + 9 * (i % 3), i % 23))])) for i in range(150)]
