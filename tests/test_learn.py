@@ -114,3 +114,19 @@ def test_every_nearer_point_is_counted_over_groups_of_any_size(spark, monkeypatc
     bases = spark.createDataFrame(few, "label int, source_repo string, source_id long, neighbour_repo string, neighbour_id long, source_v array<double>, gone double")
     got = Q.closer_points(bases, spark.createDataFrame(pts, "label int, v array<double>").distinct())
     assert {i: k for i, k in want.items() if k} == {r.source_id: r.k for r in got.collect() if r.k}
+
+
+def test_the_narrow_step_sees_no_text_and_texts_meet_their_rows(spark):
+    rows = [("org/r%d" % (i % 3), i, "u%d" % (i % 4), None if i % 7 == 0 else f"t{i % 20}", None if i % 5 == 0 else f"b{i % 10}", i % 9, ["x"]) for i in range(120)]
+    issues = spark.createDataFrame(rows, "repo string, number long, author string, title string, body string, comments long, labels array<string>")
+    issues = issues.withColumn("created_at", F.timestamp_seconds("number"))
+    seen = []
+    got = L.training_frame(issues, lambda narrow: (seen.append(narrow.columns), L.stratified_split(narrow))[1])
+    assert "text" not in seen[0] and "title" not in seen[0] and "_k_body" in seen[0]
+    want = L.stratified_split(L.training_frame(issues))
+    key = lambda d: sorted((r.repo, r.number, r.text, r.label, r.is_test) for r in d.collect())
+    assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
+    last = {}
+    for repo, number, _, title, body, *_ in rows:
+        last[title, body] = (repo, number, f"{title or ''} {body or ''}")
+    assert sorted((r[0], r[1], r[2]) for r in key(got)) == sorted(last.values())

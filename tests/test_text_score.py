@@ -165,3 +165,12 @@ def test_whole_numbers_are_exact(spark):
 
     got = {r.s: r.n for r in df.select("s", whole_number(F.col("s")).alias("n")).collect()}
     assert got == given
+
+
+def test_patterns_are_tried_only_where_their_characters_stand(spark):
+    texts = [None, "", "`", "``", "```", "`a`", "a`\n`b", "![", "![x]", "! [x]", "<IMG", "< img", "<img src>", "![a\nb]", "HTTP://x", "https://", "http:/", "ftp://x", "://", "httpS://"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, s string")
+    for found, regex in ((T.has_code, T.HAS_CODE_RE), (T.has_image, T.HAS_IMAGE_RE), (T.has_url, T.HAS_URL_RE)):
+        assert "contains" in str(found("s")).lower()
+        assert df.where(found("s") != T.has_pattern("s", regex)).count() == 0
+    assert df.where(T.has_image("s") == 1).count() == 3 and df.where(T.has_url("s") == 1).count() == 3
