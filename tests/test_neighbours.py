@@ -121,3 +121,24 @@ def test_second_round_sends_only_pairs_that_can_count(spark):
                     if ((vecs[at[n]] - vecs[at[third]]) ** 2).sum() <= worst:
                         want.add((n, third))
     assert got == want and any(n == ids[7] for n, _ in got) and 2 * len(got) < len(every)
+
+
+def test_points_that_stay_in_their_cell_are_not_placed_again(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(300, 8)), rng.normal(size=(40, 8))])
+    pts = N.staged(N.points(frame(spark, x, [0] * 300 + [1] * 40), "label", COLS), "t-points")
+    placed = N.cells(pts, 8, leaf=64)
+    plan = placed._jdf.queryExecution().toString()  # noqa: SLF001
+    assert "LeftAnti" in plan and "lambda" not in plan
+    found = placed.groupBy("cls", "tree").agg(F.countDistinct("node").alias("n"), F.count("*").alias("all"), F.countDistinct("cell").alias("cells")).collect()
+    assert len(found) == 2 * N.TREES and all(r.n == r["all"] == (300 if r.cls == 0 else 40) for r in found)
+    assert all((r.cells > 4) == (r.cls == 0) for r in found)
+
+
+@pytest.mark.parametrize("n", [2, 5, 127, 128, 300])
+def test_the_search_in_a_cell_is_exact_over_every_group_of_rows(n):
+    v = np.random.default_rng(n).integers(0, 50, (n, 3)).astype(float) + np.arange(n)[:, None] / 1000
+    row, other, far = N._near(v, 4)
+    assert row.tolist() == np.repeat(np.arange(n), min(4, n - 1)).tolist() and (row != other).all()
+    assert np.array_equal(far, sum((v[row, c] - v[other, c]) ** 2 for c in range(3)))
+    assert [sorted(far[row == i]) for i in range(n)] == [sorted(((v[i] - np.delete(v, i, 0)) ** 2).sum(axis=1))[: min(4, n - 1)] for i in range(n)]
